@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import quality, sharding
+from loomgraph.llm import licensescan, quality, secretscan, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_license_scans": licensescan.op1_license_scans,
         "op3_sharding": sharding.op3_sharding,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op9_secret_scans": secretscan.op9_secret_scans,
     }
 
 
