@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import licensescan, quality, secretscan, sharding
+from loomgraph.llm import licensescan, mixing, quality, secretscan, sharding, tokens
 
 
 def queries() -> dict:
     return {
         "op1_license_scans": licensescan.op1_license_scans,
+        "op2_token_ids": tokens.op2_token_ids,
         "op3_sharding": sharding.op3_sharding,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op7_mixing": mixing.op7_mixing,
         "op9_secret_scans": secretscan.op9_secret_scans,
     }
 
