@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.storage import cut, shared_dir
+
+__all__ = ["SPACE", "cut", "read", "shared_dir", "text_or_empty", "width"]
+
 #: White space of the word contracts: a word is a run of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,28 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
-
-    Only where a session has none (unit tests on one machine) a folder of this machine is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(f"/tmp/checkpoints/{os.getpid()}")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import licensescan, mixing, quality, secretscan, sharding, tokens
+from loomgraph.llm import licensescan, mixing, neardup, quality, secretscan, sharding, tokens
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.op4_quality_rules,
         "op7_mixing": mixing.op7_mixing,
         "op9_secret_scans": secretscan.op9_secret_scans,
+        "op10_near_duplicates": neardup.op10_near_duplicates,
     }
 
 
