@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import licensescan, mixing, neardup, quality, secretscan, sharding, tokens
+from loomgraph.llm import decontam, licensescan, mixing, neardup, quality, secretscan, sharding, tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_sharding": sharding.op3_sharding,
         "op4_quality_rules": quality.op4_quality_rules,
         "op7_mixing": mixing.op7_mixing,
+        "op8_decontamination": decontam.op8_decontamination,
         "op9_secret_scans": secretscan.op9_secret_scans,
         "op10_near_duplicates": neardup.op10_near_duplicates,
     }
