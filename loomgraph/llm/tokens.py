@@ -38,14 +38,15 @@ END_ID = 2
 BLOCK_BYTES = 4 << 20
 #: Documents and ids of each that the dictionary is trained on, at most; it shapes sizes only, never results.
 DICT_DOCS, DICT_IDS, DICT_BYTES = 1_000, 8_192, 64 << 10
-#: Pieces an encoder remembers before it starts afresh.
-CACHE_PIECES = 400_000
+#: Pieces an encoder remembers in each of two generations; what the older one holds is taken over when it recurs.
+CACHE_PIECES = 500_000
 
 BLOCKS = "part int, block int, first long, dict_hash string, doc_ids array<long>, offsets array<int>, n_tokens array<long>, payload binary"
 
 #: The byte-level pre-tokenizer's pieces for texts of the plain range, where Python's classes agree with the library's.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f\x85²³¹¼½¾]|[^\x00-ɏ]|<\\|")
+_PIECE = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_ODD = re.compile("[\x1c-\x1f\x85²³¹¼½¾]|[^\x00-ɏ]")
+_ODD_BYTES = "\x1c\x1d\x1e\x1f\x85²³¹¼½¾".encode("latin-1")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -54,6 +55,17 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _plain(text: str) -> bool:
+    """Whether ``text`` stays in the range where the pieces agree."""
+    if "<|" in text:
+        return False
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _ODD.search(text)
+    return len(raw.translate(None, _ODD_BYTES)) == len(raw)
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of pieces.
 
@@ -70,6 +82,7 @@ class Encoder:
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -78,12 +91,16 @@ class Encoder:
         """Words are encoded in one text, a line each: the line feed is a piece and an id of its own."""
         words = [p for p in pieces if (p[1:] if p[0] == " " else p).isalpha()]
         if words and len(self.newline) == 1:
-            ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, self.dtype)
-            at = np.flatnonzero(ids == self.newline[0])
-            if len(at) == len(words) - 1:
-                cuts = np.concatenate(([-1], at, [len(ids)]))
-                for w, a, b in zip(words, cuts[:-1] + 1, cuts[1:], strict=True):
-                    self.known[w] = ids[a:b].tobytes()
+            size, mark = self.dtype.itemsize, self.newline[0]
+            groups = [words[i : i + 100] for i in range(0, len(words), 100)]
+            for some, e in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                cuts = np.flatnonzero(ids == mark)
+                if len(cuts) == len(some) - 1:
+                    raw, a = ids.tobytes(), 0
+                    for w, b in zip(some, [*cuts.tolist(), len(ids)], strict=True):
+                        self.known[w] = raw[a * size : b * size]
+                        a = b + 1
         for p in pieces:
             if p not in self.known:
                 self.known[p] = self._whole(p)
@@ -91,12 +108,17 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, with the end id."""
         out: list[bytes] = []
-        step = 64
+        step = 256
         for i in range(0, len(texts), step):
-            some = [None if _ODD.search(t) else _PIECE.findall(t) for t in texts[i : i + step]]
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
+            some = [_PIECE.findall(t) if _plain(t) else None for t in texts[i : i + step]]
             new = set().union(*[p for p in some if p]).difference(self.known)
+            if len(self.known) + len(new) > CACHE_PIECES:
+                self.past, self.known = self.known, {}
+                new = set().union(*[p for p in some if p])
+            if new and self.past:
+                fresh = new.difference(self.past)
+                self.known.update((p, self.past[p]) for p in new - fresh)
+                new = fresh
             if new:
                 self._learn(sorted(new))
             get = self.known.__getitem__
@@ -162,8 +184,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "block", "first", "dict_hash", "doc_ids", "offsets", "n_tokens", "payload"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                some = b.slice(i, 64)
+            for i in range(0, b.num_rows, 256):
+                some = b.slice(i, 256)
                 for doc_id, raw in zip(some.column(0).to_pylist(), enc([t or "" for t in some.column(1).to_pylist()]), strict=True):
                     frame = z.compress(raw)
                     if frames and held + len(frame) > BLOCK_BYTES:
