@@ -41,6 +41,8 @@ SKETCH = 128
 #: Sketch bits that must agree; two sets with similarity 0.8 agree in 115 on average, with deviation 3.4.
 SKETCH_AGREE = 96
 SIMILARITY = 80
+#: Pairs whose ids are broadcast at most, 16 bytes each.
+BROADCAST_PAIRS = 250_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -126,24 +128,26 @@ def signature(hashes: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, print (fingerprint of the set, null if empty), sig and sketch of every row."""
+    """doc_id, n, print (fingerprint of the set, null if empty), sketch and the values of the first and the other trees."""
+    cut_at = FIRST_TREES * DEPTH * 3
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, prints, sigs, sketches = [], [], [], []
+            n, prints, sketches, first, other = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_hashes(text, k)
                 n.append(len(h))
                 if not len(h):
-                    prints.append(None), sigs.append(None), sketches.append(None)
+                    for c in (prints, sketches, first, other):
+                        c.append(None)
                     continue
                 at = np.arange(1, len(h) + 1, dtype=_U)
                 prints.append(b"".join(x.tobytes() for x in ((_mix(h) * (at * _U(2) + _U(1))).sum(dtype=_U), _mix(h ^ _U(_BASE)).sum(dtype=_U))))
                 sig, sketch = signature(h)
-                sigs.append(sig), sketches.append(sketch)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "print", "sig", "sketch"])
+                sketches.append(sketch), first.append(sig[:cut_at]), other.append(sig[cut_at:])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(c, pa.binary()) for c in (prints, sketches, first, other)]], ["doc_id", "n", "print", "sketch", "first", "other"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, print binary, sig binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, print binary, sketch binary, first binary, other binary")
 
 
 _ROW = "label binary, sketch binary, id long, n long, comp long"
@@ -158,9 +162,9 @@ def _orders(classes: DataFrame, first: int, last: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, TREES, step)
+            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, last - first, step)
             for t in range(first, last):
-                labels = np.concatenate([np.full((b.num_rows, 1), t, np.uint8), sig[:, t]], axis=1)
+                labels = np.concatenate([np.full((b.num_rows, 1), t, np.uint8), sig[:, t - first]], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in labels], pa.binary()), b.column(4), b.column(0), b.column(1), b.column(2)], ["label", "sketch", "id", "n", "comp"])
 
     return classes.select("id", "n", "comp", "sig", "sketch").mapInArrow(explode, _ROW)
@@ -228,7 +232,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(classes: DataFrame, first: int = 0, last: int = TREES) -> DataFrame:
-    """Distinct pairs a < b of classes (id, n, comp, sig, sketch) that are near in one of the sorted orders."""
+    """Distinct pairs a < b of classes (id, n, comp, sig, sketch) that are near in one of the sorted orders.
+
+    ``sig`` has the values of the trees from ``first`` to before ``last``.
+    """
     ordered = _orders(classes, first, last).repartitionByRange(width(classes.sparkSession), "label", "id").sortWithinPartitions("label", "id")
     found = cut(ordered.mapInArrow(_pairs, _OUT), "forest")
     rims = found.filter("part is not null").select("label", "sketch", "id", "n", "comp").distinct()
@@ -251,8 +258,13 @@ def candidates(classes: DataFrame, first: int = 0, last: int = TREES) -> DataFra
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity; ``docs``: doc_id, text.
 
-    Texts travel compressed, once to their pairs and once with each pair.
+    Texts travel compressed, once to their pairs and once with each pair. Texts of documents in no pair stay where they
+    are as long as the pairs are few enough for their ids to be broadcast; beyond, the join by doc_id drops them.
     """
+    pairs = cut(pairs, "pairs")
+    docs = docs.select("doc_id", "text")
+    if pairs.count() <= BROADCAST_PAIRS:
+        docs = docs.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "doc_id", "left_semi")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -284,7 +296,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                     left = ((x, y), doc, packed)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
+    packed = docs.mapInArrow(pack, "doc_id long, packed binary")
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
     held = ends.join(packed, "doc_id").select("a", "b", "doc_id", "packed")
     return held.repartition(width(docs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(compare, "a long, b long")
@@ -298,11 +310,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -
     named = rows.filter("print is not null and doc_id is not null")
     classes = named.groupBy("print", "n").agg(F.min("doc_id").alias("id"))
     members = cut(named.select("doc_id", "print", "n").join(classes, ["print", "n"]).select("doc_id", "n", "id").distinct(), "members")
-    heads = named.join(members.filter("doc_id = id").select("doc_id", "n").distinct(), ["doc_id", "n"]).select(F.col("doc_id").alias("id"), "n", "sig", "sketch")
     links = members.filter("doc_id <> id").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
-    first = cut(confirmed(candidates(heads.withColumn("comp", F.col("id")), 0, FIRST_TREES), docs, k), "links")
+    ids = members.filter("doc_id = id").select("id", "n").distinct()
+
+    def heads(comp: DataFrame, sig: str) -> DataFrame:
+        """Classes with the values of the trees in ``sig``; a row for each row of the representing document."""
+        values = named.select(F.col("doc_id").alias("id"), "n", F.col(sig).alias("sig"), "sketch")
+        return comp.join(values, ["id", "n"]).select("id", "n", "comp", "sig", "sketch")
+
+    first = cut(confirmed(candidates(heads(ids.withColumn("comp", F.col("id")), "first"), 0, FIRST_TREES), docs, k), "links")
     joined = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rest = heads.join(joined, heads["id"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "id")).select("id", "n", "comp", "sig", "sketch")
+    comp = ids.join(joined, ids["id"] == joined["node"], "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
+    rest = heads(comp, "other")
     second = cut(confirmed(candidates(rest, FIRST_TREES, TREES), docs, k), "links")
     both = joined.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(second.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     found = components(both.unionByName(links))
