@@ -36,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +46,7 @@ THRESHOLD, SEED = 50, 16
 #: Offsets of an anchor in its window: 0 to REACH.
 REACH = THRESHOLD - SEED
 #: Bytes of text that are scanned at once (a longer document is one chunk).
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 FANOUT = 3
 
 _U = np.uint64
@@ -262,20 +261,47 @@ def _node(lo: int, hi: int) -> int:
     return lo << 8 | hi
 
 
-def _split(rank: int, at: int, node: int, data: bytes) -> Iterator[tuple[int, int, int]]:
-    """(rank, context, node) of the parts of ``node`` that the run has windows in; ``data`` are the run's bytes."""
-    lo, hi = node >> 8, node & 255
+#: Most bytes of a run, and the coefficients of multilinear hashes over them.
+_SPAN = THRESHOLD + REACH
+_SHARED, _OWN = _rng.integers(1, 2**64 - 1, (2, _SPAN), dtype=np.uint64) | _U(1)
+
+
+def split_runs(rank: np.ndarray, at: np.ndarray, node: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each part of each node: rows with windows in it, their new rank, context, place, node, bytes and a mask of them.
+
+    ``data`` is a matrix of the runs' bytes. The new rank is that of the pair (rank, bytes that all windows of the part
+    share), the context that of the bytes of the run's own windows in the part.
+    """
     span, off = at >> 6 & 63, at & 63
-    step = -(-(hi - lo + 1) // FANOUT)
-    for a in range(lo, hi + 1, step):
-        e = min(hi, a + step - 1)
-        first, last = max(a, off - span), min(e, off)  # offsets of the run's windows in this part
-        if first > last:
-            continue
-        shared = data[off - a : off - e + THRESHOLD]
-        own = data[off - last : off - first + THRESHOLD]
-        new = xxhash.xxh3_64_intdigest(shared + rank.to_bytes(8, "little", signed=True) + bytes((a, e)))
-        yield new - 2**63, xxhash.xxh3_64_intdigest(own + bytes((first, last)), seed=1) - 2**63, _node(a, e)
+    columns = np.arange(_SPAN)
+    for value in np.unique(node).tolist():
+        lo, hi = value >> 8, value & 255
+        rows = np.flatnonzero(node == value)
+        step = -(-(hi - lo + 1) // FANOUT)
+        for a in range(lo, hi + 1, step):
+            e = min(hi, a + step - 1)
+            first, last = np.maximum(a, off[rows] - span[rows]), np.minimum(e, off[rows])  # offsets of the run's windows in this part
+            has = first <= last
+            r, first, last = rows[has], first[has], last[has]
+            if not len(r):
+                continue
+            size = THRESHOLD - (e - a)
+            shared = np.take_along_axis(data[r], (off[r] - a)[:, None] + columns[:size], 1).astype(_U) @ _SHARED[:size]
+            mask = columns < (last - first + THRESHOLD)[:, None]
+            own = np.where(mask, np.take_along_axis(data[r], np.minimum((off[r] - last)[:, None] + columns, _SPAN - 1), 1), np.uint8(0))
+            new = _mix(_mix(shared + np.full(1, a << 8 | e, _U) * _U(_MUL[8])) + rank[r].view(_U) * _U(_MUL[9]))
+            context = _mix(_mix(own.astype(_U) @ _OWN) + (first << 8 | last).astype(_U) * _U(_MUL[8]))
+            moved = (at[r] >> 12 << 12) + ((off[r] - last) << 12) | (last - first) << 6 | last
+            yield r, new.view(np.int64), context.view(np.int64), moved, np.full(len(r), _node(a, e), np.int32), own, mask
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Binary values as rows of a matrix, padded with zeros."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    out = np.zeros((len(column), _SPAN), np.uint8)
+    out[np.arange(_SPAN) < np.diff(offsets)[:, None]] = flat
+    return out
 
 
 _EXTRA = [("node", pa.int32()), ("data", pa.binary())]
@@ -286,19 +312,13 @@ def _refine(rows: DataFrame) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for rank, doc, at, node, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                for new, context, part in _split(rank, at, node, data):
-                    # the interval of a removed run is that of the part's windows
-                    lo, hi = part >> 8, part & 255
-                    span, off = at >> 6 & 63, at & 63
-                    first, last = max(lo, off - span), min(hi, off)
-                    moved = at >> 12 << 12
-                    moved += (off - last) << 12
-                    moved |= (last - first) << 6 | last
-                    for c, x in zip(cols, (new, context, doc, moved, part, data[off - last : off - first + THRESHOLD]), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32(), pa.binary()], strict=True)], ["rank", "context", "doc", "at", "node", "data"])
+            if not b.num_rows:
+                continue
+            rank, doc, at, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for r, new, context, moved, part, own, mask in split_runs(rank, at, node, _matrix(b.column(4).cast(pa.binary()))):
+                ends = np.r_[0, np.cumsum(mask.sum(axis=1))].astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own[mask].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(context), pa.array(doc[r]), pa.array(moved), pa.array(part), data], ["rank", "context", "doc", "at", "node", "data"])
 
     return _reranked(rows.select("rank", "doc", "at", "node", "data").mapInArrow(split, f"{ROW}, node int, data binary"), _EXTRA)
 
