@@ -79,17 +79,22 @@ _SPACES[[32, 9, 10, 11, 12, 13]] = True
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of ``text`` (already lower-cased), from differences of a running sum."""
+    """A 64-bit hash of every word of ``text`` (already lower-cased)."""
+    return placed_words(text)[0]
+
+
+def placed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word, from differences of a running sum."""
     b = np.frombuffer(text, np.uint8)
     inside = ~_SPACES[b]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     if not len(edge):
-        return np.zeros(0, _U)
+        return np.zeros(0, _U), edge, edge
     start, end = edge[0::2], edge[1::2]
     up, down = _table(len(b) + 1)
     total = np.zeros(len(b) + 1, _U)
     np.cumsum((b.astype(_U) + _U(1)) * up[: len(b)], out=total[1:])
-    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
+    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(_U)), start, end
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
