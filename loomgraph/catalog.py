@@ -1,11 +1,58 @@
-"""Registry of the graph queries."""
+"""Registry of the graph queries: the operator inventory by number, each a relation plan and its oracle."""
 
 from __future__ import annotations
 
+from loomgraph.operators import graph, vectors  # noqa: F401  (define their relations)
+from loomgraph.plans.engine import duckdb_sql, plan
+
+#: Query name -> relation.
+PLANS = {
+    "o017_clean_edges": "edges",
+    "o017_edge_bounds": "edge_bounds",
+    "o018_degree": "degree",
+    "o019_edge_count": "edge_count",
+    "o020_community_stats": "cstat",
+    "o021_alive": "alive",
+    "o021_n_comm": "n_comm",
+    "o022_q_terms": "q_terms_out",
+    "o022_modularity": "modularity",
+    "o023_neighbour_communities": "nbr_comm",
+    "o024_move_gain": "move_gain_out",
+    "o025_apply_moves": "moved",
+    "o026_merge_gain": "merge_gain_out",
+    "o027_apply_merge": "merged",
+    "o028_inter_edges": "inter_edges",
+    "o029_relabel": "relabel",
+    "o031_isolated_nodes": "isolated",
+    "o032_centroids": "centroid_out",
+    "o033_normalise": "centroid_unit_out",
+    "o034_similarity": "sim_out",
+    "o035_top3": "top3_out",
+    "o036_kill_column": "killed",
+    "o037_best_other": "best_other",
+    "o038_margin": "margin_out",
+    "o039_q_sem": "q_sem_out",
+    "o040_scale": "sem_scale_out",
+    "o041_retrieval": "retrieval",
+    "o042_reliability_gate": "gate",
+    "o043_prototype_fallback": "proto_fallback_out",
+    "o044_prototype_shift": "proto_shift_out",
+    "o045_prototype_wmean": "proto_wmean_out",
+    "o046_prototype_wmargin": "proto_wmargin_out",
+    "o047_prototype_trim": "proto_trim_out",
+    "o048_prototype_selfw": "proto_selfw_out",
+    "o049_advisor": "advisor",
+    "o050_extra_candidate": "extra_candidate",
+    "o051_edge_sigma": "edge_sigma_out",
+    "o052_best_move": "best_move_out",
+    "o069_shuffled_control": "shuffled_out",
+    "o084_modularity_from_edges": "modularity_from_edges",
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda spark, sf_dir, r=r: plan(spark, r, sf_dir)) for name, r in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: duckdb_sql(r) for name, r in PLANS.items()}
