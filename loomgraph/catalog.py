@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from loomgraph.operators import graph, vectors  # noqa: F401  (define their relations)
+from loomgraph.operators import analysis, graph, metrics, objectives, text, vectors  # noqa: F401  (define their relations)
 from loomgraph.plans.engine import duckdb_sql, plan
 
 #: Query name -> relation.
 PLANS = {
+    "o003_titles": "joined_titles",
+    "o004_neighbour_lists": "listed_graph",
+    "o004_label_names": "listed_names",
+    "o005_markers": "normalised_texts",
+    "o006_category_labels": "category_labels",
+    "o007_hash_encoder": "hash_encoding",
+    "o009_partition_names": "pred_parts",
+    "o010_open_runs": "open_runs",
+    "o014_cache_hits": "cache_hits",
+    "o014_cache_misses": "cache_misses",
+    "o015_judge_cache": "judge_cache",
     "o017_clean_edges": "edges",
     "o017_edge_bounds": "edge_bounds",
     "o018_degree": "degree",
@@ -45,8 +56,59 @@ PLANS = {
     "o050_extra_candidate": "extra_candidate",
     "o051_edge_sigma": "edge_sigma_out",
     "o052_best_move": "best_move_out",
+    "o053_sn_value": "sn_value",
+    "o054_sn_move_gain": "sn_move_gain_out",
+    "o055_sn_merge_gain": "sn_merge_gain",
+    "o056_semantic_move_gain": "rdm_move_gain_out",
+    "o056_semantic_value": "rdm_value",
+    "o057_drop_gain": "drop_gain",
+    "o058_semantic_merge_gain": "rdm_merge_gain",
+    "o059_apply_semantic_merge": "rdm_merged",
+    "o060_agreement_gain": "agree_gain",
+    "o061_three_factor_gain": "rdm3_move_gain_out",
+    "o063_local_round": "local_round",
     "o069_shuffled_control": "shuffled_out",
+    "o070_evidence_order": "evidence_order",
+    "o071_prompts": "prompts",
+    "o074_candidate_choice": "chosen",
+    "o075_lazy_refresh": "refresh",
+    "o076_fit_mask": "fit_mask",
+    "o077_judge": "judge_answers",
+    "o078_judge_passes": "judge_passes",
+    "o079_contingency": "contingency",
+    "o080_nmi": "nmi",
+    "o081_ari": "ari",
+    "o083_purity": "purity",
     "o084_modularity_from_edges": "modularity_from_edges",
+    "o085_metric_bundle": "metric_bundle",
+    "o086_composition": "composition",
+    "o087_majority": "majority",
+    "o088_description_evaluation": "descr_eval",
+    "o088_coverage": "coverage",
+    "o090_trapped_errors": "trapped",
+    "o091_moved_profile": "moved_profile",
+    "o092_node_signals": "signals_out",
+    "o093_correction_rules": "rule_stats",
+    "o094_global_reassignment": "global_stats",
+    "o095_quantile_thresholds": "thresholds",
+    "o096_confusion_pairs": "confusions",
+    "o097_mean_std": "mean_std",
+    "o098_paired_delta": "paired_delta",
+    "o099_best_marks": "best_marks",
+    "o100_run_groups": "run_groups",
+    "o101_gate_outcome": "gate_outcome",
+    "o102_runtime": "runtime",
+    "o103_wilson": "wilson",
+    "o104_move_log": "move_log",
+    "o105_sign_agreement": "sign_agreement",
+    "o106_binned": "binned",
+    "o107_reliability_lookup": "reliability_lookup",
+    "o108_attribution": "attribution",
+    "o109_failures": "failures",
+    "o110_judge_counts": "judge_counts",
+    "o111_judge_by_pass": "judge_by_pass",
+    "o112_majority_vote": "majority_vote",
+    "o112_pass_agreement": "pass_agreement",
 }
 
 

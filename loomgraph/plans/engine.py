@@ -26,10 +26,8 @@ _SPARK: dict[str, Callable[..., str]] = {
     "add": lambda a, b, g: f"zip_with({a}, {b}, (p, q) -> p + {g} * q)",
     "split": lambda rel, key, text: f"(SELECT {key}, word FROM {rel} LATERAL VIEW explode(split({text}, ' ')) t AS word)",
     "quantile": lambda x, p: f"percentile({x}, {p})",
-    "ints": lambda n: f"(SELECT explode(sequence(0, {n} - 1)) AS i)",
     "bigint": lambda x: f"try_cast({x} AS BIGINT)",
-    "extract": lambda t, p, g: f"regexp_extract({t}, {p}, {g})",
-    "json": lambda t, k: f"get_json_object({t}, '$.{k}')",
+    "intlist": lambda rel, key, x: f"(SELECT {key}, item FROM {rel} LATERAL VIEW explode(from_json({x}, 'array<bigint>')) t AS item)",
     "bucket": lambda t, n: f"CAST(conv(substr(md5({t}), 1, 8), 16, 10) AS BIGINT) % {n}",
     "joined": lambda v, o, s: f"array_join(transform(array_sort(collect_list(struct({o}, {v}))), t -> t.{v}), {s})",
 }
@@ -43,14 +41,11 @@ _DUCK: dict[str, Callable[..., str]] = {
     "add": lambda a, b, g: f"list_transform(list_zip({a}, {b}), lambda z: z[1] + {g} * z[2])",
     "split": lambda rel, key, text: f"(SELECT {key}, unnest(string_split({text}, ' ')) AS word FROM {rel})",
     "quantile": lambda x, p: f"quantile_cont({x}, {p})",
-    "ints": lambda n: f"(SELECT unnest(range({n})) AS i)",
     "bigint": lambda x: f"try_cast({x} AS BIGINT)",
-    "extract": lambda t, p, g: f"regexp_extract({t}, {p}, {g})",
-    "json": lambda t, k: f"json_extract_string({t}, '$.{k}')",
+    "intlist": lambda rel, key, x: f"(SELECT {key}, unnest(CAST({x} AS BIGINT[])) AS item FROM {rel})",
     "bucket": lambda t, n: f"CAST(concat('0x', substr(md5({t}), 1, 8)) AS BIGINT) % {n}",
     "joined": lambda v, o, s: f"string_agg({v}, {s} ORDER BY {o})",
 }
-_CALL = re.compile(r"\$(\w+)\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)\)")
 _INPUT = re.compile(r"\{(\w+)\}")
 
 RELATIONS: dict[str, str] = {}
@@ -65,10 +60,15 @@ def define(relations: dict[str, str]) -> None:
 
 
 def render(text: str, dialect: dict[str, Callable[..., str]]) -> str:
-    """``text`` with its vector expressions spelled out, innermost last."""
-    while m := _CALL.search(text):
-        args = [a.strip() for a in m[2].split(";")]
-        text = text[: m.start()] + dialect[m[1]](*args) + text[m.end() :]
+    """``text`` with its vector expressions spelled out, the last one first, so that no argument holds another."""
+    while (at := text.rfind("$")) >= 0:
+        opened = text.index("(", at)
+        depth, end = 1, opened
+        while depth:
+            end += 1
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+        args = [a.strip() for a in text[opened + 1 : end].split(";")]
+        text = text[:at] + dialect[text[at + 1 : opened]](*args) + text[end + 1 :]
     return text
 
 
