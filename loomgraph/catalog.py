@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.operators import analysis, graph, metrics, objectives, text, vectors  # noqa: F401  (define their relations)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.operators import analysis, describe, graph, metrics, moves, objectives, text, vectors  # noqa: F401  (define their relations)
+from loomgraph.operators.components import components
 from loomgraph.plans.engine import duckdb_sql, plan
 
 #: Query name -> relation.
@@ -112,9 +116,82 @@ PLANS = {
 }
 
 
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(plan(spark, "chain_edges", sf_dir))
+
+
+def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moves.accuracy(plan(spark, "labelled", sf_dir))
+
+
+def _matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moves.matching(plan(spark, "labelled", sf_dir))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moves.evidence(plan(spark, "evidence_order", sf_dir), plan(spark, "emb", sf_dir), plan(spark, "texts", sf_dir))
+
+
+def _vector_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return plan(spark, "vedges", sf_dir), plan(spark, "vcomms", sf_dir)
+
+
+def _louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, comms = _vector_graph(spark, sf_dir)
+    return moves.louvain(edges, comms)
+
+
+def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, comms = _vector_graph(spark, sf_dir)
+    return moves.merge_to_k(edges, comms, 4)
+
+
+def _louvain_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, comms = _vector_graph(spark, sf_dir)
+    return moves.louvain_k(edges, comms, 10)
+
+
+def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, comms = _vector_graph(spark, sf_dir)
+    return moves.local_move_bulk(edges, comms, 3)
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, comms = _vector_graph(spark, sf_dir)
+    return list(moves.semantic_clustering(plan(spark, "emb", sf_dir), edges, comms, 2))[-1]
+
+
+def _descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = plan(spark, "shown", sf_dir).groupBy("comm").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("prompt"))
+    answers, _ = describe.generated(prompts, None, describe.TopWords())
+    return answers.select("comm", F.size("candidates").alias("n_candidates"), F.get("candidates", F.lit(0)).alias("first"))
+
+
+#: Operators that iterate or hold state; name -> callable.
+ITERATIVE = {
+    "o030_components": _components,
+    "o062_louvain": _louvain,
+    "o063_local_move_bulk": _bulk,
+    "o064_merge_to_k": _merge,
+    "o065_louvain_k": _louvain_k,
+    "o067_semantic_pipeline": _semantic,
+    "o070_evidence": _evidence,
+    "o072_generation": _descriptions,
+    "o082_accuracy": _accuracy,
+    "o089_matching": _matching,
+}
+
+#: Oracles of those that SQL can express: chains are components of one nation, five classes have 120 matchings.
+_MATCHED = "WITH c AS (SELECT user_id % 5 AS pred, event_type AS y, count(*) AS n FROM events GROUP BY 1, 2), y AS (SELECT DISTINCT event_type AS y FROM events), p AS (SELECT a.y a, b.y b, c.y c, d.y d, e.y e FROM y a, y b, y c, y d, y e WHERE len(list_distinct([a.y, b.y, c.y, d.y, e.y])) = 5), s AS (SELECT p.*, (SELECT sum(n) FROM c WHERE (pred = 0 AND y = p.a) OR (pred = 1 AND y = p.b) OR (pred = 2 AND y = p.c) OR (pred = 3 AND y = p.d) OR (pred = 4 AND y = p.e)) AS hit FROM p) "
+ITERATIVE_SQL = {
+    "o030_components": "SELECT c.c_custkey AS node, m.least AS component FROM customer c JOIN (SELECT c_nationkey, min(c_custkey) AS least, count(*) AS n FROM customer GROUP BY c_nationkey) m ON c.c_nationkey = m.c_nationkey WHERE m.n > 1",
+    "o082_accuracy": _MATCHED + "SELECT round(CAST(max(hit) AS DOUBLE) / (SELECT count(*) FROM events), 9) AS acc FROM s",
+}
+
+
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, r=r: plan(spark, r, sf_dir)) for name, r in PLANS.items()}
+    return ITERATIVE | {name: (lambda spark, sf_dir, r=r: plan(spark, r, sf_dir)) for name, r in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duckdb_sql(r) for name, r in PLANS.items()}
+    return ITERATIVE_SQL | {name: duckdb_sql(r) for name, r in PLANS.items()}

@@ -30,14 +30,14 @@ define(
         # raw files as their lines would be read: a text table with bad rows, and neighbour lists
         "raw_titles": "SELECT CASE WHEN event_id % 10 = 0 THEN 'bad' ELSE CAST(event_id AS VARCHAR(20)) END AS pid, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS title, props AS abstract FROM {events}",
         "id_map": "SELECT doc_id AS idx, doc_id * 3 AS pid FROM {documents}",
-        "joined_titles": "SELECT m.idx AS node, coalesce(concat(t.title, ' ', t.abstract), '') AS text FROM {id_map} m LEFT JOIN (SELECT $bigint(pid) AS pid, title, abstract FROM {raw_titles} WHERE $bigint(pid) IS NOT NULL AND title IS NOT NULL AND abstract IS NOT NULL) t ON m.pid = t.pid",
+        "joined_titles": "SELECT m.idx AS node, coalesce(t.title || ' ' || t.abstract, '') AS text FROM {id_map} m LEFT JOIN (SELECT $bigint(pid) AS pid, title, abstract FROM {raw_titles} WHERE $bigint(pid) IS NOT NULL AND title IS NOT NULL AND abstract IS NOT NULL) t ON m.pid = t.pid",
         "neighbour_lists": "SELECT c_custkey AS node, concat('[', CAST(c_custkey + 1 AS VARCHAR(20)), ', ', CAST(c_custkey + 5 AS VARCHAR(20)), ', ', CAST(c_custkey AS VARCHAR(20)), ']') AS neighbours, c_mktsegment AS category, c_nationkey AS label FROM {customer} WHERE c_custkey % 3 <> 0",
         "listed_edges": "SELECT DISTINCT least(e.node, e.item) AS src, greatest(e.node, e.item) AS dst FROM $intlist({neighbour_lists}; node; neighbours) e JOIN {neighbour_lists} t ON e.item = t.node WHERE e.node <> e.item",
         "listed_ids": "SELECT node, CAST(row_number() OVER (ORDER BY node) - 1 AS BIGINT) AS id FROM (SELECT src AS node FROM {listed_edges} UNION SELECT dst AS node FROM {listed_edges})",
         "listed_graph": "SELECT s.id AS src, t.id AS dst FROM {listed_edges} e JOIN {listed_ids} s ON e.src = s.node JOIN {listed_ids} t ON e.dst = t.node",
         "listed_names": "SELECT label, category AS name FROM (SELECT label, category, row_number() OVER (PARTITION BY label ORDER BY node) AS rk FROM {neighbour_lists}) WHERE rk = 1",
         "pred_files": "SELECT DISTINCT concat(event_type, '_rdm_l0.5_s', CAST(event_id % 5 AS VARCHAR(2)), '_audit.npy') AS file FROM {events}",
-        "pred_parts": "SELECT file, regexp_extract(file, '^([a-z_]+?)_([a-z]+)_l([0-9.]+)_s([0-9]+)_([a-z]+)[.]npy$', 1) AS dataset, regexp_extract(file, '_l([0-9.]+)_s', 1) AS lam, regexp_extract(file, '_s([0-9]+)_', 1) AS seed, regexp_extract(file, '_([a-z]+)[.]npy$', 1) AS tag FROM {pred_files}",
+        "pred_parts": "SELECT file, regexp_extract(file, '^([a-z_]+?)_([a-z]+)_l([0-9.]+)_s([0-9]+)_([a-z]+)[.]npy', 1) AS dataset, regexp_extract(file, '_l([0-9.]+)_s', 1) AS lam, regexp_extract(file, '_s([0-9]+)_', 1) AS seed, regexp_extract(file, '_([a-z]+)[.]npy', 1) AS tag FROM {pred_files}",
         "done_runs": "SELECT dataset, method, seed FROM {runs} WHERE seed < 2 GROUP BY dataset, method, seed",
         "open_runs": "SELECT DISTINCT r.dataset, r.method, r.seed FROM {runs} r LEFT JOIN {done_runs} d ON r.dataset = d.dataset AND r.method = d.method AND r.seed = d.seed WHERE d.dataset IS NULL",
         "evidence_pool": "SELECT c.node, c.comm, coalesce(k.k, 0) AS inner, row_number() OVER (PARTITION BY c.comm ORDER BY coalesce(k.k, 0) DESC, c.node) AS rk FROM {vcomms} c LEFT JOIN {v_nbr_comm} k ON c.node = k.u AND c.comm = k.comm",
@@ -54,7 +54,7 @@ define(
         "choice_scores": "SELECT z.comm, z.idx, $r(i.s - o.s) AS score FROM {choices} z JOIN (SELECT z.comm, z.idx, avg((1e0 + $dot(e.x; z.x)) / 2e0) AS s FROM {choices} z JOIN {vcomms} c ON z.comm = c.comm JOIN {emb} e ON c.node = e.node GROUP BY z.comm, z.idx) i ON z.comm = i.comm AND z.idx = i.idx JOIN (SELECT z.comm, z.idx, avg((1e0 + $dot(e.x; z.x)) / 2e0) AS s FROM {choices} z JOIN {others} c ON z.comm = c.comm JOIN {emb} e ON c.node = e.node GROUP BY z.comm, z.idx) o ON z.comm = o.comm AND z.idx = o.idx",
         "chosen": "SELECT comm, idx, score FROM (SELECT comm, idx, score, row_number() OVER (PARTITION BY comm ORDER BY score DESC, idx) AS rk FROM {choice_scores}) WHERE rk = 1",
         # a description stays while Jaccard(old members, new members) >= 0.9
-        "refresh": "SELECT comm, both, total, both < 9e-1 * total AS regenerate FROM (SELECT coalesce(a.comm, b.comm) AS comm, sum(CASE WHEN a.comm IS NOT NULL AND b.comm IS NOT NULL THEN 1e0 ELSE 0e0 END) AS both, CAST(count(*) AS DOUBLE) AS total FROM {vcomms} a FULL OUTER JOIN {local_round} b ON a.node = b.node AND a.comm = b.comm GROUP BY coalesce(a.comm, b.comm))",
+        "refresh": "SELECT comm, shared, total, shared < 9e-1 * total AS regenerate FROM (SELECT coalesce(a.comm, b.comm) AS comm, sum(CASE WHEN a.comm IS NOT NULL AND b.comm IS NOT NULL THEN 1e0 ELSE 0e0 END) AS shared, CAST(count(*) AS DOUBLE) AS total FROM {vcomms} a FULL OUTER JOIN {local_round} b ON a.node = b.node AND a.comm = b.comm GROUP BY coalesce(a.comm, b.comm))",
         "fit_mask": "SELECT c.node, CASE WHEN f.node IS NULL THEN FALSE ELSE TRUE END AS fitted FROM {vcomms} c LEFT JOIN {fit} f ON c.node = f.node",
         # the offline judge answers with the class whose prototype is nearest to the description
         "class_long": "SELECT k.y, l.pos, avg(l.val) AS val FROM {vclasses} k JOIN $long({emb}; node) l ON k.node = l.node GROUP BY k.y, l.pos",
