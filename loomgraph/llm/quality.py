@@ -154,7 +154,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with their own columns only."""
     # a column that isn't a function of its row keeps the optimizer from pushing the filter below the projection, where
     # every use of a measure would be computed anew
-    return judged(docs, rules).withColumn("__fence", F.monotonically_increasing_id()).filter("__kept").select(*docs.columns)
+    return judged(docs, rules).withColumn("__fence", F.monotonically_increasing_id()).filter("__kept and __fence >= 0").select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

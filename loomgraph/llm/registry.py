@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontam, licensescan, lm, mixing, neardup, quality, secretscan, sharding, suffixes, tokens
+from loomgraph.llm import decontam, licensescan, lm, mixing, neardup, oracles, quality, secretscan, sharding, suffixes, tokens
 
 
 def queries() -> dict:
@@ -21,4 +21,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other methods (regex positions, checksums, tokenizers, trained models, similarity components) are tested against
+    brute force instead."""
+    return {"op4_quality_rules": oracles.quality_rules()}
