@@ -7,71 +7,71 @@ a family, level 3 bare mentions. Within a level earlier rules win.
 """
 
 TABLE = """
-0 | agpl-3-or-later | affero | gnu affero general public license (?:version |v )?3(?: 0)? or (?:any )?later(?: version)?
-0 | agpl-3 | affero | gnu affero general public license (?:as published by the free software foundation )?(?:version |v )?3(?: 0)?
-0 | agpl-1 | affero | affero general public license (?:version |v )?1(?: 0)?
+0 | agpl-3-or-later | affero | gnu affero general public license (?:version |v ?)?3(?: 0)? or (?:any )?later(?: version)?
+0 | agpl-3 | affero | gnu affero general public license (?:as published by the free software foundation )?(?:version |v ?)?3(?: 0)?
+0 | agpl-1 | affero | affero general public license (?:version |v ?)?1(?: 0)?
 0 | lgpl-2-or-later | library | gnu library general public license (?:as published by the free software foundation )?(?:either )?version 2 (?:of the license )?or (?:at your option )?any later version
-0 | lgpl-2 | library | gnu library general public license (?:version |v )?2(?: 0)?
+0 | lgpl-2 | library | gnu library general public license (?:version |v ?)?2(?: 0)?
 0 | lgpl-2-1-or-later | lesser | gnu lesser general public license (?:as published by the free software foundation )?(?:either )?version 2 1 (?:of the license )?or (?:at your option )?any later version
-0 | lgpl-2-1 | lesser | gnu lesser general public license (?:version |v )?2 1
+0 | lgpl-2-1 | lesser | gnu lesser general public license (?:version |v ?)?2 1
 0 | lgpl-3-or-later | lesser | gnu lesser general public license (?:as published by the free software foundation )?(?:either )?version 3 (?:of the license )?or (?:at your option )?any later version
-0 | lgpl-3 | lesser | gnu lesser general public license (?:version |v )?3(?: 0)?
+0 | lgpl-3 | lesser | gnu lesser general public license (?:version |v ?)?3(?: 0)?
 0 | gpl-1-or-later | general | gnu general public license as published by the free software foundation either version 1 or (?:at your option )?any later version
 0 | gpl-2-or-later | general | gnu general public license (?:as published by the free software foundation )?(?:either )?version 2 (?:of the license )?or (?:at your option )?any later version
 0 | gpl-2-only | general | gnu general public license (?:as published by the free software foundation )?version 2 only
 0 | gpl-2-classpath | classpath | gnu general public license version 2 (?:only )?with (?:the )?classpath exception
-0 | gpl-2 | general | gnu general public license (?:version |v )?2(?: 0)?
+0 | gpl-2 | general | gnu general public license (?:version |v ?)?2(?: 0)?
 0 | gpl-3-or-later | general | gnu general public license (?:as published by the free software foundation )?(?:either )?version 3 (?:of the license )?or (?:at your option )?any later version
 0 | gpl-3-only | general | gnu general public license (?:as published by the free software foundation )?version 3 only
-0 | gpl-3 | general | gnu general public license (?:version |v )?3(?: 0)?
-0 | gfdl-1-3 | documentation | gnu free documentation license (?:version |v )?1 3
-0 | gfdl-1-2 | documentation | gnu free documentation license (?:version |v )?1 2
-0 | gfdl-1-1 | documentation | gnu free documentation license (?:version |v )?1 1
+0 | gpl-3 | general | gnu general public license (?:version |v ?)?3(?: 0)?
+0 | gfdl-1-3 | documentation | gnu free documentation license (?:version |v ?)?1 3
+0 | gfdl-1-2 | documentation | gnu free documentation license (?:version |v ?)?1 2
+0 | gfdl-1-1 | documentation | gnu free documentation license (?:version |v ?)?1 1
 0 | apache-2 | apache | licensed under the apache license version 2(?: 0)?(?: the license)?
 0 | apache-2 | apache | apache license version 2(?: 0)?(?: january 2004)?
-0 | apache-1-1 | apache | apache (?:software )?license (?:version |v )?1 1
-0 | apache-1-0 | apache | apache (?:software )?license (?:version |v )?1 0
+0 | apache-1-1 | apache | apache (?:software )?license (?:version |v ?)?1 1
+0 | apache-1-0 | apache | apache (?:software )?license (?:version |v ?)?1 0
 0 | mpl-2 | mozilla | (?:this source code form is )?subject to the terms of the mozilla public license v 2 0
-0 | mpl-2 | mozilla | mozilla public license (?:version |v )?2(?: 0)?
-0 | mpl-1-1 | mozilla | mozilla public license (?:version |v )?1 1
-0 | mpl-1-0 | mozilla | mozilla public license (?:version |v )?1 0
-0 | epl-2 | eclipse | eclipse public license (?:version |v )?2(?: 0)?
-0 | epl-1 | eclipse | eclipse public license (?:version |v )?1(?: 0)?
-0 | edl-1 | eclipse | eclipse distribution license (?:version |v )?1(?: 0)?
-0 | cddl-1-1 | distribution | common development and distribution license (?:cddl )?(?:version |v )?1 1
-0 | cddl-1-0 | distribution | common development and distribution license (?:cddl )?(?:version |v )?1 0
-0 | cpl-1 | common | common public license (?:version |v )?1 0
-0 | cpal-1 | attribution | common public attribution license (?:version |v )?1 0
-0 | eupl-1-2 | european | european union public licen[cs]e (?:version |v )?(?:v )?1 2
-0 | eupl-1-1 | european | european union public licen[cs]e (?:version |v )?(?:v )?1 1
-0 | osl-3 | open | open software license (?:version |v )?3 0
-0 | osl-2-1 | open | open software license (?:version |v )?2 1
-0 | afl-3 | academic | academic free license (?:version |v )?3 0
-0 | afl-2-1 | academic | academic free license (?:version |v )?2 1
-0 | artistic-2 | artistic | (?:the )?artistic license (?:version |v )?2 0
-0 | artistic-1 | artistic | (?:the )?artistic license (?:version |v )?1 0
+0 | mpl-2 | mozilla | mozilla public license (?:version |v ?)?2(?: 0)?
+0 | mpl-1-1 | mozilla | mozilla public license (?:version |v ?)?1 1
+0 | mpl-1-0 | mozilla | mozilla public license (?:version |v ?)?1 0
+0 | epl-2 | eclipse | eclipse public license (?:version |v ?)?2(?: 0)?
+0 | epl-1 | eclipse | eclipse public license (?:version |v ?)?1(?: 0)?
+0 | edl-1 | eclipse | eclipse distribution license (?:version |v ?)?1(?: 0)?
+0 | cddl-1-1 | distribution | common development and distribution license (?:cddl )?(?:version |v ?)?1 1
+0 | cddl-1-0 | distribution | common development and distribution license (?:cddl )?(?:version |v ?)?1 0
+0 | cpl-1 | common | common public license (?:version |v ?)?1 0
+0 | cpal-1 | attribution | common public attribution license (?:version |v ?)?1 0
+0 | eupl-1-2 | european | european union public licen[cs]e (?:version |v ?)?(?:v )?1 2
+0 | eupl-1-1 | european | european union public licen[cs]e (?:version |v ?)?(?:v )?1 1
+0 | osl-3 | open | open software license (?:version |v ?)?3 0
+0 | osl-2-1 | open | open software license (?:version |v ?)?2 1
+0 | afl-3 | academic | academic free license (?:version |v ?)?3 0
+0 | afl-2-1 | academic | academic free license (?:version |v ?)?2 1
+0 | artistic-2 | artistic | (?:the )?artistic license (?:version |v ?)?2 0
+0 | artistic-1 | artistic | (?:the )?artistic license (?:version |v ?)?1 0
 0 | bsl-1 | boost | (?:distributed under the )?boost software license version 1 0
-0 | busl-1-1 | business | business source license (?:version |v )?1 1
-0 | sspl-1 | server | server side public license (?:version |v )?1
-0 | elastic-2 | elastic | elastic license (?:version |v )?2 0
+0 | busl-1-1 | business | business source license (?:version |v ?)?1 1
+0 | sspl-1 | server | server side public license (?:version |v ?)?1
+0 | elastic-2 | elastic | elastic license (?:version |v ?)?2 0
 0 | polyform-nc | polyform | polyform noncommercial license (?:version )?1 0 0
 0 | polyform-sb | polyform | polyform small business license (?:version )?1 0 0
 0 | polyform-shield | polyform | polyform shield license (?:version )?1 0 0
 0 | psf-2 | python | python software foundation license(?: version 2)?
 0 | php-3-01 | php | (?:the )?php license version 3 01
 0 | ruby | ruby | (?:the )?ruby license
-0 | zpl-2-1 | zope | zope public license (?:zpl )?(?:version |v )?2 1
+0 | zpl-2-1 | zope | zope public license (?:zpl )?(?:version |v ?)?2 1
 0 | w3c | w3c | w3c software (?:notice and license|and document notice and license)
 0 | ms-pl | microsoft | microsoft public license(?: ms pl)?
 0 | ms-rl | microsoft | microsoft reciprocal license(?: ms rl)?
-0 | ofl-1-1 | font | sil open font license (?:version |v )?1 1
-0 | ipl-1 | ibm | ibm public license (?:version |v )?1 0
-0 | upl-1 | universal | universal permissive license (?:version |v )?1 0
-0 | apsl-2 | apple | apple public source license (?:version |v )?2 0
-0 | nasa-1-3 | nasa | nasa open source agreement (?:version |v )?1 3
-0 | lppl-1-3c | latex | latex project public license (?:version |v )?1 3c?
-0 | ecl-2 | educational | educational community license (?:version |v )?2 0
-0 | mulan-2 | mulan | mulan permissive software license (?:version |v )?2
+0 | ofl-1-1 | font | sil open font license (?:version |v ?)?1 1
+0 | ipl-1 | ibm | ibm public license (?:version |v ?)?1 0
+0 | upl-1 | universal | universal permissive license (?:version |v ?)?1 0
+0 | apsl-2 | apple | apple public source license (?:version |v ?)?2 0
+0 | nasa-1-3 | nasa | nasa open source agreement (?:version |v ?)?1 3
+0 | lppl-1-3c | latex | latex project public license (?:version |v ?)?1 3c?
+0 | ecl-2 | educational | educational community license (?:version |v ?)?2 0
+0 | mulan-2 | mulan | mulan permissive software license (?:version |v ?)?2
 0 | cecill-2-1 | cecill | cecill free software license agreement(?: version 2 1)?
 0 | odbl-1 | database | open (?:data commons open )?database license(?: v?1 0)?
 0 | odc-by-1 | commons | open data commons attribution license(?: v?1 0)?
@@ -201,11 +201,11 @@ TABLE = """
 1 | lgpl-3 | lgplv3 | lgplv3
 1 | lgpl-2-1 | lgplv2 | lgplv2(?: 1)?
 1 | agpl-3 | agplv3 | agplv3
-1 | gpl-2 | gpl | gpl (?:version |v )?2(?: 0)?
-1 | gpl-3 | gpl | gpl (?:version |v )?3(?: 0)?
-1 | lgpl-2-1 | lgpl | lgpl (?:version |v )?2 1
-1 | lgpl-3 | lgpl | lgpl (?:version |v )?3(?: 0)?
-1 | agpl-3 | agpl | agpl (?:version |v )?3(?: 0)?
+1 | gpl-2 | gpl | gpl (?:version |v ?)?2(?: 0)?
+1 | gpl-3 | gpl | gpl (?:version |v ?)?3(?: 0)?
+1 | lgpl-2-1 | lgpl | lgpl (?:version |v ?)?2 1
+1 | lgpl-3 | lgpl | lgpl (?:version |v ?)?3(?: 0)?
+1 | agpl-3 | agpl | agpl (?:version |v ?)?3(?: 0)?
 1 | mit | mit | under the (?:terms of the )?mit license
 1 | mit | mit | license mit
 1 | bsd-3 | bsd | license bsd 3 clause
