@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import read
+from loomgraph.llm.common import cut, read
 from loomgraph.llm.spans import matches
 
 #: Fixed by the contract: kinds in order, with what a match must have.
@@ -85,7 +85,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "lang") -> Da
     A repository is the pair of its owner and the column ``repository``.
     """
     found = candidates(docs.select("doc_id", "text", F.col(owner).alias("owner"), F.col(repository).alias("repository"))).drop("text")
-    keyed = found.withColumn("__key", F.xxhash64("doc_id", F.to_json("__spans")))
+    # texts are matched once; what follows reads spans only
+    keyed = cut(found.withColumn("__key", F.xxhash64("doc_id", F.to_json("__spans"))), "spans")
     each = keyed.filter(F.size("__spans") > 0).select("doc_id", "__key", "owner", "repository", F.explode("__spans").alias("s")).distinct()
     each = each.select("doc_id", "__key", "owner", "repository", "s.start", "s.k", "s.end", F.sha2("s.value", 256).alias("hash"), F.size(F.array_distinct(F.split("s.value", ""))).alias("n_chars"))
     freq = ownership(each, "owner", "repository")
