@@ -57,7 +57,7 @@ PLANS = {
     "o047_prototype_trim": "proto_trim_out",
     "o048_prototype_selfw": "proto_selfw_out",
     "o049_advisor": "advisor",
-    "o050_extra_candidate": "extra_candidate",
+    "o050_extra_candidate": "extra_candidate_out",
     "o051_edge_sigma": "edge_sigma_out",
     "o052_best_move": "best_move_out",
     "o053_sn_value": "sn_value",

@@ -91,6 +91,7 @@ define(
         "sim_descr": _sim("descr"),
         "advisor": "SELECT node, comm FROM (SELECT node, comm, row_number() OVER (PARTITION BY node ORDER BY round(s, 12) DESC, comm) AS rk FROM {sim_descr}) WHERE rk = 1",
         "extra_candidate": "SELECT c.node, CASE WHEN t.comm = a.comm AND t.comm <> c.comm THEN t.comm END AS agree, CASE WHEN t.comm <> c.comm THEN t.comm END AS cent, CASE WHEN a.comm <> c.comm THEN a.comm END AS descr FROM {vcomms} c JOIN {top3} t ON c.node = t.node AND t.rk = 1 JOIN {advisor} a ON c.node = a.node",
+        "extra_candidate_out": "SELECT node, coalesce(agree, -1) AS agree, coalesce(cent, -1) AS cent, coalesce(descr, -1) AS descr FROM {extra_candidate}",
         "edge_sigma": "SELECT avg(sqrt(greatest(0e0, $dot(u.x; u.x) + $dot(v.x; v.x) - 2e0 * $dot(u.x; v.x)))) AS sigma FROM {vedges} e JOIN {emb} u ON e.src = u.node JOIN {emb} v ON e.dst = v.node",
         "edge_sigma_out": "SELECT $r(sigma) AS sigma FROM {edge_sigma}",
         "shuffled_emb": "SELECT a.node, b.x FROM (SELECT node, row_number() OVER (ORDER BY node) AS i FROM {emb}) a JOIN (SELECT x, row_number() OVER (ORDER BY md5(concat('123:', CAST(node AS VARCHAR(20)))), node) AS i FROM {emb}) b ON a.i = b.i",

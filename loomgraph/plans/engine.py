@@ -14,6 +14,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.storage import cut
+
+#: Relations that cost a self-join, a distinct or a similarity to every prototype: where a plan reads one more than
+#: once, it is written to the shared folder first instead of being computed for each reader.
+SHARED = {"edges", "nbr_comm", "sim", "sim_descr", "v_move_gain", "rdm_move_gain", "move_log", "signals", "rdm_merge_gain"}
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 _SPARK: dict[str, Callable[..., str]] = {
@@ -79,11 +85,24 @@ def inputs(name: str) -> list[str]:
 def plan(spark: SparkSession, name: str, sf_dir: str | None = None, **given: DataFrame) -> DataFrame:
     """The relation ``name``; inputs in ``given`` replace relations or tables of that name."""
     done: dict[str, DataFrame] = dict(given)
+    readers: dict[str, int] = {}
+    seen: set[str] = set()
+
+    def count(x: str) -> None:
+        if x in RELATIONS and x not in given and x not in seen:
+            seen.add(x)
+            for i in _INPUT.findall(RELATIONS[x]):
+                readers[i] = readers.get(i, 0) + 1
+                count(i)
+
+    count(name)
 
     def of(x: str) -> DataFrame:
         if x not in done:
             if x in RELATIONS:
                 done[x] = spark.sql(render(RELATIONS[x], _SPARK), **{i: of(i) for i in inputs(x)})
+                if x in SHARED and readers.get(x, 0) > 1:
+                    done[x] = cut(done[x], x)
             elif sf_dir is not None and x in TABLES:
                 done[x] = spark.read.parquet(f"{sf_dir}/{x}.parquet")
             else:
