@@ -41,6 +41,8 @@ SKETCH = 128
 #: Sketch bits that must agree; two sets with similarity 0.8 agree in 115 on average, with deviation 3.4.
 SKETCH_AGREE = 96
 SIMILARITY = 80
+#: Shingles that a task remembers before it builds a document's set anew.
+HELD_SHINGLES = 200_000
 #: Pairs whose ids are broadcast at most, 16 bytes each.
 BROADCAST_PAIRS = 250_000
 
@@ -280,12 +282,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         z = zstandard.ZstdDecompressor()
         left = None  # key and packed text of a pair's first row
         sets: dict[int, set] = {}
+        held = 0
 
         def of(doc: int, packed: bytes) -> set:
+            nonlocal held
             if doc not in sets:
-                if len(sets) > 256:
+                if held > HELD_SHINGLES:
                     sets.clear()
+                    held = 0
                 sets[doc] = shingle_set(z.decompress(packed).decode("utf-8", "surrogatepass"), k)
+                held += len(sets[doc])
             return sets[doc]
 
         for batch in batches:
