@@ -191,7 +191,8 @@ def matching(labelled: DataFrame) -> DataFrame:
     spark = labelled.sparkSession
     table = plan(spark, "contingency", labelled=labelled).toPandas().pivot_table(index="pred", columns="y", values="n", fill_value=0)
     pairs = assignment(table.to_numpy()) if table.size else []
-    rows = [(table.index[i].item() if hasattr(table.index[i], "item") else table.index[i], table.columns[j], int(table.iat[i, j])) for i, j in pairs]
+    plain = lambda v: v.item() if hasattr(v, "item") else v
+    rows = [(plain(table.index[i]), plain(table.columns[j]), int(table.iat[i, j])) for i, j in pairs]
     return spark.createDataFrame(rows, f"pred {labelled.schema['pred'].dataType.simpleString()}, y {labelled.schema['y'].dataType.simpleString()}, n long")
 
 
@@ -249,3 +250,51 @@ def semantic_clustering(nodes_emb: DataFrame, edges: DataFrame, comms: DataFrame
 def louvain_k(edges: DataFrame, nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Louvain, merged to exactly ``k`` (if it has more), then local moves that keep ``k``."""
     return local_move_exact(edges, merge_to_k(edges, louvain(edges, nodes, seed=seed), k), k, seed)
+
+
+#: Method name -> (relation of move gains, relation of the objective's value).
+OBJECTIVES = {
+    "near": ("sn_move_gain", "sn_value"),
+    "semantic": ("rdm_move_gain", "rdm_value"),
+    "three_factor": ("rdm3_move_gain", None),
+    "agree": ("agree_gain", None),
+}
+
+
+def objective_moves(emb: DataFrame, edges: DataFrame, comms: DataFrame, method: str, rounds: int = PHASES) -> DataFrame:
+    """Rounds of best positive moves under an objective over the vector graph; half of the movers go at a time.
+
+    Where the objective's value is one relation, a round that doesn't raise it is undone. No community is emptied.
+    """
+    spark, (gain, value) = comms.sparkSession, OBJECTIVES[method]
+    comms = cut(comms.select("node", "comm"), "objective")
+    given = lambda c: {"emb": emb, "vedges": edges, "vcomms": c, "vcount": c.agg(F.count("*").alias("n"))}
+    now = plan(spark, value, **given(comms)).head()[0] if value else None
+    for r in range(rounds):
+        moves = plan(spark, gain, **given(comms)).filter(F.col("gain") > EPS)
+        best = moves.groupBy("v").agg(F.max_by("b", F.struct(F.round("gain", 12), -F.col("b"))).alias("b")).filter(F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0)
+        new = comms.join(best.withColumnRenamed("v", "node"), "node", "left").select("node", "comm", F.coalesce("b", "comm").alias("to"))
+        stays = new.groupBy("comm").agg(F.count_if(F.col("to") == F.col("comm")).alias("left"))
+        new = cut(new.join(stays, "comm").select("node", F.when(F.col("left") > 0, F.col("to")).otherwise(F.col("comm")).alias("comm")), "objective")
+        if value:
+            then = plan(spark, value, **given(new)).head()[0]
+            if then is None or then <= now + EPS:
+                if r % 2:
+                    break
+                continue
+            now = then
+        elif not new.exceptAll(comms).head(1):
+            break
+        comms = new
+    return comms
+
+
+def near_clustering(emb: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """Louvain, moves under the spatially-near objective, merged to ``k``, moves again."""
+    start = objective_moves(emb, edges, louvain(edges, nodes, seed=seed), "near")
+    return objective_moves(emb, edges, merge_to_k(edges, start, k), "near")
+
+
+def three_factor_clustering(emb: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """Louvain merged to ``k``, then moves under graph, centroid and description together."""
+    return objective_moves(emb, edges, louvain_k(edges, nodes, k, seed), "three_factor")

@@ -106,3 +106,13 @@ def report(table: DataFrame, style: str = "markdown", most: int = 100) -> str:
     if style == "latex":
         return "\n".join(" & ".join(c.replace("_", r"\_").replace("%", r"\%") for c in x) + r" \\" for x in cells)
     raise ValueError(style)
+
+
+def cached_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines at ``path``, or no rows if nothing was written yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)

@@ -50,6 +50,13 @@ def test_every_relation_has_an_oracle():
     assert set(catalog.PLANS) <= set(oracles) and len(catalog.queries()) > 110
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the fixture tables")
+def test_golden_modularity_of_brands(spark):
+    brands = plan(spark, "classes", SF).select("node", F.col("label").alias("comm"))
+    row = plan(spark, "modularity", SF, comms=brands).head()
+    assert (int(row["m"]), row["n_comm"]) == (8899, 25) and abs(row["q"] + 0.0030038) < 1e-7
+
+
 def test_gains_are_differences_of_the_value(spark):
     edges, nodes = ring(spark)
     comms = nodes.select("node", F.expr("node % 5").alias("comm"))
@@ -96,3 +103,34 @@ def test_assignment_against_permutations():
         g = r.integers(0, 20, (n, m))
         best = max(sum(g[i, p[i]] for i in range(n)) for p in permutations(range(m), n)) if n <= m else max(sum(g[p[j], j] for j in range(m)) for p in permutations(range(n), m))
         assert sum(g[a, b] for a, b in moves.assignment(g)) == best
+
+
+def vector_ring(spark):
+    edges, nodes = ring(spark)
+    return edges, nodes.select("node", F.when(F.col("node") < 30, F.array(F.lit(1.0), F.lit(0.1))).otherwise(F.array(F.lit(0.1), F.lit(1.0))).alias("x"))
+
+
+@pytest.mark.parametrize("method", list(moves.OBJECTIVES))
+def test_objectives_repair_a_spoiled_partition(spark, method):
+    edges, emb = vector_ring(spark)
+    planted = emb.select("node", F.expr("CASE WHEN node < 30 THEN 0L ELSE 1L END").alias("comm"))
+    spoiled = planted.select("node", F.when(F.col("node").isin(3, 40, 51), 1 - F.col("comm")).otherwise(F.col("comm")).alias("comm"))
+    from loomgraph.functions import unit
+
+    given = emb.select("node", unit(F.col("x")).alias("x"))
+    got = moves.objective_moves(given, edges, spoiled, method, 6)
+    assert got.exceptAll(planted).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    from loomgraph import run
+
+    edges, emb = vector_ring(spark)
+    emb.select("node", F.lit("t").alias("text"), F.expr("CAST(node >= 30 AS INT)").alias("label"), "x").write.parquet(f"{tmp_path}/in/nodes")
+    edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).write.parquet(f"{tmp_path}/in/edges")
+    (tmp_path / "in" / "categories.csv").write_text("label,name\n0,a\n1,b\n")
+    for _ in range(2):
+        run.main(["--path", f"{tmp_path}/in", "--methods", "louvain", "--out", f"{tmp_path}/out"])
+    rows = spark.read.json(f"{tmp_path}/out/runs").collect()
+    assert len(rows) == 1 and rows[0]["nmi"] == 1 and rows[0]["acc"] == 1 and rows[0]["k"] == 2
+    assert spark.read.parquet(f"{tmp_path}/out/partitions").count() == 60
