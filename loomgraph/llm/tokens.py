@@ -39,7 +39,7 @@ BLOCK_BYTES = 4 << 20
 #: Documents and ids of each that the dictionary is trained on, at most; it shapes sizes only, never results.
 DICT_DOCS, DICT_IDS, DICT_BYTES = 1_000, 8_192, 64 << 10
 #: Pieces an encoder remembers in each of two generations; what the older one holds is taken over when it recurs.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
 
 BLOCKS = "part int, block int, first long, dict_hash string, doc_ids array<long>, offsets array<int>, n_tokens array<long>, payload binary"
 
@@ -73,7 +73,8 @@ class Encoder:
     with characters outside the plain range, or with what may be a special token, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -112,7 +113,7 @@ class Encoder:
         for i in range(0, len(texts), step):
             some = [_PIECE.findall(t) if _plain(t) else None for t in texts[i : i + step]]
             new = set().union(*[p for p in some if p]).difference(self.known)
-            if len(self.known) + len(new) > CACHE_PIECES:
+            if len(self.known) + len(new) > self.most:
                 self.past, self.known = self.known, {}
                 new = set().union(*[p for p in some if p])
             if new and self.past:
@@ -130,10 +131,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = CACHE_PIECES) -> Encoder:
     """One encoder for each Python worker."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most)
+    _encoders[path].most = most
     return _encoders[path]
 
 
@@ -157,8 +159,11 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
         return b""
 
 
-def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> str:
-    """Encode ``docs`` (doc_id, text) and write the blocks and the dictionary; returns the folder."""
+def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, cache_pieces: int = CACHE_PIECES) -> str:
+    """Encode ``docs`` (doc_id, text) and write the blocks and the dictionary; returns the folder.
+
+    ``cache_pieces`` trades the workers' memory (some 500 bytes each, in two generations) for encoding time.
+    """
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
     path = path or f"{shared_dir(spark)}/loomgraph-tokens-{uuid.uuid4().hex}"
@@ -170,8 +175,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False)
+        enc, part = encoder(vocabulary, cache_pieces), TaskContext.get().partitionId()
+        z = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False)
         block = first = held = 0
         ids: list = []
         frames: list[bytes] = []
@@ -259,4 +264,4 @@ def read_document(spark: SparkSession, path: str, doc_id: int, vocabulary_ids: i
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_tokens(spark, write_tokens(read(spark, sf_dir, "documents")))
+    return read_tokens(spark, write_tokens(read(spark, sf_dir, "documents"), cache_pieces=800_000))
