@@ -9,7 +9,9 @@
    as everything there chains up. The last rows of a range meet the first of the next in a second small step.
 3. Candidates that cannot be similar are dropped by set sizes (exact) and by a 128-bit sketch far below the
    threshold; the rest are confirmed on full sets of the words themselves.
-4. Links become components by star contraction. A first pass over few trees joins the bulk of crowded groups; the
+4. Groups that hold compared pairs near the similarity, but aren't joined, are compared with each other exactly, in
+   blocks: in a crowded region a document's few partners need not stand beside it in any order.
+5. Links become components by star contraction. A first pass over few trees joins the bulk of crowded groups; the
    second pass over the other trees skips pairs that are joined already, which changes no component.
 
 Nothing is collected; each document has at most 2 * REACH partners in a tree, and missing ones meet in other trees.
@@ -41,6 +43,11 @@ SKETCH = 128
 #: Sketch bits that must agree; two sets with similarity 0.8 agree in 115 on average, with deviation 3.4.
 SKETCH_AGREE = 96
 SIMILARITY = 80
+#: Compared pairs with this similarity show that their groups are near; two members that are linked to one document have
+#: 60 at least.
+NEAR = 60
+#: Documents of each of two groups that are compared in one block.
+BLOCK = 512
 #: Shingles that a task remembers before it builds a document's set anew.
 HELD_SHINGLES = 200_000
 #: Pairs whose ids are broadcast at most, 16 bytes each.
@@ -262,21 +269,30 @@ def candidates(classes: DataFrame, first: int = 0, last: int = TREES) -> DataFra
     return found.filter("a is not null").select("a", "b").unionByName(seams).distinct()
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
+
+
+def _packed(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """doc_id and compressed text; of documents in ``ids`` alone if those are few enough to be broadcast."""
+    docs = docs.select("doc_id", "text")
+    if n <= BROADCAST_PAIRS:
+        docs = docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    return docs.mapInArrow(_pack, "doc_id long, packed binary")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity; ``docs``: doc_id, text.
+    """(a, b, link) of the pairs whose full shingle sets reach NEAR; ``link``: they reach the similarity.
+
+    ``docs``: doc_id, text.
 
     Texts travel compressed, once to their pairs and once with each pair. Texts of documents in no pair stay where they
     are as long as the pairs are few enough for their ids to be broadcast; beyond, the join by doc_id drops them.
     """
     pairs = cut(pairs, "pairs")
-    docs = docs.select("doc_id", "text")
-    if pairs.count() <= BROADCAST_PAIRS:
-        docs = docs.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "doc_id", "left_semi")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -295,22 +311,73 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             return sets[doc]
 
         for batch in batches:
-            a, b = [], []
+            a, b, link = [], [], []
             for x, y, doc, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if left is not None and left[0] == (x, y):
                     if left[1] != doc:
                         s, t = of(left[1], left[2]), of(doc, packed)
                         both = len(s & t)
-                        if both and 100 * both >= SIMILARITY * (len(s) + len(t) - both):
-                            a.append(x), b.append(y)
+                        if both and 100 * both >= NEAR * (len(s) + len(t) - both):
+                            a.append(x), b.append(y), link.append(100 * both >= SIMILARITY * (len(s) + len(t) - both))
                 else:
                     left = ((x, y), doc, packed)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(link, pa.bool_())], ["a", "b", "link"])
+
+    held = ends.join(_packed(docs, ends, pairs.count()), "doc_id").select("a", "b", "doc_id", "packed")
+    return held.repartition(width(docs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(compare, "a long, b long, link boolean")
+
+
+def _met(table: pa.Table, k: int) -> pa.Table:
+    """One link (a, b) for each query of a block that has one, by counting shared shingles over an inverted index."""
+    z = zstandard.ZstdDecompressor()
+    kinds, ids = table.column("member").to_pylist(), table.column("doc_id").to_pylist()
+    sets = [shingle_set(z.decompress(x).decode("utf-8", "surrogatepass"), k) for x in table.column("packed").to_pylist()]
+    queries = [i for i, m in enumerate(kinds) if not m]
+    index: dict = {}
+    for q, i in enumerate(queries):
+        for g in sets[i]:
+            index.setdefault(g, []).append(q)
+    sizes = np.array([len(sets[i]) for i in queries])
+    links: dict[int, tuple[int, int]] = {}
+    for i in (i for i, m in enumerate(kinds) if m):
+        hits = [q for g in sets[i] for q in index.get(g, ())]
+        if hits:
+            both = np.bincount(hits, minlength=len(queries))
+            for q in np.flatnonzero((both > 0) & (100 * both >= SIMILARITY * (sizes + len(sets[i]) - both))).tolist():
+                links.setdefault(q, (ids[queries[q]], ids[i]))
+    return pa.table({"a": pa.array([x for x, _ in links.values()], pa.int64()), "b": pa.array([y for _, y in links.values()], pa.int64())})
+
+
+def between_groups(near: DataFrame, ids: DataFrame, joined: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) between groups that are near but not joined, by comparing the smaller group with all of the larger.
+
+    In a crowded region neighbours in an order may just miss the similarity while other members of the group reach
+    it. ``near`` (a, b) are compared pairs that missed it; every pair of groups that they name is searched exactly, in
+    blocks of BLOCK queries by BLOCK members, so no task holds a whole group.
+    """
+    group = cut(ids.select("id").distinct().join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("grp")), "groups")
+    sizes = group.groupBy("grp").agg(F.count("*").alias("size"))
+    side = lambda c: group.select(F.col("id").alias(c), F.col("grp").alias(f"g{c}"))
+    apart = near.join(side("a"), "a").join(side("b"), "b").filter("ga <> gb").select(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).distinct()
+    sized = apart.join(sizes.select(F.col("grp").alias("x"), F.col("size").alias("sx")), "x").join(sizes.select(F.col("grp").alias("y"), F.col("size").alias("sy")), "y")
+    less = F.struct("sx", "x") <= F.struct("sy", "y")
+    pick = lambda p, q: F.when(less, F.col(p)).otherwise(F.col(q))
+    tasks = cut(sized.select(pick("x", "y").alias("small"), pick("y", "x").alias("large"), F.ceil(pick("sx", "sy") / BLOCK).cast("int").alias("nq"), F.ceil(pick("sy", "sx") / BLOCK).cast("int").alias("nm")), "group-pairs")
 
-    packed = docs.mapInArrow(pack, "doc_id long, packed binary")
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    held = ends.join(packed, "doc_id").select("a", "b", "doc_id", "packed")
-    return held.repartition(width(docs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(compare, "a long, b long")
+    def rows(mine: str, blocks: str, others: str, member: bool) -> DataFrame:
+        """Documents of one side, each in its block and once for every block of the other side."""
+        own, copies = F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        held = tasks.join(group, F.col(mine) == F.col("grp")).select("small", "large", "id", own.alias("own"), copies.alias("copy"))
+        q, m = ("copy", "own") if member else ("own", "copy")
+        return held.select("small", "large", F.col(q).alias("q"), F.col(m).alias("m"), F.lit(member).alias("member"), F.col("id").alias("doc_id"))
+
+    wanted = cut(rows("small", "nq", "nm", False).unionByName(rows("large", "nm", "nq", True)), "blocks")
+    texts = _packed(docs, wanted, wanted.count()).dropDuplicates(["doc_id"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        return _met(table, k)
+
+    return wanted.join(texts, "doc_id").groupBy("small", "large", "q", "m").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -329,13 +396,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -
         values = named.select(F.col("doc_id").alias("id"), "n", F.col(sig).alias("sig"), "sketch")
         return comp.join(values, ["id", "n"]).select("id", "n", "comp", "sig", "sketch")
 
+    links_of = lambda df: df.filter("link").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     first = cut(confirmed(candidates(heads(ids.withColumn("comp", F.col("id")), "first"), 0, FIRST_TREES), docs, k), "links")
-    joined = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    joined = components(links_of(first))
     comp = ids.join(joined, ids["id"] == joined["node"], "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
-    rest = heads(comp, "other")
-    second = cut(confirmed(candidates(rest, FIRST_TREES, TREES), docs, k), "links")
-    both = joined.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(second.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    found = components(both.unionByName(links))
+    second = cut(confirmed(candidates(heads(comp, "other"), FIRST_TREES, TREES), docs, k), "links")
+    star = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    joined = components(star.unionByName(links_of(second)))
+    near = first.filter("not link").unionByName(second.filter("not link")).select("a", "b")
+    third = between_groups(near, ids, joined, docs, k).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    star = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    found = components(star.unionByName(third).unionByName(links))
     named_components = found.withColumnRenamed("component", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(named_components, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component_id", "doc_id")
