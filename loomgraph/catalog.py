@@ -63,13 +63,13 @@ PLANS = {
     "o053_sn_value": "sn_value",
     "o054_sn_move_gain": "sn_move_gain_out",
     "o055_sn_merge_gain": "sn_merge_gain",
-    "o056_semantic_move_gain": "rdm_move_gain_out",
-    "o056_semantic_value": "rdm_value",
+    "o056_semantic_move_gain": "semantic_move_gain_out",
+    "o056_semantic_value": "semantic_value",
     "o057_drop_gain": "drop_gain",
-    "o058_semantic_merge_gain": "rdm_merge_gain",
-    "o059_apply_semantic_merge": "rdm_merged",
+    "o058_semantic_merge_gain": "semantic_merge_gain",
+    "o059_apply_semantic_merge": "semantic_merged",
     "o060_agreement_gain": "agree_gain",
-    "o061_three_factor_gain": "rdm3_move_gain_out",
+    "o061_three_factor_gain": "three_factor_move_gain_out",
     "o063_local_round": "local_round",
     "o069_shuffled_control": "shuffled_out",
     "o070_evidence_order": "evidence_order",

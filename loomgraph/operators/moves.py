@@ -255,8 +255,8 @@ def louvain_k(edges: DataFrame, nodes: DataFrame, k: int, seed: int = 0) -> Data
 #: Method name -> (relation of move gains, relation of the objective's value).
 OBJECTIVES = {
     "near": ("sn_move_gain", "sn_value"),
-    "semantic": ("rdm_move_gain", "rdm_value"),
-    "three_factor": ("rdm3_move_gain", None),
+    "semantic": ("semantic_move_gain", "semantic_value"),
+    "three_factor": ("three_factor_move_gain", None),
     "agree": ("agree_gain", None),
 }
 

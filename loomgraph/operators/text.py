@@ -36,7 +36,7 @@ define(
         "listed_ids": "SELECT node, CAST(row_number() OVER (ORDER BY node) - 1 AS BIGINT) AS id FROM (SELECT src AS node FROM {listed_edges} UNION SELECT dst AS node FROM {listed_edges})",
         "listed_graph": "SELECT s.id AS src, t.id AS dst FROM {listed_edges} e JOIN {listed_ids} s ON e.src = s.node JOIN {listed_ids} t ON e.dst = t.node",
         "listed_names": "SELECT label, category AS name FROM (SELECT label, category, row_number() OVER (PARTITION BY label ORDER BY node) AS rk FROM {neighbour_lists}) WHERE rk = 1",
-        "pred_files": "SELECT DISTINCT concat(event_type, '_rdm_l0.5_s', CAST(event_id % 5 AS VARCHAR(2)), '_audit.npy') AS file FROM {events}",
+        "pred_files": "SELECT DISTINCT concat(event_type, '_semantic_l0.5_s', CAST(event_id % 5 AS VARCHAR(2)), '_audit.npy') AS file FROM {events}",
         "pred_parts": "SELECT file, regexp_extract(file, '^([a-z_]+?)_([a-z]+)_l([0-9.]+)_s([0-9]+)_([a-z]+)[.]npy', 1) AS dataset, regexp_extract(file, '_l([0-9.]+)_s', 1) AS lam, regexp_extract(file, '_s([0-9]+)_', 1) AS seed, regexp_extract(file, '_([a-z]+)[.]npy', 1) AS tag FROM {pred_files}",
         "done_runs": "SELECT dataset, method, seed FROM {runs} WHERE seed < 2 GROUP BY dataset, method, seed",
         "open_runs": "SELECT DISTINCT r.dataset, r.method, r.seed FROM {runs} r LEFT JOIN {done_runs} d ON r.dataset = d.dataset AND r.method = d.method AND r.seed = d.seed WHERE d.dataset IS NULL",

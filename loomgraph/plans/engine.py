@@ -18,7 +18,7 @@ from loomgraph.storage import cut
 
 #: Relations that cost a self-join, a distinct or a similarity to every prototype: where a plan reads one more than
 #: once, it is written to the shared folder first instead of being computed for each reader.
-SHARED = {"edges", "nbr_comm", "sim", "sim_descr", "v_move_gain", "rdm_move_gain", "move_log", "signals", "rdm_merge_gain"}
+SHARED = {"edges", "nbr_comm", "sim", "sim_descr", "v_move_gain", "semantic_move_gain", "move_log", "signals", "semantic_merge_gain"}
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
