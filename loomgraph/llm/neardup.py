@@ -362,22 +362,27 @@ def between_groups(near: DataFrame, ids: DataFrame, joined: DataFrame, docs: Dat
     sized = apart.join(sizes.select(F.col("grp").alias("x"), F.col("size").alias("sx")), "x").join(sizes.select(F.col("grp").alias("y"), F.col("size").alias("sy")), "y")
     less = F.struct("sx", "x") <= F.struct("sy", "y")
     pick = lambda p, q: F.when(less, F.col(p)).otherwise(F.col(q))
-    tasks = cut(sized.select(pick("x", "y").alias("small"), pick("y", "x").alias("large"), F.ceil(pick("sx", "sy") / BLOCK).cast("int").alias("nq"), F.ceil(pick("sy", "sx") / BLOCK).cast("int").alias("nm")), "group-pairs")
+    tasks = cut(sized.select(pick("x", "y").alias("small"), pick("y", "x").alias("large"), F.ceil(pick("sy", "sx") / BLOCK).cast("int").alias("nm")), "group-pairs")
+    # all small groups near one large group are its queries
+    queries = cut(tasks.join(group, F.col("small") == F.col("grp")).select("large", "nm", "id").distinct(), "queries")
+    members = queries.groupBy("large").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq"), F.max("nm").alias("nm"))
 
-    def rows(mine: str, blocks: str, others: str, member: bool) -> DataFrame:
+    def rows(held: DataFrame, blocks: str, others: str, member: bool) -> DataFrame:
         """Documents of one side, each in its block and once for every block of the other side."""
         own, copies = F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
-        held = tasks.join(group, F.col(mine) == F.col("grp")).select("small", "large", "id", own.alias("own"), copies.alias("copy"))
+        placed = held.select("large", "id", own.alias("own"), copies.alias("copy"))
         q, m = ("copy", "own") if member else ("own", "copy")
-        return held.select("small", "large", F.col(q).alias("q"), F.col(m).alias("m"), F.lit(member).alias("member"), F.col("id").alias("doc_id"))
+        return placed.select("large", F.col(q).alias("q"), F.col(m).alias("m"), F.lit(member).alias("member"), F.col("id").alias("doc_id"))
 
-    wanted = cut(rows("small", "nq", "nm", False).unionByName(rows("large", "nm", "nq", True)), "blocks")
+    asked = queries.drop("nm").join(members, "large")
+    held = members.join(group, F.col("large") == F.col("grp")).select("large", "nq", "nm", "id")
+    wanted = cut(rows(asked, "nq", "nm", False).unionByName(rows(held, "nm", "nq", True)), "blocks")
     texts = _packed(docs, wanted, wanted.count()).dropDuplicates(["doc_id"])
 
     def meet(table: pa.Table) -> pa.Table:
         return _met(table, k)
 
-    return wanted.join(texts, "doc_id").groupBy("small", "large", "q", "m").applyInArrow(meet, "a long, b long")
+    return wanted.join(texts, "doc_id").groupBy("large", "q", "m").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -> DataFrame:
