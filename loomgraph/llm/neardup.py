@@ -4,17 +4,22 @@
    values. Documents with equal sets are one class, represented by the smallest doc_id: copies are never paired.
 2. Each tree is one sorted order of the classes by their DEPTH values. Rows are dealt out by range of the order, so a
    region of any density spreads over tasks, and neighbours are compared in the order: a pair is a candidate if it
-   stands within REACH places and shares at least MIN_PREFIX values. How deep the prefix of the nearest neighbours
-   reaches adapts to how crowded the region is; where a common prefix is as long as DEEP, direct neighbours suffice,
-   as everything there chains up. The last rows of a range meet the first of the next in a second small step.
+   stands within REACH places and shares at least MIN_PREFIX values; where a common prefix is as long as DEEP, direct
+   neighbours alone are compared. Rows that share a prefix with rows beyond that are crowded: both ends of every pair
+   with a common prefix that is not compared here are, and step 5 joins them. The last rows of a range meet the first
+   of the next in a second small step.
 3. Candidates that cannot be similar are dropped by set sizes (exact) and by a 128-bit sketch far below the
    threshold; the rest are confirmed on full sets of the words themselves.
 4. Groups that hold compared pairs near the similarity, but aren't joined, are compared with each other exactly, in
    blocks: in a crowded region a document's few partners need not stand beside it in any order.
-5. Links become components by star contraction. A first pass over few trees joins the bulk of crowded groups; the
-   second pass over the other trees skips pairs that are joined already, which changes no component.
+5. Crowded classes are joined exactly by a prefix filter: of two sets with the similarity, the rarest shingles of each
+   (a fifth) share one. Which shingles are rare is estimated from some documents; any order gives the same links.
+   Pairs that pass the exact filters by size and place and the sketch of step 3 are confirmed on full sets, in blocks.
+6. Links become components by star contraction. A first pass over few trees joins the bulk of crowded groups; later
+   passes skip pairs that are joined already, which changes no component.
 
-Nothing is collected; each document has at most 2 * REACH partners in a tree, and missing ones meet in other trees.
+What is collected is a table of at most ORDERED_SHINGLES counts. A pair at the similarity shares no prefix in any tree
+with a probability of 2e-11, however crowded its region is.
 
 Defined results of the odd cases
 * null or empty text, white space only: an empty set, linked with nothing, its own component, kept.
@@ -25,6 +30,7 @@ Defined results of the odd cases
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +45,8 @@ from loomgraph.operators.components import components
 TREES, DEPTH = 24, 8
 FIRST_TREES = 4
 MIN_PREFIX, DEEP, REACH = 2, 6, 4
+#: Rows at the ends of a range that the next range has to see.
+RIM = REACH + 1
 SKETCH = 128
 #: Sketch bits that must agree; two sets with similarity 0.8 agree in 115 on average, with deviation 3.4.
 SKETCH_AGREE = 96
@@ -48,6 +56,10 @@ SIMILARITY = 80
 NEAR = 60
 #: Documents of each of two groups that are compared in one block.
 BLOCK = 512
+#: Classes whose shingles are counted to order the shingles of crowded classes, and counts that are broadcast, at most (about).
+ORDERING_CLASSES, ORDERED_SHINGLES = 20_000, 200_000
+#: Rows of one shingle that meet in one block.
+POSTINGS = 2048
 #: Shingles that a task remembers before it builds a document's set anew.
 HELD_SHINGLES = 200_000
 #: Pairs whose ids are broadcast at most, 16 bytes each.
@@ -185,7 +197,7 @@ def _orders(classes: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def _neighbours(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among rows in label order."""
+    """Candidate pairs among rows in label order; a crowded row is a pair with itself."""
     labels, n = rows["label"], len(rows["id"])
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -204,7 +216,15 @@ def _neighbours(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             apart = np.bitwise_count(rows["sketch"][i] ^ rows["sketch"][i + d]).sum(axis=1)
             i = i[SKETCH - apart >= SKETCH_AGREE]
             out_a.append(rows["id"][i]), out_b.append(rows["id"][i + d])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+    # crowded: a common prefix reaches beyond the places compared
+    crowd = np.zeros(n, bool)
+    for d, least in ((REACH + 1, MIN_PREFIX), (2, DEEP)):
+        if n > d:
+            i = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(near, d).min(axis=1) >= least)
+            for j in range(d + 1):
+                crowd[i + j] = True
+    own = np.unique(rows["id"][crowd])
+    a, b = (np.concatenate([*x, own]) for x in (out_a, out_b))
     return np.minimum(a, b), np.maximum(a, b)
 
 
@@ -231,13 +251,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = _load(batch)
-        if head < REACH:
-            yield rim(rows, slice(0, REACH - head))
-            head += min(REACH - head, batch.num_rows)
+        if head < RIM:
+            yield rim(rows, slice(0, RIM - head))
+            head += min(RIM - head, batch.num_rows)
         if tail is not None:
             rows = {c: np.concatenate([tail[c], rows[c]]) for c in rows}
         a, b = _neighbours(rows)
-        tail = {c: rows[c][-REACH:] for c in rows}
+        tail = {c: rows[c][-RIM:] for c in rows}
         if len(a):
             k = len(a)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), *[pa.nulls(k, pa.int64())] * 3], ["a", "b", "part", "label", "sketch", "id", "n", "comp"])
@@ -246,7 +266,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(classes: DataFrame, first: int = 0, last: int = TREES) -> DataFrame:
-    """Distinct pairs a < b of classes (id, n, comp, sig, sketch) that are near in one of the sorted orders.
+    """Distinct pairs a < b of classes (id, n, comp, sig, sketch) that are near in one of the sorted orders, and a = b for
+    classes that are crowded in one.
 
     ``sig`` has the values of the trees from ``first`` to before ``last``.
     """
@@ -261,10 +282,10 @@ def candidates(classes: DataFrame, first: int = 0, last: int = TREES) -> DataFra
                 rows = _load(b)
                 if tail is not None:
                     rows = {c: np.concatenate([tail[c], rows[c]]) for c in rows}
-                tail = {c: rows[c][-REACH:] for c in rows}
+                tail = {c: rows[c][-RIM:] for c in rows}
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in _neighbours(rows)], ["a", "b"])
 
-    # at most 2 * REACH rows for each range of the order meet here
+    # at most 2 * RIM rows for each range of the order meet here
     seams = rims.coalesce(1).sortWithinPartitions("label", "id").mapInArrow(across, "a long, b long")
     return found.filter("a is not null").select("a", "b").unionByName(seams).distinct()
 
@@ -385,6 +406,120 @@ def between_groups(near: DataFrame, ids: DataFrame, joined: DataFrame, docs: Dat
     return wanted.join(texts, "doc_id").groupBy("large", "q", "m").applyInArrow(meet, "a long, b long")
 
 
+def _rare_first(h: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles ``h`` from rare to frequent by the counts of ``known`` ones (sorted), then by hash."""
+    if not len(known):
+        return h
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return h[np.lexsort((h, np.where(known[at] == h, counts[at], 0)))]
+
+
+def _met_postings(run: np.ndarray, own: np.ndarray, inside: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of rows with equal ``run`` numbers (ascending) that pass the filters; from two blocks unless ``inside``."""
+    end = np.searchsorted(run, run, side="right")
+    i, d, out = np.arange(len(run)), 1, [np.zeros((0, 2), np.int64)]
+    while len(i := i[i + d < end[i]]):
+        j = i + d
+        need = SIMILARITY * (rows["n"][i] + rows["n"][j])
+        ok = (rows["comp"][i] != rows["comp"][j]) & (rows["id"][i] != rows["id"][j]) & (inside[i] | (own[i] != own[j]))
+        ok &= (100 + SIMILARITY) * np.minimum(rows["left"][i], rows["left"][j]) >= need
+        a, b = i[ok], j[ok]
+        apart = np.bitwise_count(rows["sketch"][a] ^ rows["sketch"][b]).sum(axis=1)
+        close = SKETCH - apart >= SKETCH_AGREE
+        out.append(np.stack([rows["id"][a[close]], rows["id"][b[close]]], axis=1))
+        d += 1
+    return tuple(np.unique(np.sort(np.concatenate(out), axis=1), axis=0).T)
+
+
+def crowded_pairs(crowd: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Pairs a < b of the classes ``crowd`` (id, comp, sketch) with different comp that a prefix filter does not exclude.
+
+    Every pair that reaches the similarity is among them: it shares one of the rarest shingles of each set, and at the
+    first that it shares as many shingles are left in both as the similarity takes.
+    """
+    spark = docs.sparkSession
+    texts = cut(crowd.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), "crowd")
+    step = max(1, math.ceil(texts.count() / ORDERING_CLASSES))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, c = np.unique(np.concatenate([np.zeros(0, _U), *(shingle_hashes(t, k) for t in b.column(0).to_pylist())]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["hash", "c"])
+
+    some = texts.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("text").mapInArrow(count, "hash long, c long")
+    got = some.groupBy("hash").agg(F.sum("c").alias("c")).filter("c > 1").orderBy(F.desc("c"), "hash").limit(ORDERED_SHINGLES).toPandas()
+    known, counts = got["hash"].to_numpy(np.int64).view(_U), got["c"].to_numpy(np.int64)
+    order = np.argsort(known)
+    held = spark.sparkContext.broadcast((known[order], counts[order]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                tokens, at, n, left = [], [], [], []
+                for i, t in enumerate(b.column(3).to_pylist()):
+                    h = _rare_first(shingle_hashes(t, k), *held.value)
+                    size = len(h) - -(-SIMILARITY * len(h) // 100) + 1 if len(h) else 0
+                    tokens.append(h[:size]), at.append(np.full(size, i)), n.append(np.full(size, len(h))), left.append(len(h) - np.arange(size))
+                own = pa.array(np.concatenate(at))
+                cols = [pa.array(np.concatenate(tokens).view(np.int64)), *(b.column(c).take(own) for c in range(3)), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (n, left))]
+                yield pa.RecordBatch.from_arrays(cols, ["token", "id", "comp", "sketch", "n", "left"])
+
+    rows = cut(texts.select("id", "comp", "sketch", "text").mapInArrow(prefixes, "token long, id long, comp long, sketch binary, n long, left long"), "prefixes")
+    shared = rows.groupBy("token").agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").drop("low", "high")
+    placed = rows.join(shared, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "comp", "sketch", "n", "left")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def pairs(b: pa.RecordBatch) -> pa.RecordBatch:
+            run = np.r_[0, np.cumsum(_changes(b))]
+            rows = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "n", "left")}
+            rows["sketch"] = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(b.num_rows, SKETCH // 8)
+            own, inside = b.column("own").to_numpy(), b.column("x").to_numpy() == b.column("y").to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _met_postings(run, own, inside, rows)], ["a", "b"])
+
+        for b in batches:
+            if b.num_rows:
+                whole = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+                ends = np.flatnonzero(_changes(whole))
+                done = int(ends[-1]) + 1 if len(ends) else 0
+                rest = whole.slice(done)
+                if done:
+                    yield pairs(whole.slice(0, done))
+        if rest is not None:
+            yield pairs(rest)
+
+    key = ["token", "x", "y"]
+    return placed.repartition(width(spark), *key).sortWithinPartitions(*key).mapInArrow(meet, "a long, b long").distinct()
+
+
+def _changes(b: pa.RecordBatch) -> np.ndarray:
+    """Whether token, x or y differ between each row and the next."""
+    return np.logical_or.reduce([np.diff(b.column(c).to_numpy()) != 0 for c in ("token", "x", "y")])
+
+
+def linked_in_blocks(pairs: DataFrame, docs: DataFrame, k: int, n_classes: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose full shingle sets reach the similarity; a text goes once to each block of pairs."""
+    blocks = F.lit(max(1, math.ceil(n_classes / BLOCK)))
+    block = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
+    pairs = cut(pairs.withColumn("x", block("a")).withColumn("y", block("b")), "crowd-pairs")
+    wanted = cut(pairs.select("x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "crowd-texts")
+    texts = wanted.join(_packed(docs, wanted, wanted.count()).dropDuplicates(["doc_id"]), "doc_id")
+
+    def compare(some: pa.Table, held: pa.Table) -> pa.Table:
+        z = zstandard.ZstdDecompressor()
+        sets = {d: shingle_set(z.decompress(t).decode("utf-8", "surrogatepass"), k) for d, t in zip(held.column("doc_id").to_pylist(), held.column("packed").to_pylist(), strict=True)}
+        out = []
+        for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= SIMILARITY * (len(sets[a]) + len(sets[b]) - both):
+                out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return pairs.groupBy("x", "y").cogroup(texts.groupBy("x", "y")).applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
     if similarity != SIMILARITY:
@@ -402,16 +537,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -
         return comp.join(values, ["id", "n"]).select("id", "n", "comp", "sig", "sketch")
 
     links_of = lambda df: df.filter("link").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    first = cut(confirmed(candidates(heads(ids.withColumn("comp", F.col("id")), "first"), 0, FIRST_TREES), docs, k), "links")
+    comp_of = lambda joined: ids.join(joined, ids["id"] == joined["node"], "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
+    met = cut(candidates(heads(ids.withColumn("comp", F.col("id")), "first"), 0, FIRST_TREES), "candidates")
+    first = cut(confirmed(met.filter("a < b"), docs, k), "links")
     joined = components(links_of(first))
-    comp = ids.join(joined, ids["id"] == joined["node"], "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
-    second = cut(confirmed(candidates(heads(comp, "other"), FIRST_TREES, TREES), docs, k), "links")
+    met_again = cut(candidates(heads(comp_of(joined), "other"), FIRST_TREES, TREES), "candidates")
+    second = cut(confirmed(met_again.filter("a < b"), docs, k), "links")
     star = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
     joined = components(star.unionByName(links_of(second)))
     near = first.filter("not link").unionByName(second.filter("not link")).select("a", "b")
     third = between_groups(near, ids, joined, docs, k).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     star = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    found = components(star.unionByName(third).unionByName(links))
+    joined = components(star.unionByName(third))
+    crowded = cut(met.unionByName(met_again).filter("a = b").select(F.col("a").alias("id")).distinct(), "crowded")
+    crowd = heads(comp_of(joined).join(crowded, "id"), "first").select("id", "comp", "sketch").dropDuplicates(["id"])
+    fourth = linked_in_blocks(crowded_pairs(crowd, docs, k), docs, k, crowded.count()).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    star = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    found = components(star.unionByName(fourth).unionByName(links))
     named_components = found.withColumnRenamed("component", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(named_components, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component_id", "doc_id")

@@ -162,6 +162,22 @@ def test_large_group_of_near_copies(spark):
     assert {x.doc_id: x.component_id for x in got.collect()} == want
 
 
+def test_links_inside_a_crowd_of_form_letters(spark):
+    r = random.Random(8)
+    fill_in = lambda: f"s{r.randrange(40)}"
+    letters = [[fill_in() for _ in range(19)] for _ in range(500)]
+    for i in range(50):  # one of the letters with ten slots filled anew: about 0.82, the crowd is at 0.68
+        anew = list(letters[i])
+        for j in r.sample(range(19), 10):
+            anew[j] = fill_in()
+        letters.append(anew)
+    r.shuffle(letters)
+    rows = [(i, " ".join(w for j in range(200) for w in ((f"t{j}",) if j % 10 or not j else (x[j // 10 - 1],)))) for i, x in enumerate(letters)]
+    want, _ = brute_components(rows, 2)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert sum(want[d] != d for d in want) >= 40 and {x.doc_id: x.component_id for x in got.collect()} == want
+
+
 def brute_removed(rows, k=50):
     first = {}
     for d, raw in sorted((d, t.encode()) for d, t in rows if d is not None and t):
