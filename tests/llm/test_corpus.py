@@ -243,6 +243,18 @@ def test_lm_rare_words_are_joined(docs, monkeypatch):
     assert all(full[k].n_known == few[k].n_known and abs(full[k].base_score - few[k].base_score) < 1e-9 for k in full)
 
 
+def test_lm_trains_on_all_windows(docs):
+    path = tokens.vocabulary_path()
+    ids = lm.encoded(docs.withColumn("row", F.monotonically_increasing_id()), path).cache()
+    dtype = lm._encoder(path).dtype
+    want = collections.Counter()
+    for r in ids.filter("train").collect():
+        a = np.frombuffer(lm.zstandard.ZstdDecompressor().decompress(bytes(r.ids)), dtype).tolist()
+        for s in range(0, max(1, len(a) - lm.CONTEXT), lm.WINDOW - lm.CONTEXT):
+            want[tuple(([-1, *a] + [-1] * lm.WINDOW)[s : s + lm.WINDOW + 1])] += 1
+    assert collections.Counter(tuple(np.frombuffer(bytes(r.w), "<i4").tolist()) for r in lm.training_windows(ids, dtype).collect()) == want
+
+
 def test_lm_gradients():
     r = np.random.default_rng(1)
     p = {k: x.astype(np.float64) for k, x in lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES)).items()}
