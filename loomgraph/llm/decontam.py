@@ -7,8 +7,8 @@ is the same question is then decided by its slots: along one alignment (differen
 item has to stand for one value of the document. Windows of an alignment whose slots contradict don't count, unless
 they hold no slot.
 
-The corpus is read twice. The first pass hashes every third window and gives the candidate pairs (document, item): a
-common run of WINDOW + STRIDE - 1 tokens or more holds one. The second looks at all windows, of candidates only. Only
+The corpus is read twice. The first pass hashes every window and gives the candidate pairs (document, item): a
+common run of WINDOW tokens or more holds one. The second looks at the slots too, of candidates only. Only
 hashes and positions are shuffled, as long as the candidates fit the size that is checked before they are broadcast;
 beyond it, texts are joined by shuffle. Spark expressions only.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, read
 
-WINDOW, STRIDE = 6, 3
+WINDOW = 6
 SHORTEST = 4
 COVERAGE, EVIDENCE = 0.5, 13
 #: Tokens of a window that have to be words.
@@ -106,7 +106,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = _small(cut(items.select("hash", "item_id").distinct(), "item-keys"))
     tokens = docs.select("doc_id", _tokens(F.col("text")).alias("t"))
     n = F.size("t")
-    hashed = [_each(_starts(n, F.lit(s), STRIDE if s == WINDOW else 1), s, lambda i, size: F.xxhash64(_window(F.col("t"), i, size))) for s in sizes]
+    hashed = [_each(_starts(n, F.lit(s), 1), s, lambda i, size: F.xxhash64(_window(F.col("t"), i, size))) for s in sizes]
     if not hashed:
         hashed = [F.array().cast("array<bigint>")]
     first = tokens.select("doc_id", F.explode(F.concat(*hashed)).alias("hash")).join(keys, "hash").select("doc_id", "item_id").distinct()

@@ -142,6 +142,13 @@ def benchmark(spark):
     return spark.createDataFrame([(1, "A train with Bob travels 120 km in 2 hours, how fast does Bob travel on average?"), (2, None), (3, "too short"), (4, "what is that thing")], "item_id long, text string")
 
 
+def test_leaks_of_one_window_at_any_place(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "which rivers flow through the old town")], "item_id long, text string")
+    rows = [(10 * i + n, "so " * n + q) for n in range(4) for i, q in ((1, "what is the capital of France?"), (2, "which rivers flow through the old town"))]
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((d, d // 10) for d, _ in rows)
+
+
 def test_leaks(spark, benchmark):
     rows = [
         (1, "Intro. A train with Alice travels 300 km in 5 hours, how fast does Alice travel on average? End."),
