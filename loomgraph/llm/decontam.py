@@ -12,7 +12,11 @@ common run of WINDOW tokens or more holds one. The second looks at the slots too
 hashes and positions are shuffled, as long as the candidates fit the size that is checked before they are broadcast;
 beyond it, texts are joined by shuffle. Spark expressions only.
 
-A pair is a leak if half of the item's windows are found, or EVIDENCE tokens in windows that are found.
+Windows with fewer than LEAST_WORDS words are told apart by their values: they match windows with the same template and
+the same values, count whatever the rest of their alignment holds, and never make it contradict.
+
+A pair is a leak if half of the item's windows are found, or half of those with words enough (n_windows and n_found are
+of the larger share), or EVIDENCE tokens in windows that are found.
 
 Defined results of the odd cases
 * null or empty text (document or item): no tokens, no leak. Items of fewer than SHORTEST tokens are no evidence and
@@ -31,7 +35,7 @@ from loomgraph.llm.common import cut, read
 WINDOW = 6
 SHORTEST = 4
 COVERAGE, EVIDENCE = 0.5, 13
-#: Tokens of a window that have to be words.
+#: Tokens of a window that have to be words for its template alone to match.
 LEAST_WORDS = 3
 #: Rows that are broadcast at most; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
@@ -55,10 +59,6 @@ def _marked(text: Column, values: bool) -> Column:
     return F.when(F.contains(counted, F.lit("⟦n")), F.regexp_replace(counted, _UNIT, "$1 ⟦u:$2⟧ " if values else "$1 ⟦u⟧ ")).otherwise(counted)
 
 
-def _tokens(text: Column) -> Column:
-    return F.array_remove(F.split(_marked(text, False), r"[^\p{L}\p{N}⟦⟧]+"), "")
-
-
 def _valued(text: Column) -> Column:
     return F.regexp_extract_all(_marked(text, True), F.lit(_TOKEN), F.lit(0))
 
@@ -67,6 +67,15 @@ def _window(tokens: Column, start: Column, size) -> Column:
     return F.slice(tokens, start + 1, size)
 
 
+def _words(tokens: Column, at: Column, size) -> Column:
+    return F.size(F.filter(_window(tokens, at, size), lambda x: ~x.startswith("⟦")))
+
+
+def _hash(tokens: Column, values: Column, at: Column, size) -> Column:
+    """Hash of a window's template; of its values too if the template has few words."""
+    return F.when(_words(tokens, at, size) >= LEAST_WORDS, F.xxhash64(_window(tokens, at, size))).otherwise(F.xxhash64(_window(values, at, size)))
+
+
 def _starts(n: Column, size, step: int) -> Column:
     return F.when(n >= size, F.sequence(F.lit(0), n - size, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
@@ -81,13 +90,18 @@ def _plain(token: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, n_windows, at, hash and slots (values, null for words) of every window of every item."""
+    """item_id, size, n_windows, n_told, at, told, hash and slots (values, null for words) of every window of every item.
+
+    ``told``: the window has words enough to match by its template; n_told of the item's windows do.
+    """
     values = benchmark.select("item_id", _valued(F.col("text")).alias("v")).withColumn("t", F.transform("v", _plain)).filter(F.size("t") >= SHORTEST)
     size = F.least(F.lit(WINDOW), F.size("t"))
     sized = values.select("item_id", size.alias("size"), "v", "t")
-    told = F.filter(_starts(F.size("t"), F.col("size"), 1), lambda i: F.size(F.filter(_window(F.col("t"), i, F.col("size")), lambda x: ~x.startswith("⟦"))) >= LEAST_WORDS)
-    each = sized.withColumn("told", told).select("item_id", "size", F.size("told").alias("n_windows"), "v", "t", F.explode("told").alias("at"))
-    return each.select("item_id", "size", "n_windows", "at", F.xxhash64(_window(F.col("t"), F.col("at"), F.col("size"))).alias("hash"), _slots(F.col("v"), F.col("at"), F.col("size")).alias("slots"))
+    starts = _starts(F.size("t"), F.col("size"), 1)
+    n_told = F.size(F.filter(starts, lambda i: _words(F.col("t"), i, F.col("size")) >= LEAST_WORDS))
+    each = sized.select("item_id", "size", F.size(starts).alias("n_windows"), n_told.alias("n_told"), "v", "t", F.explode(starts).alias("at"))
+    told = _words(F.col("t"), F.col("at"), F.col("size")) >= LEAST_WORDS
+    return each.select("item_id", "size", "n_windows", "n_told", "at", told.alias("told"), _hash(F.col("t"), F.col("v"), F.col("at"), F.col("size")).alias("hash"), _slots(F.col("v"), F.col("at"), F.col("size")).alias("slots"))
 
 
 def _slots(values: Column, at: Column, size: Column) -> Column:
@@ -104,9 +118,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = cut(item_windows(benchmark), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # from SHORTEST to WINDOW
     keys = _small(cut(items.select("hash", "item_id").distinct(), "item-keys"))
-    tokens = docs.select("doc_id", _tokens(F.col("text")).alias("t"))
+    tokens = docs.select("doc_id", _valued(F.col("text")).alias("v")).withColumn("t", F.transform("v", _plain))
     n = F.size("t")
-    hashed = [_each(_starts(n, F.lit(s), 1), s, lambda i, size: F.xxhash64(_window(F.col("t"), i, size))) for s in sizes]
+    hashed = [_each(_starts(n, F.lit(s), 1), s, lambda i, size: _hash(F.col("t"), F.col("v"), i, size)) for s in sizes]
     if not hashed:
         hashed = [F.array().cast("array<bigint>")]
     first = tokens.select("doc_id", F.explode(F.concat(*hashed)).alias("hash")).join(keys, "hash").select("doc_id", "item_id").distinct()
@@ -117,18 +131,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     read_again = read_again.withColumn("t", F.transform("v", _plain))
     at = F.concat(*[_each(_starts(F.size("t"), F.lit(s), 1), s, lambda i, size: F.struct(i.alias("at"), F.lit(size).alias("size"))) for s in sizes]) if sizes else F.array().cast("array<struct<at:int,size:int>>")
     each = read_again.select("doc_id", "v", "t", F.explode(at).alias("w"))
-    windows = each.select("doc_id", F.col("w.at").alias("doc_at"), F.col("w.size").alias("size"), F.xxhash64(_window(F.col("t"), F.col("w.at"), F.col("w.size"))).alias("hash"), _slots(F.col("v"), F.col("w.at"), F.col("w.size")).alias("doc_slots"))
+    windows = each.select("doc_id", F.col("w.at").alias("doc_at"), F.col("w.size").alias("size"), _hash(F.col("t"), F.col("v"), F.col("w.at"), F.col("w.size")).alias("hash"), _slots(F.col("v"), F.col("w.at"), F.col("w.size")).alias("doc_slots"))
     met = windows.join(_small(items), ["hash", "size"]).withColumn("line", F.col("doc_at") - F.col("at"))
     zipped = F.arrays_zip(F.col("slots").alias("i"), F.col("doc_slots").alias("d"))
-    met = cut(met.select("doc_id", "item_id", "line", "at", "size", "n_windows", F.array_distinct(F.filter(zipped, lambda x: x["i"].isNotNull())).alias("slots")), "met")
-    lines = met.select("doc_id", "item_id", "line", F.explode("slots").alias("s")).distinct()
+    met = cut(met.select("doc_id", "item_id", "line", "at", "size", "n_windows", "n_told", "told", F.array_distinct(F.filter(zipped, lambda x: x["i"].isNotNull())).alias("slots")), "met")
+    lines = met.filter("told").select("doc_id", "item_id", "line", F.explode("slots").alias("s")).distinct()
     lines = lines.groupBy("doc_id", "item_id", "line", "s.i").agg(F.count("*").alias("n"), F.count_if(F.col("s.i") != F.col("s.d")).alias("other"))
     lines = lines.groupBy(F.col("doc_id").alias("__id"), F.col("item_id").alias("__item"), F.col("line").alias("__line")).agg(F.count("*").alias("n_slots"), F.count_if(F.col("other") > 0).alias("n_changed"), (F.max("n") > 1).alias("contradicts"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("item_id") == F.col("__item")) & (F.col("line") == F.col("__line"))
-    good = met.join(lines, on, "left").filter(~F.coalesce("contradicts", F.lit(False)) | (F.size("slots") == 0))
-    out = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.countDistinct("at").alias("n_found"), F.max("size").alias("size"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
+    good = met.join(lines, on, "left").filter(~F.coalesce("contradicts", F.lit(False)) | (F.size("slots") == 0) | ~F.col("told"))
+    out = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("all_windows"), F.max("n_told").alias("n_told"), F.countDistinct("at").alias("all_found"), F.countDistinct(F.when(F.col("told"), F.col("at"))).alias("told_found"), F.max("size").alias("size"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
+    by_told = F.col("told_found") * F.col("all_windows") >= F.col("all_found") * F.col("n_told")
+    by_told = by_told & (F.col("n_told") > 0)
+    out = out.withColumn("n_windows", F.when(by_told, F.col("n_told")).otherwise(F.col("all_windows"))).withColumn("n_found", F.when(by_told, F.col("told_found")).otherwise(F.col("all_found")))
     coverage = F.col("n_found") / F.col("n_windows")
-    out = out.withColumn("coverage", F.round(coverage, 6)).filter((coverage >= COVERAGE) | (F.col("n_found") + F.col("size") - 1 >= EVIDENCE))
+    out = out.withColumn("coverage", F.round(coverage, 6)).filter((coverage >= COVERAGE) | (F.col("all_found") + F.col("size") - 1 >= EVIDENCE))
     return out.select("doc_id", "item_id", "n_windows", "n_found", "coverage", "n_slots", "n_changed", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim").alias("kind"))
 
 

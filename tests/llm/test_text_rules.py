@@ -149,6 +149,13 @@ def test_leaks_of_one_window_at_any_place(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted((d, d // 10) for d, _ in rows)
 
 
+def test_leaks_of_items_of_numbers(spark):
+    items = spark.createDataFrame([(1, "What is 12 times 34?"), (2, "Compute 17 * 23 + 45 * 12 - 8")], "item_id long, text string")
+    rows = [(1, "Well: what is 12 times 34? No idea."), (2, "Now compute 17 * 23 + 45 * 12 - 8 by hand."), (3, "what is 12 times 35?"), (4, "compute 7 * 3 + 5 * 2 - 1")]
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in got) == [(1, 1, "verbatim"), (2, 2, "verbatim")]
+
+
 def test_leaks(spark, benchmark):
     rows = [
         (1, "Intro. A train with Alice travels 300 km in 5 hours, how fast does Alice travel on average? End."),
