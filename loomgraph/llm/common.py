@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.storage import cut, shared_dir
 
-__all__ = ["SPACE", "cut", "read", "shared_dir", "text_or_empty", "width"]
+__all__ = ["SPACE", "cut", "forget_others", "fresh", "read", "remember", "shared_dir", "text_or_empty", "width"]
 
 #: White space of the word contracts: a word is a run of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,6 +20,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    """Register what a Python worker keeps from task to task for the operator ``owner``."""
+    _remembered[owner] = forget
+
+
+def forget_others(owner: str) -> None:
+    """Free what other operators keep in this worker: an executor's workers serve one operator after the other."""
+    for other, forget in _remembered.items():
+        if other != owner:
+            forget()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever its case: helpers beside a caller's own columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

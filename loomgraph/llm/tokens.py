@@ -32,14 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import read, shared_dir, width
+from loomgraph.llm.common import forget_others, read, remember, shared_dir, width
 
 END_ID = 2
 BLOCK_BYTES = 4 << 20
 #: Documents and ids of each that the dictionary is trained on, at most; it shapes sizes only, never results.
 DICT_DOCS, DICT_IDS, DICT_BYTES = 1_000, 8_192, 64 << 10
-#: Pieces an encoder remembers in each of two generations; what the older one holds is taken over when it recurs.
-CACHE_PIECES = 400_000
+#: Pieces an encoder remembers in each of two generations (some 170 bytes each, so 85 MB a worker at most); what the
+#: older one holds is taken over when it recurs.
+CACHE_PIECES = 250_000
 
 BLOCKS = "part int, block int, first long, dict_hash string, doc_ids array<long>, offsets array<int>, n_tokens array<long>, payload binary"
 
@@ -76,12 +77,19 @@ class Encoder:
     def __init__(self, path: str, most: int = CACHE_PIECES):
         self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model over lines: pieces that are known to be pieces needn't be cut again
+        self.lines = Tokenizer.from_file(path)
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        """Frees the remembered pieces."""
         self.known: dict[str, bytes] = {}
         self.past: dict[str, bytes] = {}
 
@@ -90,21 +98,19 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Words are encoded in one text, a line each: the line feed is a piece and an id of its own."""
-        words = [p for p in pieces if (p[1:] if p[0] == " " else p).isalpha()]
+        words = [p for p in pieces if p.isalpha() or (p[0] == " " and p[1:].isalpha())]
         if words and len(self.newline) == 1:
             size, mark = self.dtype.itemsize, self.newline[0]
             groups = [words[i : i + 100] for i in range(0, len(words), 100)]
-            for some, e in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            for some, e in zip(groups, self.lines.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, self.dtype)
                 cuts = np.flatnonzero(ids == mark)
                 if len(cuts) == len(some) - 1:
-                    raw, a = ids.tobytes(), 0
-                    for w, b in zip(some, [*cuts.tolist(), len(ids)], strict=True):
-                        self.known[w] = raw[a * size : b * size]
-                        a = b + 1
-        for p in pieces:
-            if p not in self.known:
-                self.known[p] = self._whole(p)
+                    raw, ends = ids.tobytes(), np.append(cuts, len(ids)) * size
+                    starts = np.append(0, ends[:-1] + size)
+                    self.known.update(zip(some, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+        for p in set(pieces).difference(self.known):
+            self.known[p] = self._whole(p)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, with the end id."""
@@ -117,11 +123,11 @@ class Encoder:
                 self.past, self.known = self.known, {}
                 new = set().union(*[p for p in some if p])
             if new and self.past:
-                fresh = new.difference(self.past)
-                self.known.update((p, self.past[p]) for p in new - fresh)
-                new = fresh
+                old = new.intersection(self.past)
+                self.known.update(zip(old, map(self.past.__getitem__, old), strict=True))
+                new -= old
             if new:
-                self._learn(sorted(new))
+                self._learn(list(new))
             get = self.known.__getitem__
             for t, p in zip(texts[i : i + step], some, strict=True):
                 out.append((self._whole(t) if p is None else b"".join(map(get, p))) + self.end)
@@ -133,8 +139,10 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str, most: int = CACHE_PIECES) -> Encoder:
     """One encoder for each Python worker."""
+    forget_others(f"tokens {path}")
     if path not in _encoders:
         _encoders[path] = Encoder(path, most)
+        remember(f"tokens {path}", _encoders[path].forget)
     _encoders[path].most = most
     return _encoders[path]
 
@@ -162,7 +170,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
 def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, cache_pieces: int = CACHE_PIECES) -> str:
     """Encode ``docs`` (doc_id, text) and write the blocks and the dictionary; returns the folder.
 
-    ``cache_pieces`` trades the workers' memory (some 500 bytes each, in two generations) for encoding time.
+    ``cache_pieces`` trades the workers' memory for encoding time.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
@@ -264,4 +272,4 @@ def read_document(spark: SparkSession, path: str, doc_id: int, vocabulary_ids: i
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_tokens(spark, write_tokens(read(spark, sf_dir, "documents"), cache_pieces=800_000))
+    return read_tokens(spark, write_tokens(read(spark, sf_dir, "documents")))
