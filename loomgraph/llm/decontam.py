@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, read
+from loomgraph.llm.common import cut, fresh, read
 
 WINDOW = 6
 SHORTEST = 4
@@ -150,9 +150,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no leak."""
-    bad = _small(cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct(), "leaks"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The documents that hold no leak, with all their columns, whatever their names."""
+    (bad_id,) = fresh(docs, "bad_id")
+    bad = _small(cut(leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(bad_id)).distinct(), "leaks"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

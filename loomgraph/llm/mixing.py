@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.llm.common import SPACE, cut, read, width
+from loomgraph.llm.common import SPACE, cut, fresh, read, width
 from loomgraph.llm.sharding import number_rows
 
 WEIGHTS = (1, 2, 3)
@@ -122,11 +122,12 @@ def plan(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the plan copies it, with their own columns."""
-    copies = plan(docs).groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.max("copies").alias("__copies"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie"))
-    many = docs.join(copies.filter("__copies > 0"), on)
-    return many.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    """The documents, each as often as the plan copies it, with their own columns, whatever their names."""
+    own, tie, copies, copy = fresh(docs, "copied_id", "copied_tie", "copies", "copy")
+    planned = plan(docs.select("doc_id", "source", "text"))
+    many = planned.groupBy(F.col("doc_id").alias(own), F.col("tie").alias(tie)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    many = docs.join(many, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(tie)))
+    return many.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))).alias(copy)).drop(copy)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,28 +3,29 @@
 1. Every document becomes its set of distinct word shingles (64-bit hashes) and a signature of TREES x DEPTH minhash
    values. Documents with equal sets are one class, represented by the smallest doc_id: copies are never paired.
 2. Each tree is one sorted order of the classes by their DEPTH values. Rows are dealt out by range of the order, so a
-   region of any density spreads over tasks, and neighbours are compared in the order: a pair is a candidate if it
-   stands within REACH places and shares at least MIN_PREFIX values; where a common prefix is as long as DEEP, direct
-   neighbours alone are compared. Rows that share a prefix with rows beyond that are crowded: both ends of every pair
-   with a common prefix that is not compared here are, and step 5 joins them. The last rows of a range meet the first
-   of the next in a second small step.
-3. Candidates that cannot be similar are dropped by set sizes (exact) and by a 128-bit sketch far below the
-   threshold; the rest are confirmed on full sets of the words themselves.
-4. Groups that hold compared pairs near the similarity, but aren't joined, are compared with each other exactly, in
-   blocks: in a crowded region a document's few partners need not stand beside it in any order.
-5. Crowded classes are joined exactly by a prefix filter: of two sets with the similarity, the rarest shingles of each
-   (a fifth) share one. Which shingles are rare is estimated from some documents; any order gives the same links.
-   Pairs that pass the exact filters by size and place and the sketch of step 3 are confirmed on full sets, in blocks.
-6. Links become components by star contraction. A first pass over few trees joins the bulk of crowded groups; later
-   passes skip pairs that are joined already, which changes no component.
-
-What is collected is a table of at most ORDERED_SHINGLES counts. A pair at the similarity shares no prefix in any tree
-with a probability of 2e-11, however crowded its region is.
+   region of any density spreads over tasks, and neighbours in the order with MIN_PREFIX common values or more are
+   candidates. The last rows of a range meet the first of the next in a second small step.
+3. A first pass over few trees and places joins the bulk of large groups. The second pass, over the other trees, skips
+   pairs that are joined already and compares REACH places on each side, at any depth.
+4. Regions are refined to the depth they need: one whose rows share CROWD_PREFIX values, is larger than the places
+   compared and holds several components is crowded. All classes of its components are joined exactly by a prefix
+   filter: of two sets with the similarity, the rarest shingles of each (a fifth) share one. Which shingles are rare is
+   estimated from some documents; any order gives the same links.
+5. Candidates that cannot be similar are dropped by set sizes and places (exact) and by a 128-bit sketch far below the
+   threshold; the rest are confirmed on full sets, of 64-bit hashes of all shingles.
+6. Links become components by star contraction.
+
+What is collected is a table of at most ORDERED_SHINGLES counts. A pair at the similarity shares no prefix of depth
+CROWD_PREFIX in any tree of the second pass with a probability of 6e-7, pairs above it with less; every other pair is
+compared, joined by others or in a crowd that is joined exactly.
 
 Defined results of the odd cases
 * null or empty text, white space only: an empty set, linked with nothing, its own component, kept.
 * fewer words than a shingle has: the whole sequence is the one shingle.
-* null doc_id: its own component (null), kept. Repeated rows and equal doc_ids: one document; each row is returned.
+* null doc_id: its own component (null), kept. Repeated rows and equal doc_ids: one document; each row is returned. If
+  the texts of one doc_id differ, the one with words and the least hash is the document's; the other rows keep their
+  own n_shingles and the document's component.
+* extra columns: not read by ``near_duplicates``, kept by ``one_of_each`` under any name.
 * equal sets: linked. Ties in an order: by doc_id. Very long texts: whole. Empty table: an empty result.
 """
 
@@ -39,27 +40,26 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, read, width
+from loomgraph.llm.common import cut, forget_others, fresh, read, width
 from loomgraph.operators.components import components
 
 TREES, DEPTH = 24, 8
 FIRST_TREES = 4
-MIN_PREFIX, DEEP, REACH = 2, 6, 4
-#: Rows at the ends of a range that the next range has to see.
-RIM = REACH + 1
+MIN_PREFIX, DEEP = 2, 6
+#: Places on each side that are compared in the first trees and in the others.
+FIRST_REACH, REACH = 4, 4
+#: Depth at which a region with more rows than are compared counts as crowded.
+CROWD_PREFIX = 3
 SKETCH = 128
 #: Sketch bits that must agree; two sets with similarity 0.8 agree in 115 on average, with deviation 3.4.
 SKETCH_AGREE = 96
 SIMILARITY = 80
-#: Compared pairs with this similarity show that their groups are near; two members that are linked to one document have
-#: 60 at least.
-NEAR = 60
-#: Documents of each of two groups that are compared in one block.
+#: Classes of one block of confirmed pairs (about).
 BLOCK = 512
 #: Classes whose shingles are counted to order the shingles of crowded classes, and counts that are broadcast, at most (about).
 ORDERING_CLASSES, ORDERED_SHINGLES = 20_000, 200_000
 #: Rows of one shingle that meet in one block.
-POSTINGS = 2048
+POSTINGS = 4096
 #: Shingles that a task remembers before it builds a document's set anew.
 HELD_SHINGLES = 200_000
 #: Pairs whose ids are broadcast at most, 16 bytes each.
@@ -130,12 +130,13 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def shingle_set(text: str | None, k: int) -> set:
-    """The same set with the words themselves, for confirming links."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if 0 < len(words) < k:
-        return {tuple(words)}
-    return set(zip(*(words[j:] for j in range(k)), strict=False))
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sets (sorted distinct hashes) reach the similarity."""
+    if 100 * min(len(s), len(t)) < SIMILARITY * max(len(s), len(t)) or not len(s) or not len(t):
+        return False
+    both = np.sort(np.concatenate([s, t]))
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= SIMILARITY * (len(s) + len(t) - shared)
 
 
 _rng = np.random.default_rng(20_250)
@@ -154,10 +155,12 @@ def signature(hashes: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, print (fingerprint of the set, null if empty), sketch and the values of the first and the other trees."""
+    """doc_id, tie (the text's hash), n, print (fingerprint of the set, null if empty), sketch and the values of the first
+    and the other trees."""
     cut_at = FIRST_TREES * DEPTH * 3
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("neardup")
         for b in batches:
             n, prints, sketches, first, other = [], [], [], [], []
             for text in b.column(1).to_pylist():
@@ -171,9 +174,9 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 prints.append(b"".join(x.tobytes() for x in ((_mix(h) * (at * _U(2) + _U(1))).sum(dtype=_U), _mix(h ^ _U(_BASE)).sum(dtype=_U))))
                 sig, sketch = signature(h)
                 sketches.append(sketch), first.append(sig[:cut_at]), other.append(sig[cut_at:])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(c, pa.binary()) for c in (prints, sketches, first, other)]], ["doc_id", "n", "print", "sketch", "first", "other"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), *[pa.array(c, pa.binary()) for c in (prints, sketches, first, other)]], ["doc_id", "tie", "n", "print", "sketch", "first", "other"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, print binary, sketch binary, first binary, other binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(sign, "doc_id long, tie long, n long, print binary, sketch binary, first binary, other binary")
 
 
 _ROW = "label binary, sketch binary, id long, n long, comp long"
@@ -196,8 +199,12 @@ def _orders(classes: DataFrame, first: int, last: int) -> DataFrame:
     return classes.select("id", "n", "comp", "sig", "sketch").mapInArrow(explode, _ROW)
 
 
-def _neighbours(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among rows in label order; a crowded row is a pair with itself."""
+def _neighbours(rows: dict[str, np.ndarray], reach: int, mark: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among rows in label order; with ``mark``, crowded components as pairs with themselves.
+
+    Unless ``mark``, rows with a common prefix of DEEP are compared with their direct neighbours only: there everything
+    chains up, and what doesn't is left to the trees that mark.
+    """
     labels, n = rows["label"], len(rows["id"])
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -205,10 +212,12 @@ def _neighbours(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     groups = np.concatenate([same[:, :1], same[:, 1:].reshape(n - 1, DEPTH, 3).all(axis=2)], axis=1)
     near = np.where(groups.all(axis=1), DEPTH + 1, groups.argmin(axis=1)) - 1  # common values; -1: another tree
     out_a, out_b, common = [], [], near
-    for d in range(1, min(REACH, n - 1) + 1):
+    for d in range(1, min(reach, n - 1) + 1):
         if d > 1:
             common = np.minimum(common[:-1], near[d - 1 :])
-        i = np.flatnonzero((common >= MIN_PREFIX) & ((common < DEEP) | (d == 1)))
+        i = np.flatnonzero((common >= MIN_PREFIX) & ((common < DEEP) | (d == 1 or mark)))
+        if not len(i):
+            break
         j = i + d
         small, large = np.minimum(rows["n"][i], rows["n"][j]), np.maximum(rows["n"][i], rows["n"][j])
         i = i[(rows["id"][i] != rows["id"][j]) & (rows["comp"][i] != rows["comp"][j]) & (100 * small >= SIMILARITY * large)]
@@ -216,14 +225,16 @@ def _neighbours(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             apart = np.bitwise_count(rows["sketch"][i] ^ rows["sketch"][i + d]).sum(axis=1)
             i = i[SKETCH - apart >= SKETCH_AGREE]
             out_a.append(rows["id"][i]), out_b.append(rows["id"][i + d])
-    # crowded: a common prefix reaches beyond the places compared
-    crowd = np.zeros(n, bool)
-    for d, least in ((REACH + 1, MIN_PREFIX), (2, DEEP)):
-        if n > d:
-            i = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(near, d).min(axis=1) >= least)
-            for j in range(d + 1):
-                crowd[i + j] = True
-    own = np.unique(rows["id"][crowd])
+    own = np.zeros(0, np.int64)
+    if mark and n > reach + 1:
+        # a region reaches beyond the places compared; its components meet at a border, so windows that hold one find all
+        size = reach + 1
+        deep = np.lib.stride_tricks.sliding_window_view(near, size).min(axis=1) >= CROWD_PREFIX
+        border = np.lib.stride_tricks.sliding_window_view(rows["comp"][1:] != rows["comp"][:-1], size).any(axis=1)
+        crowd = np.zeros(n, bool)
+        for i in np.flatnonzero(deep & border).tolist():
+            crowd[i : i + size + 1] = True
+        own = np.unique(rows["comp"][crowd])
     a, b = (np.concatenate([*x, own]) for x in (out_a, out_b))
     return np.minimum(a, b), np.maximum(a, b)
 
@@ -236,11 +247,11 @@ def _load(b: pa.RecordBatch) -> dict[str, np.ndarray]:
     }
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], reach: int, mark: bool) -> Iterator[pa.RecordBatch]:
     """Candidates of one range, and its first and last rows with the range's number."""
     from pyspark import TaskContext
 
-    part, tail, head = TaskContext.get().partitionId(), None, 0
+    part, tail, head, most = TaskContext.get().partitionId(), None, 0, reach + 1
 
     def rim(rows: dict[str, np.ndarray], i: slice) -> pa.RecordBatch:
         k = len(rows["id"][i])
@@ -251,13 +262,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = _load(batch)
-        if head < RIM:
-            yield rim(rows, slice(0, RIM - head))
-            head += min(RIM - head, batch.num_rows)
+        if head < most:
+            yield rim(rows, slice(0, most - head))
+            head += min(most - head, batch.num_rows)
         if tail is not None:
             rows = {c: np.concatenate([tail[c], rows[c]]) for c in rows}
-        a, b = _neighbours(rows)
-        tail = {c: rows[c][-RIM:] for c in rows}
+        a, b = _neighbours(rows, reach, mark)
+        tail = {c: rows[c][-most:] for c in rows}
         if len(a):
             k = len(a)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), *[pa.nulls(k, pa.int64())] * 3], ["a", "b", "part", "label", "sketch", "id", "n", "comp"])
@@ -265,14 +276,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rim(tail, slice(None))
 
 
-def candidates(classes: DataFrame, first: int = 0, last: int = TREES) -> DataFrame:
-    """Distinct pairs a < b of classes (id, n, comp, sig, sketch) that are near in one of the sorted orders, and a = b for
-    classes that are crowded in one.
+def candidates(classes: DataFrame, first: int = 0, last: int = TREES, reach: int = REACH, mark: bool = True) -> DataFrame:
+    """Distinct pairs a < b of classes (id, n, comp, sig, sketch) that are near in one of the sorted orders, and, with
+    ``mark``, a = b for components that are crowded in one.
 
     ``sig`` has the values of the trees from ``first`` to before ``last``.
     """
     ordered = _orders(classes, first, last).repartitionByRange(width(classes.sparkSession), "label", "id").sortWithinPartitions("label", "id")
-    found = cut(ordered.mapInArrow(_pairs, _OUT), "forest")
+    found = cut(ordered.mapInArrow(lambda batches: _pairs(batches, reach, mark), _OUT), "forest")
     rims = found.filter("part is not null").select("label", "sketch", "id", "n", "comp").distinct()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +293,10 @@ def candidates(classes: DataFrame, first: int = 0, last: int = TREES) -> DataFra
                 rows = _load(b)
                 if tail is not None:
                     rows = {c: np.concatenate([tail[c], rows[c]]) for c in rows}
-                tail = {c: rows[c][-RIM:] for c in rows}
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _neighbours(rows)], ["a", "b"])
+                tail = {c: rows[c][-(reach + 1) :] for c in rows}
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _neighbours(rows, reach, mark)], ["a", "b"])
 
-    # at most 2 * RIM rows for each range of the order meet here
+    # at most 2 * (reach + 1) rows for each range of the order meet here
     seams = rims.coalesce(1).sortWithinPartitions("label", "id").mapInArrow(across, "a long, b long")
     return found.filter("a is not null").select("a", "b").unionByName(seams).distinct()
 
@@ -305,9 +316,7 @@ def _packed(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(a, b, link) of the pairs whose full shingle sets reach NEAR; ``link``: they reach the similarity.
-
-    ``docs``: doc_id, text.
+    """(src, dst) of the ``pairs`` (a, b) whose full shingle sets reach the similarity. ``docs``: doc_id, text.
 
     Texts travel compressed, once to their pairs and once with each pair. Texts of documents in no pair stay where they
     are as long as the pairs are few enough for their ids to be broadcast; beyond, the join by doc_id drops them.
@@ -318,92 +327,31 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         left = None  # key and packed text of a pair's first row
-        sets: dict[int, set] = {}
+        sets: dict[int, np.ndarray] = {}
         held = 0
 
-        def of(doc: int, packed: bytes) -> set:
+        def of(doc: int, packed: bytes) -> np.ndarray:
             nonlocal held
             if doc not in sets:
                 if held > HELD_SHINGLES:
                     sets.clear()
                     held = 0
-                sets[doc] = shingle_set(z.decompress(packed).decode("utf-8", "surrogatepass"), k)
+                sets[doc] = shingle_hashes(z.decompress(packed).decode("utf-8", "surrogatepass"), k)
                 held += len(sets[doc])
             return sets[doc]
 
         for batch in batches:
-            a, b, link = [], [], []
+            a, b = [], []
             for x, y, doc, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if left is not None and left[0] == (x, y):
-                    if left[1] != doc:
-                        s, t = of(left[1], left[2]), of(doc, packed)
-                        both = len(s & t)
-                        if both and 100 * both >= NEAR * (len(s) + len(t) - both):
-                            a.append(x), b.append(y), link.append(100 * both >= SIMILARITY * (len(s) + len(t) - both))
+                    if left[1] != doc and similar(of(left[1], left[2]), of(doc, packed)):
+                        a.append(x), b.append(y)
                 else:
                     left = ((x, y), doc, packed)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(link, pa.bool_())], ["a", "b", "link"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
 
     held = ends.join(_packed(docs, ends, pairs.count()), "doc_id").select("a", "b", "doc_id", "packed")
-    return held.repartition(width(docs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(compare, "a long, b long, link boolean")
-
-
-def _met(table: pa.Table, k: int) -> pa.Table:
-    """One link (a, b) for each query of a block that has one, by counting shared shingles over an inverted index."""
-    z = zstandard.ZstdDecompressor()
-    kinds, ids = table.column("member").to_pylist(), table.column("doc_id").to_pylist()
-    sets = [shingle_set(z.decompress(x).decode("utf-8", "surrogatepass"), k) for x in table.column("packed").to_pylist()]
-    queries = [i for i, m in enumerate(kinds) if not m]
-    index: dict = {}
-    for q, i in enumerate(queries):
-        for g in sets[i]:
-            index.setdefault(g, []).append(q)
-    sizes = np.array([len(sets[i]) for i in queries])
-    links: dict[int, tuple[int, int]] = {}
-    for i in (i for i, m in enumerate(kinds) if m):
-        hits = [q for g in sets[i] for q in index.get(g, ())]
-        if hits:
-            both = np.bincount(hits, minlength=len(queries))
-            for q in np.flatnonzero((both > 0) & (100 * both >= SIMILARITY * (sizes + len(sets[i]) - both))).tolist():
-                links.setdefault(q, (ids[queries[q]], ids[i]))
-    return pa.table({"a": pa.array([x for x, _ in links.values()], pa.int64()), "b": pa.array([y for _, y in links.values()], pa.int64())})
-
-
-def between_groups(near: DataFrame, ids: DataFrame, joined: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Links (a, b) between groups that are near but not joined, by comparing the smaller group with all of the larger.
-
-    In a crowded region neighbours in an order may just miss the similarity while other members of the group reach
-    it. ``near`` (a, b) are compared pairs that missed it; every pair of groups that they name is searched exactly, in
-    blocks of BLOCK queries by BLOCK members, so no task holds a whole group.
-    """
-    group = cut(ids.select("id").distinct().join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("grp")), "groups")
-    sizes = group.groupBy("grp").agg(F.count("*").alias("size"))
-    side = lambda c: group.select(F.col("id").alias(c), F.col("grp").alias(f"g{c}"))
-    apart = near.join(side("a"), "a").join(side("b"), "b").filter("ga <> gb").select(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).distinct()
-    sized = apart.join(sizes.select(F.col("grp").alias("x"), F.col("size").alias("sx")), "x").join(sizes.select(F.col("grp").alias("y"), F.col("size").alias("sy")), "y")
-    less = F.struct("sx", "x") <= F.struct("sy", "y")
-    pick = lambda p, q: F.when(less, F.col(p)).otherwise(F.col(q))
-    tasks = cut(sized.select(pick("x", "y").alias("small"), pick("y", "x").alias("large"), F.ceil(pick("sy", "sx") / BLOCK).cast("int").alias("nm")), "group-pairs")
-    # all small groups near one large group are its queries
-    queries = cut(tasks.join(group, F.col("small") == F.col("grp")).select("large", "nm", "id").distinct(), "queries")
-    members = queries.groupBy("large").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq"), F.max("nm").alias("nm"))
-
-    def rows(held: DataFrame, blocks: str, others: str, member: bool) -> DataFrame:
-        """Documents of one side, each in its block and once for every block of the other side."""
-        own, copies = F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
-        placed = held.select("large", "id", own.alias("own"), copies.alias("copy"))
-        q, m = ("copy", "own") if member else ("own", "copy")
-        return placed.select("large", F.col(q).alias("q"), F.col(m).alias("m"), F.lit(member).alias("member"), F.col("id").alias("doc_id"))
-
-    asked = queries.drop("nm").join(members, "large")
-    held = members.join(group, F.col("large") == F.col("grp")).select("large", "nq", "nm", "id")
-    wanted = cut(rows(asked, "nq", "nm", False).unionByName(rows(held, "nm", "nq", True)), "blocks")
-    texts = _packed(docs, wanted, wanted.count()).dropDuplicates(["doc_id"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        return _met(table, k)
-
-    return wanted.join(texts, "doc_id").groupBy("large", "q", "m").applyInArrow(meet, "a long, b long")
+    return held.repartition(width(docs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(compare, "src long, dst long")
 
 
 def _rare_first(h: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -509,15 +457,11 @@ def linked_in_blocks(pairs: DataFrame, docs: DataFrame, k: int, n_classes: int)
 
     def compare(some: pa.Table, held: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
-        sets = {d: shingle_set(z.decompress(t).decode("utf-8", "surrogatepass"), k) for d, t in zip(held.column("doc_id").to_pylist(), held.column("packed").to_pylist(), strict=True)}
-        out = []
-        for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= SIMILARITY * (len(sets[a]) + len(sets[b]) - both):
-                out.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        sets = {d: shingle_hashes(z.decompress(t).decode("utf-8", "surrogatepass"), k) for d, t in zip(held.column("doc_id").to_pylist(), held.column("packed").to_pylist(), strict=True)}
+        out = [(a, b) for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True) if similar(sets[a], sets[b])]
+        return pa.table({"src": pa.array([a for a, _ in out], pa.int64()), "dst": pa.array([b for _, b in out], pa.int64())})
 
-    return pairs.groupBy("x", "y").cogroup(texts.groupBy("x", "y")).applyInArrow(compare, "a long, b long")
+    return pairs.groupBy("x", "y").cogroup(texts.groupBy("x", "y")).applyInArrow(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -526,7 +470,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -
         raise ValueError("the sketch and the trees are dimensioned for a similarity of 80 per cent")
     rows = cut(signed(docs, k), "signed")
     named = rows.filter("print is not null and doc_id is not null")
-    classes = named.groupBy("print", "n").agg(F.min("doc_id").alias("id"))
+    # of several texts under one doc_id the one with the least hash stands for the document
+    several = named.groupBy("doc_id").agg(F.min("tie").alias("least"), F.max("tie").alias("most")).filter("least < most")
+    others = cut(named.join(several, "doc_id").filter("tie > least").select("doc_id", "tie").distinct(), "others")
+    others = F.broadcast(others) if others.count() <= BROADCAST_PAIRS else others
+    named = named.join(others, ["doc_id", "tie"], "left_anti")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).join(others, ["doc_id", "tie"], "left_anti").select("doc_id", "text")
+    # written, so that the join below can split a print that very many documents have
+    classes = cut(named.groupBy("print", "n").agg(F.min("doc_id").alias("id")), "classes")
     members = cut(named.select("doc_id", "print", "n").join(classes, ["print", "n"]).select("doc_id", "n", "id").distinct(), "members")
     links = members.filter("doc_id <> id").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
     ids = members.filter("doc_id = id").select("id", "n").distinct()
@@ -536,24 +487,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -
         values = named.select(F.col("doc_id").alias("id"), "n", F.col(sig).alias("sig"), "sketch")
         return comp.join(values, ["id", "n"]).select("id", "n", "comp", "sig", "sketch")
 
-    links_of = lambda df: df.filter("link").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    star_of = lambda joined: joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
     comp_of = lambda joined: ids.join(joined, ids["id"] == joined["node"], "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
-    met = cut(candidates(heads(ids.withColumn("comp", F.col("id")), "first"), 0, FIRST_TREES), "candidates")
-    first = cut(confirmed(met.filter("a < b"), docs, k), "links")
-    joined = components(links_of(first))
-    met_again = cut(candidates(heads(comp_of(joined), "other"), FIRST_TREES, TREES), "candidates")
-    second = cut(confirmed(met_again.filter("a < b"), docs, k), "links")
-    star = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    joined = components(star.unionByName(links_of(second)))
-    near = first.filter("not link").unionByName(second.filter("not link")).select("a", "b")
-    third = between_groups(near, ids, joined, docs, k).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    star = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    joined = components(star.unionByName(third))
-    crowded = cut(met.unionByName(met_again).filter("a = b").select(F.col("a").alias("id")).distinct(), "crowded")
+    met = candidates(heads(ids.withColumn("comp", F.col("id")), "first"), 0, FIRST_TREES, FIRST_REACH, False)
+    joined = components(confirmed(met, docs, k))
+    before = cut(comp_of(joined), "joined")
+    met = cut(candidates(heads(before, "other"), FIRST_TREES, TREES), "candidates")
+    joined = components(star_of(joined).unionByName(confirmed(met.filter("a < b"), docs, k)))
+    crowded = cut(before.join(met.filter("a = b").select(F.col("a").alias("comp")).distinct(), "comp", "left_semi").select("id"), "crowded")
     crowd = heads(comp_of(joined).join(crowded, "id"), "first").select("id", "comp", "sketch").dropDuplicates(["id"])
-    fourth = linked_in_blocks(crowded_pairs(crowd, docs, k), docs, k, crowded.count()).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    star = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    found = components(star.unionByName(fourth).unionByName(links))
+    last = linked_in_blocks(crowded_pairs(crowd, docs, k), docs, k, crowded.count())
+    found = components(star_of(joined).unionByName(last).unionByName(links))
     named_components = found.withColumnRenamed("component", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(named_components, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component_id", "doc_id")
@@ -561,13 +505,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -
 
 
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id, once if its row is repeated."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id, once if its row is repeated.
+
+    Columns of ``docs`` besides doc_id and text are kept as they are, whatever their names.
+    """
     from pyspark.sql.window import Window
 
-    kept = near_duplicates(docs, k).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return rows.withColumn("__row", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(once))).filter("__row = 1").select(*docs.columns)
+    own, row = fresh(docs, "kept_id", "row")
+    kept = near_duplicates(docs.select("doc_id", "text"), k).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = Window.partitionBy("doc_id").orderBy(F.desc(worded), F.xxhash64("text"))
+    return rows.withColumn(row, F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(once))).filter(F.col(row) == 1).select(*docs.columns)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ Defined results of the odd cases
 * empty text or white space only: the same.
 * very long texts: repeated windows are found by hashing and sorting inside the row, n log n in its words.
 * repeated rows: each is judged by itself, so equal rows get equal verdicts.
-* empty table: an empty result. Extra columns, also those named like a measure: the helpers live in one struct named
-  ``__m``, the input's own columns are left alone.
+* empty table: an empty result. Extra columns: not read by ``judged``; ``keep_good`` returns them as they are, whatever
+  their names (``__m``, ``__kept`` and the like included).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACE, read
+from loomgraph.llm.common import SPACE, fresh, read
 
 #: Frequent function words of the corpus languages (English, French, German, Spanish).
 STOP_WORDS = (
@@ -82,7 +82,7 @@ def _bind(value: Column, body) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` and a struct ``__m`` with the counts of each whole text."""
+    """``docs`` (without a column that starts with ``__``) and a struct ``__m`` with the counts of each whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = text
     for s in SYMBOLS:
@@ -154,7 +154,10 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with their own columns only."""
     # a column that isn't a function of its row keeps the optimizer from pushing the filter below the projection, where
     # every use of a measure would be computed anew
-    return judged(docs, rules).withColumn("__fence", F.monotonically_increasing_id()).filter("__kept and __fence >= 0").select(*docs.columns)
+    (row,) = fresh(docs, "row")
+    inner = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    good = judged(inner, rules).withColumn("__fence", F.monotonically_increasing_id()).filter("__kept and __fence >= 0")
+    return good.select(f"{row}.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,11 +117,16 @@ def test_targets_stop_at_three_times_the_size(spark):
     assert all(abs(r.rate * r.source_size - r.target) < 1e-6 for r in mixing.tilt(mixing.targets(table)).collect())
 
 
+def shingle_set(text, k):
+    words = (text or "").encode().lower().split()
+    return {tuple(words)} if 0 < len(words) < k else set(zip(*(words[j:] for j in range(k)), strict=False))
+
+
 def brute_components(rows, k):
     sets = {}
     for d, t in rows:
         if d is not None:
-            sets.setdefault(d, neardup.shingle_set(t, k))
+            sets.setdefault(d, shingle_set(t, k))
     ids, root = list(sets), {d: d for d in sets}
 
     def find(x):
@@ -153,6 +158,25 @@ def test_near_duplicates(docs, rows, k):
     assert neardup.near_duplicates(docs.limit(0), k).count() == 0
 
 
+def test_texts_of_one_doc_id_are_one_document(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near + " end"), (1, "some other text of the same id"), (5, near + " tail"), (7, "some other text of the same id")]
+    of = lambda rows: {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 2).collect()}
+    got = of(rows)
+    assert got == of(rows[::-1]) and got[(1, 60)] == got[(1, 6)] == 1 and sorted((got[(5, 60)], got[(7, 6)])) in ([1, 5], [1, 7])
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from loomgraph.llm import decontam, quality
+
+    names = ["__m", "__w", "__l", "__h", "__kept", "__fails", "__fence", "__id", "__row", "row", "kept_id", "bad_id", "__copies", "copies", "copy", "copied_id", "__tie", "tie", "size", "v", "t", "component_id", "kept"]
+    text = "The run of the town was over and in the end it is on for all who are with us from that day. And so it goes by the river."
+    d = spark.createDataFrame([(1, text, "s", *range(len(names)))], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    items = spark.createDataFrame([(1, "what is the capital of this country")], "item_id long, text string")
+    for out in (quality.keep_good(d), neardup.one_of_each(d), decontam.clean(d, items), mixing.mixed(d)):
+        assert out.columns == d.columns and out.collect() == d.collect()
+
+
 def test_large_group_of_near_copies(spark):
     r = random.Random(4)
     base = [f"w{i}" for i in range(200)]
