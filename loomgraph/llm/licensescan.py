@@ -8,7 +8,7 @@ beside the rules and are never suppressed. Everything is a projection: no shuffl
 Defined results of the odd cases
 * null, empty or wordless text: ``n_words`` 0, no labels, score 0, null first and last word.
 * repeated rows, equal doc_ids: each row by itself. Ties: of equal detections of one level the earlier rule stays.
-* very long texts: whole; the suppression sweep is linear in the sorted detections.
+* very long texts: whole; sweeps over detections go by blocks (``spans.scanned``), not by the square of their number.
 * empty table: an empty result. Extra columns: not read.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import read
 from loomgraph.llm.license_rules import rules
-from loomgraph.llm.spans import bind, matches
+from loomgraph.llm.spans import bind, matches, scanned
 
 #: Fixed by the contract: what stands between words (of a text whose A-Z may be upper case), phrases and labels.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -41,19 +41,19 @@ def _places(norm: Column, regex: Column, level: Column, rule: Column, label: Col
 
 def _unsuppressed(found: Column) -> Column:
     """Detections sorted by start, longest first, level: one is dropped if an earlier one of its level or a higher reaches as far."""
-    zero = F.struct(*[F.lit(-1).alias(f"m{i}") for i in range(4)], F.array().cast(_SPANS).alias("out"))
+    # one that is dropped reaches no farther than what drops it, which has its level or a higher: all may count
+    levels = range(4)
+    zero = F.struct(*[F.lit(-1).alias(f"m{i}") for i in levels])
+    add = lambda acc, d: F.struct(*[F.when(d["level"] == i, F.greatest(acc[f"m{i}"], d["until"])).otherwise(acc[f"m{i}"]).alias(f"m{i}") for i in levels])
+    join = lambda a, b: F.struct(*[F.greatest(a[f"m{i}"], b[f"m{i}"]).alias(f"m{i}") for i in levels])
 
-    def step(acc: Column, d: Column) -> Column:
-        reach = F.greatest(*[F.when(d["level"] >= i, acc[f"m{i}"]).otherwise(F.lit(-1)) for i in range(4)])
-        keep = reach < d["until"]
-        return F.struct(
-            *[F.when(keep & (d["level"] == i), F.greatest(acc[f"m{i}"], d["until"])).otherwise(acc[f"m{i}"]).alias(f"m{i}") for i in range(4)],
-            F.when(keep, F.concat(acc["out"], F.array(d))).otherwise(acc["out"]).alias("out"),
-        )
+    def kept(sweep: Column) -> Column:
+        reach = lambda d, m: F.greatest(*[F.when(d["level"] >= i, m[f"m{i}"]).otherwise(F.lit(-1)) for i in levels])
+        return bind(scanned(sweep, zero, "struct<m0:int,m1:int,m2:int,m3:int>", add, join), lambda m: F.filter(sweep, lambda d, i: reach(d, F.get(m, i)) < d["until"]))
 
     order = F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["until"]).alias("neg"), d["level"].alias("level"), d["rule"].alias("rule"), d["label"].alias("label")))
     back = F.transform(F.sort_array(order), lambda d: F.struct(d["start"].alias("start"), (-d["neg"]).alias("until"), d["level"].alias("level"), d["rule"].alias("rule"), d["label"].alias("label")))
-    return F.aggregate(back, zero, step)["out"]
+    return bind(back, kept)
 
 
 def scan(docs: DataFrame) -> DataFrame:
