@@ -267,72 +267,99 @@ def test_lm_rare_words_are_joined(docs, monkeypatch):
     assert all(full[k].n_known == few[k].n_known and abs(full[k].base_score - few[k].base_score) < 1e-9 for k in full)
 
 
-def test_lm_trains_on_all_windows(docs):
+def table(n=500, seed=3):
+    import pandas as pd
+
+    r = np.random.default_rng(seed)
+    seen = [(int(a), int(b)) for a, b in r.integers(0, n, (4000, 2)) ** 2 // n]
+    count = collections.Counter(seen)
+    pairs = pd.DataFrame([(a, b, c) for (a, b), c in sorted(count.items())], columns=["prev", "id", "c"])
+    counts = np.bincount(pairs["id"], pairs["c"], n).astype(np.int64)
+    cls, _ = lm.classes_of(counts, np.arange(n) % 2)
+    by_class = pairs.assign(cls=cls[pairs["id"]]).groupby(["prev", "cls"], as_index=False)["c"].sum()
+    return lm.Table(counts, np.arange(n) % 2, by_class, pairs[pairs["c"] > 1].sort_values("c"))
+
+
+def test_lm_table_is_a_distribution():
+    t, ids = table(), np.arange(500)
+    for before in (0, 1, 7, 250, 499, 500):
+        inside = np.exp(t.log_inside(np.full(500, before), ids))
+        classes = np.exp(t.prior[before].astype(float))
+        assert abs(classes.sum() - 1) < 1e-5 and np.allclose(np.bincount(t.cls, inside), 1, atol=1e-4)
+        assert abs((inside * classes[t.cls]).sum() - 1) < 1e-4
+
+
+def test_lm_counts_all_pairs(docs):
     path = tokens.vocabulary_path()
     ids = lm.encoded(docs.withColumn("row", F.monotonically_increasing_id()), path).cache()
-    dtype = lm._encoder(path).dtype
+    dtype, n = lm._encoder(path).dtype, lm._encoder(path).n_ids
     want = collections.Counter()
     for r in ids.filter("train").collect():
         a = np.frombuffer(lm.zstandard.ZstdDecompressor().decompress(bytes(r.ids)), dtype).tolist()
-        for s in range(0, max(1, len(a) - lm.CONTEXT), lm.WINDOW - lm.CONTEXT):
-            want[tuple(([-1, *a] + [-1] * lm.WINDOW)[s : s + lm.WINDOW + 1])] += 1
-    assert collections.Counter(tuple(np.frombuffer(bytes(r.w), "<i4").tolist()) for r in lm.training_windows(ids, dtype).collect()) == want
+        want.update(zip([n, *a[:-1]], a, strict=True))
+    assert {(r.prev, r.id): r.c for r in lm.pair_counts(ids, n, dtype).collect()} == want
+
+
+def test_lm_every_id_is_a_target_once():
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, 500, n) for n in (1, 3, lm.CONTEXT, lm.WINDOW, lm.WINDOW + 1, 97, 5000)]
+    got = collections.Counter()
+    for before, now, valid in lm._batches(docs, 500):
+        assert len(now) <= lm.BATCH
+        got.update(zip(before[valid].tolist(), now[valid].tolist(), strict=True))
+    assert got == collections.Counter((int(a), int(b)) for d in docs for a, b in zip([500, *d[:-1]], d, strict=True))
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, docs, rows):
+    d = spark.createDataFrame([x for x in rows if x[0] is not None], "doc_id long, text string")
+    one, other = ({(r.doc_id, r.n_tokens): r.score for r in lm.scores(x).collect()} for x in (d.coalesce(1), d.orderBy(F.rand(3)).repartition(5)))
+    assert one == other
 
 
 def test_lm_gradients():
     r = np.random.default_rng(1)
-    p = {k: x.astype(np.float64) for k, x in lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES)).items()}
+    p = {k: x.astype(np.float64) for k, x in lm.initial().items()}
     c, b, t, ok = r.integers(0, lm.CLASSES + 1, (3, lm.WINDOW)), r.integers(0, lm.BUCKETS, (3, lm.WINDOW)), r.integers(0, lm.CLASSES, (3, lm.WINDOW)), r.random((3, lm.WINDOW)) < 0.8
-    _, g = lm.gradients(p, c, b, t, ok)
-    for k, at in (("qkv", (3, 5)), ("out", (2, 2)), ("logit", (1, 4)), ("class", (c[0, 3], 1)), ("bucket", (b[0, 3], 1)), ("place", (2, 3))):
+    prior = r.normal(size=(3, lm.WINDOW, lm.CLASSES))
+    _, g = lm.gradients(p, c, b, prior, t, ok)
+    for k, at in (("qkv", (3, 5)), ("qkv", (3, 20)), ("qkv", (3, 40)), ("out", (2, 2)), ("logit", (1, 4)), ("class", (c[0, 3], 1)), ("bucket", (b[0, 3], 1)), ("place", (2, 3))):
         x = p[k][at]
         p[k][at] = x + 1e-4
-        up, _ = lm.gradients(p, c, b, t, ok)
+        up, _ = lm.gradients(p, c, b, prior, t, ok)
         p[k][at] = x - 1e-4
-        down, _ = lm.gradients(p, c, b, t, ok)
+        down, _ = lm.gradients(p, c, b, prior, t, ok)
         p[k][at] = x
         assert abs((up - down) / 2e-4 - g[k][at]) < 1e-6
 
 
 def test_lm_scores_each_id_once_and_causally():
-    r = np.random.default_rng(3)
-    p, cls = lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES)), r.integers(0, lm.CLASSES, 500)
-    inside, ids = np.log(r.random(500) / 500), r.integers(0, 500, 97)
+    p, t, ids = lm.initial(), table(), np.random.default_rng(3).integers(0, 500, 97)
     for n in (1, 3, lm.CONTEXT, lm.WINDOW, lm.WINDOW + 1, lm.STRIDE + lm.CONTEXT, 97):
-        want, seen = 0.0, np.zeros(n, int)
-        c, b = lm._inputs(ids[:n], cls)
+        want, seen, before = 0.0, np.zeros(n, int), np.r_[500, ids[: n - 1]]
+        c, b = np.where(before < 500, t.cls[np.minimum(before, 499)], lm.CLASSES), np.where(before < 500, before % lm.BUCKETS, 0)
         for s in lm._windows(n):
             at = np.arange(s, min(n, s + lm.WINDOW))
-            x = np.zeros((1, lm.WINDOW, lm.DIM), np.float32)
-            x[0, : len(at)] = p["class"][c[at]] + p["bucket"][b[at]] + p["place"][: len(at)]
-            z = lm.forward(p, x)[0][0, : len(at)].astype(float)
-            lp = z - np.log(np.exp(z).sum(1, keepdims=True))
+            x = p["class"][c[at]] + p["bucket"][b[at]] + p["place"][: len(at)]
             for j, i in enumerate(at):
                 if s == 0 or j >= lm.CONTEXT:
+                    q, k, v = np.split(x[: j + 1] @ p["qkv"], 3, axis=1)
+                    w = np.exp(k @ q[j] / math.sqrt(lm.DIM))
+                    z = (x[j] + (w @ v / w.sum()) @ p["out"]) @ p["logit"] + t.prior[before[i]]
                     seen[i] += 1
-                    want += lp[j, cls[ids[i]]] + inside[ids[i]]
-        assert (seen == 1).all() and abs(lm.log_probabilities([ids[:n]], p, cls, inside)[0] - want) < 1e-3
+                    want += z[t.cls[ids[i]]] - np.log(np.exp(z).sum()) + t.log_inside(before[i : i + 1], ids[i : i + 1])[0]
+        assert (seen == 1).all() and abs(lm.log_probabilities([ids[:n]], p, t)[0] - want) < 1e-3
 
 
-def test_lm_training_lowers_held_out_loss():
+def test_lm_training_beats_the_counts():
     r = np.random.default_rng(5)
-    step = r.permutation(200)
-
-    def walk(n):
-        out = np.zeros((n, lm.WINDOW + 1), np.int64)
-        out[:, 0] = r.integers(0, 200, n)
-        for j in range(lm.WINDOW):
-            out[:, j + 1] = np.where(r.random(n) < 0.8, step[out[:, j]], r.integers(0, 200, n))
-        return out
-
-    cls = np.arange(200) % lm.CLASSES
-    p, test = lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES)), walk(100)
-
-    def loss(q):
-        return lm.gradients(q, cls[test[:, :-1]], test[:, :-1] % lm.BUCKETS, cls[test[:, 1:]], np.ones((100, lm.WINDOW), bool))[0]
-
-    before = loss(p)
-    q = p
-    for _ in range(3):
-        q, _ = lm.train_locally(q, walk(2000), cls, lm.RATE)
-    assert loss(q) < before - 0.5
+
+    def text(n):  # what follows depends on the id three places before
+        out = list(r.integers(0, 500, 3))
+        for _ in range(n):
+            out.append((out[-3] * 7 + 1) % 500 if r.random() < 0.8 else int(r.integers(0, 500)))
+        return np.array(out)
+
+    t, p = table(), lm.initial()
+    test = [text(300) for _ in range(20)]
+    q, _ = lm.train_locally(p, [text(300) for _ in range(600)], t)
+    assert lm.log_probabilities(test, q, t).sum() > 0.97 * lm.log_probabilities(test, p, t).sum()
