@@ -71,7 +71,10 @@ PLANS = {
     "o060_agreement_gain": "agree_gain",
     "o061_three_factor_gain": "three_factor_move_gain_out",
     "o063_local_round": "local_round",
+    "o061_three_factor_value": "three_factor_value",
+    "o061_three_factor_merge_gain": "three_factor_merge_gain",
     "o069_shuffled_control": "shuffled_out",
+    "o069_shuffled_texts": "shuffled_texts_out",
     "o070_evidence_order": "evidence_order",
     "o071_prompts": "prompts",
     "o074_candidate_choice": "chosen",
@@ -87,14 +90,15 @@ PLANS = {
     "o085_metric_bundle": "metric_bundle",
     "o086_composition": "composition",
     "o087_majority": "majority",
-    "o088_description_evaluation": "descr_eval",
+    "o088_description_evaluation": "descr_eval_total",
+    "o088_descriptions": "descr_eval",
     "o088_coverage": "coverage",
     "o090_trapped_errors": "trapped",
     "o091_moved_profile": "moved_profile",
     "o092_node_signals": "signals_out",
     "o093_correction_rules": "rule_stats",
     "o094_global_reassignment": "global_stats",
-    "o095_quantile_thresholds": "thresholds",
+    "o095_quantile_thresholds": "margin_quantiles",
     "o096_confusion_pairs": "confusions",
     "o097_mean_std": "mean_std",
     "o098_paired_delta": "paired_delta",
@@ -112,6 +116,7 @@ PLANS = {
     "o110_judge_counts": "judge_counts",
     "o111_judge_by_pass": "judge_by_pass",
     "o112_majority_vote": "majority_vote",
+    "o112_votes": "votes",
     "o112_pass_agreement": "pass_agreement",
 }
 

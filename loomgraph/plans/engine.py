@@ -4,7 +4,8 @@ A relation is a SQL text whose inputs stand in braces: ``{edges}`` is another re
 relation into a DataFrame; every input can be replaced by a DataFrame of the caller's own, so the operators run over any
 graph. ``duckdb_sql`` renders the same relation as one statement of common table expressions, which is the oracle.
 
-``$name(a; b)`` stands for a vector expression that both dialects spell differently.
+``$name(a; b)`` stands for a vector expression that both dialects spell differently, ``@name`` for a parameter: a value of
+the caller's (``plan(..., lam=0.25)``) or its default.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from loomgraph.storage import cut
 
 #: Relations that cost a self-join, a distinct or a similarity to every prototype: where a plan reads one more than
 #: once, it is written to the shared folder first instead of being computed for each reader.
-SHARED = {"edges", "nbr_comm", "sim", "sim_descr", "v_move_gain", "semantic_move_gain", "move_log", "signals", "semantic_merge_gain"}
+SHARED = {"edges", "nbr_comm", "sim", "sim_descr", "v_nbr_comm", "v_move_gain", "v_inter_edges", "semantic_move_gain", "descr_move_gain", "move_log", "log_signs", "signals", "semantic_merge_gain", "merge_side", "member_hits"}
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -54,8 +55,20 @@ _DUCK: dict[str, Callable[..., str]] = {
 }
 _INPUT = re.compile(r"\{(\w+)\}")
 
+_PARAMETER = re.compile(r"@(\w+)")
+
 RELATIONS: dict[str, str] = {}
 
+#: Weights of the semantic term and of the two of the three-factor objective, prototype parameters, the column that is
+#: killed, the accuracy gap of a failure and the kind of non-local candidates.
+PARAMETERS: dict[str, float | int | str] = {"lam": 0.5, "wc": 0.25, "wd": 0.25, "gamma": 0.5, "tau": 3.0, "tau_margin": 10.0, "fraction": 0.5, "killed": 0, "gap": 0.15, "mode": "agree", "domain": "document collection"}
+
+
+def _literal(value: float | int | str) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    return f"{value:.17e}" if isinstance(value, float) else str(value)
+
 
 def define(relations: dict[str, str]) -> None:
     """Add relations; a name is given once."""
@@ -82,9 +95,11 @@ def inputs(name: str) -> list[str]:
     return list(dict.fromkeys(_INPUT.findall(RELATIONS[name])))
 
 
-def plan(spark: SparkSession, name: str, sf_dir: str | None = None, **given: DataFrame) -> DataFrame:
-    """The relation ``name``; inputs in ``given`` replace relations or tables of that name."""
-    done: dict[str, DataFrame] = dict(given)
+def plan(spark: SparkSession, name: str, sf_dir: str | None = None, **given: DataFrame | float | int | str) -> DataFrame:
+    """The relation ``name``; in ``given``, DataFrames replace relations or tables and values parameters of that name."""
+    values = PARAMETERS | {k: v for k, v in given.items() if k in PARAMETERS}
+    done: dict[str, DataFrame] = {k: v for k, v in given.items() if k not in PARAMETERS}
+    text = lambda x: _PARAMETER.sub(lambda m: _literal(values[m[1]]), RELATIONS[x])
     readers: dict[str, int] = {}
     seen: set[str] = set()
 
@@ -100,7 +115,7 @@ def plan(spark: SparkSession, name: str, sf_dir: str | None = None, **given: Dat
     def of(x: str) -> DataFrame:
         if x not in done:
             if x in RELATIONS:
-                done[x] = spark.sql(render(RELATIONS[x], _SPARK), **{i: of(i) for i in inputs(x)})
+                done[x] = spark.sql(render(text(x), _SPARK), **{i: of(i) for i in inputs(x)})
                 if x in SHARED and readers.get(x, 0) > 1:
                     done[x] = cut(done[x], x)
             elif sf_dir is not None and x in TABLES:
@@ -123,5 +138,5 @@ def duckdb_sql(name: str) -> str:
             order.append(x)
 
     visit(name)
-    ctes = ", ".join(f"{x}_ AS ({_INPUT.sub(lambda m: m[1] + '_' if m[1] in RELATIONS else m[1], render(RELATIONS[x], _DUCK))})" for x in order)
+    ctes = ", ".join(f"{x}_ AS ({_INPUT.sub(lambda m: m[1] + '_' if m[1] in RELATIONS else m[1], render(_PARAMETER.sub(lambda m: _literal(PARAMETERS[m[1]]), RELATIONS[x]), _DUCK))})" for x in order)
     return f"WITH {ctes} SELECT * FROM {name}_"
