@@ -158,12 +158,15 @@ def _louvain_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, comms = _vector_graph(spark, sf_dir)
-    return moves.local_move_bulk(edges, comms, 3)
+    return moves.local_move_bulk(edges, comms)
 
 
-def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, comms = _vector_graph(spark, sf_dir)
-    return list(moves.semantic_clustering(plan(spark, "emb", sf_dir), edges, comms, 2))[-1]
+def _pipeline(method: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges, comms = _vector_graph(spark, sf_dir)
+        return moves.pipeline(plan(spark, "emb", sf_dir), edges, comms.select("node"), 10, method)
+
+    return run
 
 
 def _descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +182,9 @@ ITERATIVE = {
     "o063_local_move_bulk": _bulk,
     "o064_merge_to_k": _merge,
     "o065_louvain_k": _louvain_k,
-    "o067_semantic_pipeline": _semantic,
+    "o066_near_pipeline": _pipeline("near"),
+    "o067_semantic_pipeline": _pipeline("centroid"),
+    "o068_three_factor_pipeline": _pipeline("three_factor"),
     "o070_evidence": _evidence,
     "o072_generation": _descriptions,
     "o082_accuracy": _accuracy,

@@ -138,5 +138,5 @@ def duckdb_sql(name: str) -> str:
             order.append(x)
 
     visit(name)
-    ctes = ", ".join(f"{x}_ AS ({_INPUT.sub(lambda m: m[1] + '_' if m[1] in RELATIONS else m[1], render(_PARAMETER.sub(lambda m: _literal(PARAMETERS[m[1]]), RELATIONS[x]), _DUCK))})" for x in order)
+    ctes = ", ".join(f"{x}_ AS {'MATERIALIZED ' if x in SHARED else ''}({_INPUT.sub(lambda m: m[1] + '_' if m[1] in RELATIONS else m[1], render(_PARAMETER.sub(lambda m: _literal(PARAMETERS[m[1]]), RELATIONS[x]), _DUCK))})" for x in order)
     return f"WITH {ctes} SELECT * FROM {name}_"
