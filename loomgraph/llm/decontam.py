@@ -21,7 +21,8 @@ of the larger share), or EVIDENCE tokens in windows that are found.
 Defined results of the odd cases
 * null or empty text (document or item): no tokens, no leak. Items of fewer than SHORTEST tokens are no evidence and
   are never reported; items shorter than a window are one window of their own length.
-* repeated rows and equal doc_ids or item_ids: one pair each. null doc_id: reported with a null doc_id.
+* repeated rows and equal doc_ids or item_ids: one pair each. null doc_id or item_id: reported as null; all documents
+  (items) without an id are one.
 * very long texts: whole. Empty tables: an empty result. Extra columns: not read by ``leaks``, kept by ``clean``.
 """
 
@@ -94,7 +95,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
     ``told``: the window has words enough to match by its template; n_told of the item's windows do.
     """
-    values = benchmark.select("item_id", _valued(F.col("text")).alias("v")).withColumn("t", F.transform("v", _plain)).filter(F.size("t") >= SHORTEST)
+    # an item's first word is a name or not by what stands before it in a document: both readings are looked up
+    leads = benchmark.select("item_id", "text", F.explode(F.array(F.lit(""), F.lit("so "))).alias("lead"))
+    read_as = leads.select("item_id", _valued(F.concat("lead", F.coalesce("text", F.lit("")))).alias("v"), F.when(F.col("lead") == "", 0).otherwise(1).alias("skip"))
+    values = read_as.select("item_id", F.slice("v", F.col("skip") + 1, F.greatest(F.lit(0), F.size("v") - F.col("skip"))).alias("v"))
+    values = values.distinct().withColumn("t", F.transform("v", _plain)).filter(F.size("t") >= SHORTEST)
     size = F.least(F.lit(WINDOW), F.size("t"))
     sized = values.select("item_id", size.alias("size"), "v", "t")
     starts = _starts(F.size("t"), F.col("size"), 1)
@@ -138,7 +143,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lines = met.filter("told").select("doc_id", "item_id", "line", F.explode("slots").alias("s")).distinct()
     lines = lines.groupBy("doc_id", "item_id", "line", "s.i").agg(F.count("*").alias("n"), F.count_if(F.col("s.i") != F.col("s.d")).alias("other"))
     lines = lines.groupBy(F.col("doc_id").alias("__id"), F.col("item_id").alias("__item"), F.col("line").alias("__line")).agg(F.count("*").alias("n_slots"), F.count_if(F.col("other") > 0).alias("n_changed"), (F.max("n") > 1).alias("contradicts"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("item_id") == F.col("__item")) & (F.col("line") == F.col("__line"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("line") == F.col("__line"))
     good = met.join(lines, on, "left").filter(~F.coalesce("contradicts", F.lit(False)) | (F.size("slots") == 0) | ~F.col("told"))
     out = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("all_windows"), F.max("n_told").alias("n_told"), F.countDistinct("at").alias("all_found"), F.countDistinct(F.when(F.col("told"), F.col("at"))).alias("told_found"), F.max("size").alias("size"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
     by_told = F.col("told_found") * F.col("all_windows") >= F.col("all_found") * F.col("n_told")

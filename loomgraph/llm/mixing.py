@@ -4,7 +4,8 @@ The mix gives every document a rate. Among all rates that meet each source's tok
 those closest to one in token-weighted relative entropy; they are exponential tilts ``exp(lambda)`` of the constraint's
 multipliers. The convex dual, sum(size * exp(lambda)) - target * lambda for each source, is solved by Newton steps over
 the table of sources: gradient and curvature of a step are sums over documents, and as a document enters them by its
-size only, one distributed aggregate is gathered once. Targets stop at three times a source's size, so no rate
+size only, one distributed aggregate is gathered once. With one constraint for each source the dual falls apart by
+source, and its solution is the logarithm of target over size; the steps are those of the general method. Targets stop at three times a source's size, so no rate
 exceeds three.
 
 Rates are rounded into whole copies by systematic rounding along the sizes: within a source and a size tier, ordered

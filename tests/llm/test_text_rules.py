@@ -149,6 +149,62 @@ def test_leaks_of_one_window_at_any_place(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted((d, d // 10) for d, _ in rows)
 
 
+def test_no_verbatim_item_is_lost(spark):
+    r = random.Random(11)
+    plain = [f"{a}{b}" for a in ("lor", "mip", "sut", "den", "kar", "vel") for b in ("em", "ing", "ate", "or", "isk")]
+    word = lambda: r.choice([r.choice(plain)] * 6 + [str(r.randrange(9999)), r.choice(plain).title(), f"{r.randrange(99)} km"])
+    items = [(i, " ".join([r.choice(plain).title(), *(word() for _ in range(3 + i % 17))]) + r.choice(["?", ".", ""])) for i in range(80)]
+    lead = ["", "well so ", "And then. ", "See: ", "one two three\n"]
+    rows = [(1000 * j + i, p + t + " after that nothing") for i, t in items for j, p in enumerate(lead)] + [(90_000 + i, " ".join(f"w{r.randrange(10**6)}" for _ in range(60))) for i in range(40)]
+    got = {(x.doc_id, x.item_id) for x in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(1000 * j + i, i) for i, _ in items for j in range(len(lead))} <= got and not any(d >= 90_000 for d, _ in got)
+
+
+def test_leaks_without_ids(spark):
+    items = spark.createDataFrame([(None, "Which river flows through the old town of Bern?"), (None, "Bob had 3 apples and gave Ann 2, what has Bob?")], "item_id long, text string")
+    rows = [(None, "so: Which river flows through the old town of Bern?"), (None, "nothing"), (1, "so Carl had 5 apples and gave Eve 4, what has Carl?"), (2, "so Carl had 5 apples and gave Eve 4, what has Mike?")]
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.kind) for r in got) == [(0, None, "verbatim"), (1, None, "reparameterised")]
+
+
+def test_many_matches_of_one_text(spark):
+    n = 20_000
+    text = " ".join(f"{'0123456789abcdef' * 2}" for _ in range(n)) + " under the mit license" * 300
+    d = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+    spans = secretscan.scan(d).head().spans
+    assert [(s.start, s.end) for s in spans] == [(33 * i, 33 * i + 32) for i in range(n)]
+    assert [x.start for x in licensescan.scan(d).head().base] == [n + 4 * i for i in range(300)]
+
+
+def brute_suppression(found):
+    out = []
+    for d in sorted(found, key=lambda d: (d[0], -d[1], *d[2:])):
+        if not any(e[2] <= d[2] and e[1] >= d[1] for e in out):
+            out.append(d)
+    return out
+
+
+def test_license_suppression_against_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(40):
+        found = [(s := r.randrange(60), s + r.randrange(1, 12), r.randrange(4), r.randrange(200), f"l{r.randrange(5)}") for _ in range(r.choice([0, 1, 5, 63, 64, 65, 200]))]
+        rows.append((i, found))
+    d = spark.createDataFrame(rows, f"doc_id long, f {licensescan._SPANS}")
+    for x in d.select("doc_id", licensescan._unsuppressed(licensescan.F.col("f")).alias("g")).collect():
+        assert [tuple(y) for y in x.g] == brute_suppression(rows[x.doc_id][1])
+
+
+def test_secret_ownership_against_brute_force(spark):
+    r = random.Random(6)
+    values = [f"Value{i}{'xyzq'[i % 4]}{i * 7919}" for i in range(12)]
+    rows = [(i, " ".join(f"token={r.choice(values)}" for _ in range(r.randrange(0, 4))), f"o{r.randrange(4)}", f"r{r.randrange(3)}") for i in range(80)]
+    owners = {v: {o for _, t, o, _ in rows if f"token={v}" in t.split()} for v in values}
+    for x in secretscan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect():
+        held = [w.removeprefix("token=") for w in rows[x.doc_id][1].split()]
+        assert x.n_copied == sum(len(owners[v]) >= secretscan.COPIED_OWNERS for v in held) and x.most_owners == max([len(owners[v]) for v in held], default=0)
+
+
 def test_leaks_of_items_of_numbers(spark):
     items = spark.createDataFrame([(1, "What is 12 times 34?"), (2, "Compute 17 * 23 + 45 * 12 - 8")], "item_id long, text string")
     rows = [(1, "Well: what is 12 times 34? No idea."), (2, "Now compute 17 * 23 + 45 * 12 - 8 by hand."), (3, "what is 12 times 35?"), (4, "compute 7 * 3 + 5 * 2 - 1")]
