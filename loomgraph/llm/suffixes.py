@@ -11,8 +11,8 @@ affordable over whole corpora:
   windows have equal anchors at equal offsets, and a window is repeated only if its anchor's rank is.
 * Classes of contexts. A run of windows with one anchor spans at most 2 * THRESHOLD - SEED bytes, its context. Runs of
   equal rank and equal context agree in all their windows: all but those in the smallest doc_id are removed at once,
-  first inside each chunk of the scan (so a passage in a third of all documents costs one row for each chunk), then
-  after the sort. If a rank has one context only, or one document, it is done.
+  first inside each chunk of the scan, where classes of HOT runs or more are known to the rest of the task (so a passage
+  in a third of all documents costs a few rows for each task of the scan), then after the sort. If a rank has one context only, or one document, it is done.
 * Refinement. What is left (one run for each context) is ranked by longer prefixes: a node of a tree over the anchor's
   offsets holds the bytes that all its windows share; the pair (rank of the parent, those bytes) is the new rank. The
   common prefix grows from SEED to THRESHOLD bytes, where rank and context coincide.
@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import cut, read, width
 
 THRESHOLD, SEED = 50, 16
+#: Runs of one class in a chunk from which on the rest of the task knows the class.
+HOT = 8
 #: Offsets of an anchor in its window: 0 to REACH.
 REACH = THRESHOLD - SEED
 #: Bytes of text that are scanned at once (a longer document is one chunk).
@@ -122,7 +124,7 @@ ROW = "rank long, context long, doc long, at long"
 def scan(docs: DataFrame) -> DataFrame:
     """Anchor runs of all documents, and (with at < 0, context = start << 32 | end) intervals that a chunk removes itself."""
 
-    def chunk(ids: list[int], raws: list[bytes]) -> pa.RecordBatch | None:
+    def chunk(ids: list[int], raws: list[bytes], hot: list[np.ndarray]) -> pa.RecordBatch | None:
         buf = np.frombuffer(b"".join(raws), np.uint8)
         ends = np.cumsum([len(r) for r in raws])
         starts = ends - [len(r) for r in raws]
@@ -137,8 +139,17 @@ def scan(docs: DataFrame) -> DataFrame:
         same = both[order]
         first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
         least = np.minimum.reduceat(doc[order], first)
+        runs = np.diff(np.r_[first, len(order)])
         gone = np.zeros(len(lo), bool)
-        gone[order] = doc[order] > np.repeat(least, np.diff(np.r_[first, len(order)]))
+        gone[order] = doc[order] > np.repeat(least, runs)
+        if len(hot[0]):
+            at_hot = np.minimum(np.searchsorted(hot[0], both), len(hot[0]) - 1)
+            gone |= (hot[0][at_hot] == both) & (doc > hot[1][at_hot])
+        if (runs >= HOT).any():
+            keys, least_of = np.r_[hot[0], same[first][runs >= HOT]], np.r_[hot[1], least[runs >= HOT]]
+            by = np.lexsort((least_of, keys))
+            new = np.r_[True, keys[by][1:] != keys[by][:-1]]
+            hot[0], hot[1] = keys[by][new], least_of[by][new]
         stay = ~gone
         at = tag << 43 | (lo - base) << 12 | (hi - lo) << 6 | (anchor - lo)
         m = np.flatnonzero(gone)
@@ -151,21 +162,21 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         raws: list[bytes] = []
-        size = 0
+        hot, size = [np.zeros(0, _U), np.zeros(0, np.int64)], 0  # keys of hot classes, ascending, and their least doc_ids
         for b in batches:
             for i in range(b.num_rows):
                 raw = b.column(1)[i].as_py()
                 if raw is None or len(raw) < THRESHOLD:
                     continue
                 if raws and size + len(raw) > CHUNK:
-                    out = chunk(ids, raws)
+                    out = chunk(ids, raws, hot)
                     if out is not None:
                         yield out
                     ids, raws, size = [], [], 0
                 ids.append(b.column(0)[i].as_py()), raws.append(raw)
                 size += len(raw)
         if raws:
-            out = chunk(ids, raws)
+            out = chunk(ids, raws, hot)
             if out is not None:
                 yield out
 
