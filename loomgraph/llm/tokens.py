@@ -42,6 +42,9 @@ DICT_DOCS, DICT_IDS, DICT_BYTES = 1_000, 8_192, 64 << 10
 #: older one holds is taken over when it recurs.
 CACHE_PIECES = 250_000
 
+#: Characters of a piece that is not remembered beyond its batch: long pieces seldom recur.
+LONG_PIECE = 13
+
 BLOCKS = "part int, block int, first long, dict_hash string, doc_ids array<long>, offsets array<int>, n_tokens array<long>, payload binary"
 
 #: The byte-level pre-tokenizer's pieces for texts of the plain range, where Python's classes agree with the library's.
@@ -97,7 +100,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Words are encoded in one text, a line each: the line feed is a piece and an id of its own."""
+        """Pieces are encoded in one text, a line each: the line feed is a piece and an id of its own."""
         words = [p for p in pieces if p.isalpha() or (p[0] == " " and p[1:].isalpha())]
         if words and len(self.newline) == 1:
             size, mark = self.dtype.itemsize, self.newline[0]
@@ -131,6 +134,9 @@ class Encoder:
             get = self.known.__getitem__
             for t, p in zip(texts[i : i + step], some, strict=True):
                 out.append((self._whole(t) if p is None else b"".join(map(get, p))) + self.end)
+            for p in new:
+                if len(p) > LONG_PIECE:
+                    del self.known[p]
         return out
 
 
