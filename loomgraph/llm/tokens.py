@@ -42,9 +42,6 @@ DICT_DOCS, DICT_IDS, DICT_BYTES = 1_000, 8_192, 64 << 10
 #: older one holds is taken over when it recurs.
 CACHE_PIECES = 250_000
 
-#: Characters of a piece that is not remembered beyond its batch: long pieces seldom recur.
-LONG_PIECE = 13
-
 BLOCKS = "part int, block int, first long, dict_hash string, doc_ids array<long>, offsets array<int>, n_tokens array<long>, payload binary"
 
 #: The byte-level pre-tokenizer's pieces for texts of the plain range, where Python's classes agree with the library's.
@@ -134,9 +131,6 @@ class Encoder:
             get = self.known.__getitem__
             for t, p in zip(texts[i : i + step], some, strict=True):
                 out.append((self._whole(t) if p is None else b"".join(map(get, p))) + self.end)
-            for p in new:
-                if len(p) > LONG_PIECE:
-                    del self.known[p]
         return out
 
 
@@ -176,7 +170,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
 def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, cache_pieces: int = CACHE_PIECES) -> str:
     """Encode ``docs`` (doc_id, text) and write the blocks and the dictionary; returns the folder.
 
-    ``cache_pieces`` trades the workers' memory for encoding time.
+    ``cache_pieces`` trades the workers' memory (some 170 bytes each, in two generations) for encoding time.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
@@ -278,4 +272,4 @@ def read_document(spark: SparkSession, path: str, doc_id: int, vocabulary_ids: i
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_tokens(spark, write_tokens(read(spark, sf_dir, "documents")))
+    return read_tokens(spark, write_tokens(read(spark, sf_dir, "documents"), cache_pieces=600_000))
