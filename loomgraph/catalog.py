@@ -193,7 +193,9 @@ ITERATIVE = {
 
 #: Oracles of those that SQL can express: chains are components of one nation, five classes have 120 matchings.
 _MATCHED = "WITH c AS (SELECT user_id % 5 AS pred, event_type AS y, count(*) AS n FROM events GROUP BY 1, 2), y AS (SELECT DISTINCT event_type AS y FROM events), p AS (SELECT a.y a, b.y b, c.y c, d.y d, e.y e FROM y a, y b, y c, y d, y e WHERE len(list_distinct([a.y, b.y, c.y, d.y, e.y])) = 5), s AS (SELECT p.*, (SELECT sum(n) FROM c WHERE (pred = 0 AND y = p.a) OR (pred = 1 AND y = p.b) OR (pred = 2 AND y = p.c) OR (pred = 3 AND y = p.d) OR (pred = 4 AND y = p.e)) AS hit FROM p) "
+_PLACED = "SELECT a, b, c, d, e FROM s ORDER BY hit DESC, a, b, c, d, e LIMIT 1"
 ITERATIVE_SQL = {
+    "o089_matching": _MATCHED + f", w AS ({_PLACED}) SELECT c.pred, c.y, c.n FROM c CROSS JOIN w WHERE c.y = CASE c.pred WHEN 0 THEN w.a WHEN 1 THEN w.b WHEN 2 THEN w.c WHEN 3 THEN w.d ELSE w.e END",
     "o030_components": "SELECT c.c_custkey AS node, m.least AS component FROM customer c JOIN (SELECT c_nationkey, min(c_custkey) AS least, count(*) AS n FROM customer GROUP BY c_nationkey) m ON c.c_nationkey = m.c_nationkey WHERE m.n > 1",
     "o082_accuracy": _MATCHED + "SELECT round(CAST(max(hit) AS DOUBLE) / (SELECT count(*) FROM events), 9) AS acc FROM s",
 }

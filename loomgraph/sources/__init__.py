@@ -84,14 +84,11 @@ def write_move_log(log: DataFrame, path: str, dataset: str, seed: int) -> None:
 
 
 def cached(path: str, compute: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
-    """The table at ``path``, computed and written on first use."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        compute().write.parquet(path)
-        return spark.read.parquet(path)
+    """The table at ``path``, computed and written on first use; what a write that died has left is written anew."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def report(table: DataFrame, style: str = "markdown", most: int = 100) -> str:

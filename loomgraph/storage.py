@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where a session has none (unit tests on one machine) a folder of this machine is set.
+    Only where a session on one machine has none (as in tests) a folder of this machine is set; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     sc = spark.sparkContext
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(f"/tmp/checkpoints/{os.getpid()}")
     return sc._jsc.sc().getCheckpointDir().get()
