@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph import roundtrips
 from loomgraph.operators import analysis, describe, graph, metrics, moves, objectives, text, vectors  # noqa: F401  (define their relations)
-from loomgraph.operators.components import components
+from loomgraph.operators.components import all_components, components, fragments
 from loomgraph.plans.engine import duckdb_sql, plan
 
 #: Query name -> relation.
@@ -125,6 +126,15 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(plan(spark, "chain_edges", sf_dir))
 
 
+def _component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, comms = _vector_graph(spark, sf_dir)
+    return all_components(edges, comms).agg(F.countDistinct("component").alias("n_components"))
+
+
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments(*_vector_graph(spark, sf_dir))
+
+
 def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.accuracy(plan(spark, "labelled", sf_dir))
 
@@ -178,6 +188,8 @@ def _descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Operators that iterate or hold state; name -> callable.
 ITERATIVE = {
     "o030_components": _components,
+    "o030_component_count": _component_count,
+    "o030_fragmented": _fragments,
     "o062_louvain": _louvain,
     "o063_local_move_bulk": _bulk,
     "o064_merge_to_k": _merge,
@@ -194,7 +206,12 @@ ITERATIVE = {
 #: Oracles of those that SQL can express: chains are components of one nation, five classes have 120 matchings.
 _MATCHED = "WITH c AS (SELECT user_id % 5 AS pred, event_type AS y, count(*) AS n FROM events GROUP BY 1, 2), y AS (SELECT DISTINCT event_type AS y FROM events), p AS (SELECT a.y a, b.y b, c.y c, d.y d, e.y e FROM y a, y b, y c, y d, y e WHERE len(list_distinct([a.y, b.y, c.y, d.y, e.y])) = 5), s AS (SELECT p.*, (SELECT sum(n) FROM c WHERE (pred = 0 AND y = p.a) OR (pred = 1 AND y = p.b) OR (pred = 2 AND y = p.c) OR (pred = 3 AND y = p.d) OR (pred = 4 AND y = p.e)) AS hit FROM p) "
 _PLACED = "SELECT a, b, c, d, e FROM s ORDER BY hit DESC, a, b, c, d, e LIMIT 1"
+_REACHED = f"WITH RECURSIVE e AS ({duckdb_sql('vedges')}), c AS ({duckdb_sql('vcomms')}), "
+_INSIDE = _REACHED + "b AS (SELECT e.src AS u, e.dst AS v FROM e JOIN c s ON e.src = s.node JOIN c t ON e.dst = t.node WHERE s.comm = t.comm UNION SELECT e.dst, e.src FROM e JOIN c s ON e.src = s.node JOIN c t ON e.dst = t.node WHERE s.comm = t.comm), r AS (SELECT node, node AS at FROM c UNION SELECT r.node, b.v FROM r JOIN b ON r.at = b.u), p AS (SELECT c.node, c.comm, min(r.at) AS component FROM c JOIN r ON c.node = r.node GROUP BY c.node, c.comm), w AS (SELECT comm, component AS whole FROM (SELECT comm, component, row_number() OVER (PARTITION BY comm ORDER BY count(*) DESC, component) AS rk FROM p GROUP BY comm, component) WHERE rk = 1) "
 ITERATIVE_SQL = {
+    # edges to the next node join all of them
+    "o030_component_count": _REACHED + "o AS (SELECT node FROM c WHERE node > 0 AND NOT EXISTS (SELECT 1 FROM e WHERE e.dst = c.node)) SELECT 1 + (SELECT count(*) FROM o) AS n_components",
+    "o030_fragmented": _INSIDE + "SELECT p.node, p.comm, p.component, p.component <> w.whole AS fragmented FROM p JOIN w ON p.comm = w.comm",
     "o089_matching": _MATCHED + f", w AS ({_PLACED}) SELECT c.pred, c.y, c.n FROM c CROSS JOIN w WHERE c.y = CASE c.pred WHEN 0 THEN w.a WHEN 1 THEN w.b WHEN 2 THEN w.c WHEN 3 THEN w.d ELSE w.e END",
     "o030_components": "SELECT c.c_custkey AS node, m.least AS component FROM customer c JOIN (SELECT c_nationkey, min(c_custkey) AS least, count(*) AS n FROM customer GROUP BY c_nationkey) m ON c.c_nationkey = m.c_nationkey WHERE m.n > 1",
     "o082_accuracy": _MATCHED + "SELECT round(CAST(max(hit) AS DOUBLE) / (SELECT count(*) FROM events), 9) AS acc FROM s",
@@ -202,8 +219,8 @@ ITERATIVE_SQL = {
 
 
 def queries() -> dict:
-    return ITERATIVE | {name: (lambda spark, sf_dir, r=r: plan(spark, r, sf_dir)) for name, r in PLANS.items()}
+    return ITERATIVE | roundtrips.QUERIES | {name: (lambda spark, sf_dir, r=r: plan(spark, r, sf_dir)) for name, r in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ITERATIVE_SQL | {name: duckdb_sql(r) for name, r in PLANS.items()}
+    return ITERATIVE_SQL | roundtrips.SQL | {name: duckdb_sql(r) for name, r in PLANS.items()}

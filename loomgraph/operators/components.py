@@ -39,3 +39,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
         seen = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def all_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of every node; one without an edge is a component by itself."""
+    found = components(edges).withColumnRenamed("node", "__node")
+    return nodes.select("node").distinct().join(found, F.col("node") == F.col("__node"), "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def fragments(edges: DataFrame, comms: DataFrame) -> DataFrame:
+    """(node, comm, component, fragmented): components inside each community of ``comms`` (node, comm).
+
+    All nodes outside their community's largest component are fragmented; of several largest ones the one with the
+    least node counts as whole.
+    """
+    a, b = comms.select(F.col("node").alias("src"), F.col("comm").alias("a")), comms.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
+    inner = edges.select("src", "dst").join(a, "src").join(b, "dst").filter("a = b").select("src", "dst")
+    placed = cut(comms.select("node", "comm").join(all_components(inner, comms), "node"), "fragments")
+    sizes = placed.groupBy("comm", "component").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("comm").agg(F.max(F.struct("n", (-F.col("component")).alias("least"))).alias("m")).select("comm", (-F.col("m.least")).alias("whole"))
+    return placed.join(whole, "comm").select("node", "comm", "component", (F.col("component") != F.col("whole")).alias("fragmented"))

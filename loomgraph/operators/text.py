@@ -27,6 +27,8 @@ define(
         # hashing encoder: counts of word buckets, normalised
         "word_buckets": "SELECT node, pos, CAST(count(*) AS DOUBLE) AS c FROM (SELECT node, $bucket(word; 64) AS pos FROM $split({texts}; node; lower(text)) WHERE word <> '') GROUP BY node, pos",
         "hash_encoding": "SELECT w.node, w.pos, $r(w.c / n.norm) AS val FROM {word_buckets} w JOIN (SELECT node, sqrt(sum(c * c)) AS norm FROM {word_buckets} GROUP BY node) n ON w.node = n.node",
+        # all positions of every node; one without words has zeros
+        "dense_encoding": "SELECT t.node, p.pos, coalesce(h.val, 0e0) AS val FROM {texts} t CROSS JOIN (SELECT DISTINCT pos FROM {hash_encoding}) p LEFT JOIN {hash_encoding} h ON t.node = h.node AND p.pos = h.pos",
         # raw files as their lines would be read: a text table with bad rows, and neighbour lists
         "raw_titles": "SELECT CASE WHEN event_id % 10 = 0 THEN 'bad' ELSE CAST(event_id AS VARCHAR(20)) END AS pid, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS title, props AS abstract FROM {events}",
         "id_map": "SELECT doc_id AS idx, doc_id * 3 AS pid FROM {documents}",
@@ -39,6 +41,8 @@ define(
         "listed_ids": "SELECT n.node, b.before + CAST(row_number() OVER (PARTITION BY n.g ORDER BY n.node) - 1 AS BIGINT) AS id FROM {listed_nodes} n JOIN {listed_before} b ON n.g = b.g",
         "listed_graph": "SELECT s.id AS src, t.id AS dst FROM {listed_edges} e JOIN {listed_ids} s ON e.src = s.node JOIN {listed_ids} t ON e.dst = t.node",
         "listed_names": "SELECT label, category AS name FROM (SELECT label, category, row_number() OVER (PARTITION BY label ORDER BY node) AS rk FROM {neighbour_lists}) WHERE rk = 1",
+        # answers as a generator may give them: JSON between other text, a bullet beside one that is too short, plain text
+        "raw_answers": "SELECT event_id AS item, CASE event_id % 3 WHEN 0 THEN concat('Here: ', chr(123), replace(concat('~candidates~: [~', event_type, ' 0~, ~', event_type, ' 1~]'), '~', chr(34)), chr(125), ' done') WHEN 1 THEN concat('- three words ', event_type, chr(10), '- ', event_type) ELSE concat('just ', event_type) END AS raw FROM {events}",
         "pred_files": "SELECT DISTINCT concat(event_type, '_semantic_l0.5_s', CAST(event_id % 5 AS VARCHAR(2)), '_audit.npy') AS file FROM {events}",
         "pred_parts": "SELECT file, regexp_extract(file, '^([a-z_]+?)_([a-z]+)_l([0-9.]+)_s([0-9]+)_([a-z]+)[.]npy', 1) AS dataset, regexp_extract(file, '_l([0-9.]+)_s', 1) AS lam, regexp_extract(file, '_s([0-9]+)_', 1) AS seed, regexp_extract(file, '_([a-z]+)[.]npy', 1) AS tag FROM {pred_files}",
         "done_runs": "SELECT dataset, method, seed FROM {runs} WHERE seed < 2 GROUP BY dataset, method, seed",

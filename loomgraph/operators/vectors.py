@@ -120,6 +120,7 @@ define(
         "shuffled_emb": "SELECT s.node, e.x FROM {shuffled} s JOIN {emb} e ON s.source = e.node",
         "shuffled_texts": "SELECT s.node, s.source, coalesce(t.text, '') AS text FROM {shuffled} s LEFT JOIN {texts} t ON s.source = t.node",
         "shuffled_texts_out": "SELECT node, source, md5(text) AS text FROM {shuffled_texts}",
+        "emb_out": "SELECT node, CAST(pos AS BIGINT) AS pos, $r(val) AS val FROM $long({emb}; node)",
         "shuffled_out": "SELECT node, CAST(pos AS BIGINT) AS pos, $r(val) AS val FROM $long({shuffled_emb}; node)",
     }
 )

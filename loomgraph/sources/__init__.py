@@ -37,11 +37,12 @@ def read_gzip_csv(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """edge.csv.gz, node-label.csv.gz, nodeidx2paperid.csv.gz (node, paper) and titleabs.tsv; rows with fewer than three
     fields or a key that isn't a number are dropped, missing texts are empty."""
     edges = spark.read.csv(f"{path}/edge.csv.gz", schema="a long, b long")
-    labels = spark.read.csv(f"{path}/node-label.csv.gz", schema="label long")
+    # the line is the node: a gzip file can't be split, so its one partition numbers the lines from 0
+    labels = spark.read.csv(f"{path}/node-label.csv.gz", schema="label long").select(F.monotonically_increasing_id().alias("node"), "label")
     ids = spark.read.csv(f"{path}/nodeidx2paperid.csv.gz", header=True, schema="node long, paper long")
     lines = spark.read.text(f"{path}/titleabs.tsv").select(F.split("value", "\t", 3).alias("f")).filter(F.size("f") >= 3)
     titles = lines.select(F.expr("try_cast(f[0] AS bigint)").alias("paper"), F.concat_ws(" ", F.get("f", F.lit(1)), F.get("f", F.lit(2))).alias("text")).filter("paper is not null").dropDuplicates(["paper"])
-    nodes = ids.join(titles, "paper", "left").select("node", F.coalesce("text", F.lit("")).alias("text"))
+    nodes = ids.join(titles, "paper", "left").join(labels, "node", "left").select("node", F.coalesce("text", F.lit("")).alias("text"), "label")
     return {"nodes": nodes, "raw_edges": edges, "labels": labels}
 
 

@@ -39,7 +39,7 @@ def rows(pdf):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the fixture tables")
-@pytest.mark.parametrize("name", ["o004_neighbour_lists", "o007_hash_encoder", "o017_clean_edges", "o020_community_stats", "o022_modularity", "o024_move_gain", "o026_merge_gain", "o035_top3", "o042_reliability_gate", "o045_prototype_wmean", "o050_extra_candidate", "o054_sn_move_gain", "o058_semantic_merge_gain", "o071_prompts", "o080_nmi", "o082_accuracy", "o093_correction_rules", "o098_paired_delta", "o112_majority_vote", "o030_components"])
+@pytest.mark.parametrize("name", ["o004_neighbour_lists", "o007_hash_encoder", "o017_clean_edges", "o020_community_stats", "o022_modularity", "o024_move_gain", "o026_merge_gain", "o035_top3", "o042_reliability_gate", "o045_prototype_wmean", "o050_extra_candidate", "o054_sn_move_gain", "o058_semantic_merge_gain", "o071_prompts", "o080_nmi", "o082_accuracy", "o093_correction_rules", "o098_paired_delta", "o112_majority_vote", "o030_components", "o030_component_count", "o030_fragmented", "o001_parquet_source", "o007_dense_vectors", "o008_cached_vectors", "o009_partition_files", "o010_run_rows", "o011_error_rows", "o012_move_log_rows", "o016_protocol_jobs", "o073_parsed_answers"])
 def test_oracle(spark, duck, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     assert len(got) and rows(got) == rows(duck.execute(catalog.oracle_sql()[name]).fetchdf())
