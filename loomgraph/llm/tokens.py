@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ DICT_DOCS, DICT_IDS, DICT_BYTES = 1_000, 8_192, 64 << 10
 #: Pieces an encoder remembers in each of two generations (some 170 bytes each, so 85 MB a worker at most); what the
 #: older one holds is taken over when it recurs.
 CACHE_PIECES = 250_000
+#: Characters of texts whose pieces are looked up, and learned, at once.
+GROUP_CHARS = 1 << 21
 
 BLOCKS = "part int, block int, first long, dict_hash string, doc_ids array<long>, offsets array<int>, n_tokens array<long>, payload binary"
 
@@ -67,6 +70,19 @@ def _plain(text: str) -> bool:
     return len(raw.translate(None, _ODD_BYTES)) == len(raw)
 
 
+def _groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` characters; a longer text is one by itself."""
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t) > most:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of pieces.
 
@@ -115,9 +131,8 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, with the end id."""
         out: list[bytes] = []
-        step = 256
-        for i in range(0, len(texts), step):
-            some = [_PIECE.findall(t) if _plain(t) else None for t in texts[i : i + step]]
+        for group in _groups(texts):
+            some = [_PIECE.findall(t) if _plain(t) else None for t in group]
             new = set().union(*[p for p in some if p]).difference(self.known)
             if len(self.known) + len(new) > self.most:
                 self.past, self.known = self.known, {}
@@ -129,7 +144,7 @@ class Encoder:
             if new:
                 self._learn(list(new))
             get = self.known.__getitem__
-            for t, p in zip(texts[i : i + step], some, strict=True):
+            for t, p in zip(group, some, strict=True):
                 out.append((self._whole(t) if p is None else b"".join(map(get, p))) + self.end)
         return out
 
@@ -197,8 +212,10 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "block", "first", "dict_hash", "doc_ids", "offsets", "n_tokens", "payload"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                some = b.slice(i, 256)
+            group = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // GROUP_CHARS
+            cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                some = b.slice(i, j - i)
                 for doc_id, raw in zip(some.column(0).to_pylist(), enc([t or "" for t in some.column(1).to_pylist()]), strict=True):
                     frame = z.compress(raw)
                     if frames and held + len(frame) > BLOCK_BYTES:
