@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.storage import cut, shared_dir
 
-__all__ = ["SPACE", "cut", "forget_others", "fresh", "read", "remember", "shared_dir", "text_or_empty", "width"]
+__all__ = ["SPACE", "cut", "forget_others", "fresh", "give_back", "giving_back", "read", "remember", "shared_dir", "text_or_empty", "width"]
 
 #: White space of the word contracts: a word is a run of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,6 +38,27 @@ def forget_others(owner: str) -> None:
             forget()
 
 
+def give_back() -> None:
+    """Return to the system what the allocators of this worker hold unused: workers wait for tasks beside others that run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run`` over batches (of mapInArrow), after which the worker gives back its memory."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever its case: helpers beside a caller's own columns."""
     taken = {c.lower() for c in df.columns}

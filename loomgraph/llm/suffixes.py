@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, read, width
+from loomgraph.llm.common import cut, giving_back, read, width
 
 THRESHOLD, SEED = 50, 16
 #: Runs of one class in a chunk from which on the rest of the task knows the class.
@@ -180,7 +180,7 @@ def scan(docs: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    return docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, ROW)
+    return docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(giving_back(run), ROW)
 
 
 def _reranked(rows: DataFrame, extra: list[tuple[str, pa.DataType]]) -> DataFrame:
@@ -254,7 +254,7 @@ def _reranked(rows: DataFrame, extra: list[tuple[str, pa.DataType]]) -> DataFram
 
     dealt = rows.repartition(width(rows.sparkSession), "rank").sortWithinPartitions("rank", "context", "doc")
     cols = "rank long, doc long, at long" + "".join(f", {n} {spark_types[t]}" for n, t in extra) + ", start long, end long"
-    return dealt.mapInArrow(rerank, cols)
+    return dealt.mapInArrow(giving_back(rerank), cols)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(x or b"") for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(pack, "doc_id long, packed binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(giving_back(pack), "doc_id long, packed binary")
 
 
 def _node(lo: int, hi: int) -> int:
@@ -331,7 +331,7 @@ def _refine(rows: DataFrame) -> DataFrame:
                 data = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own[mask].tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(context), pa.array(doc[r]), pa.array(moved), pa.array(part), data], ["rank", "context", "doc", "at", "node", "data"])
 
-    return _reranked(rows.select("rank", "doc", "at", "node", "data").mapInArrow(split, f"{ROW}, node int, data binary"), _EXTRA)
+    return _reranked(rows.select("rank", "doc", "at", "node", "data").mapInArrow(giving_back(split), f"{ROW}, node int, data binary"), _EXTRA)
 
 
 def _with_bytes(runs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def _with_bytes(runs: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in mine], pa.int64()), pa.array([doc] * len(mine), pa.int64()), pa.array([at for _, at in mine], pa.int64()), pa.array([_node(0, REACH)] * len(mine), pa.int32()), pa.array(data, pa.binary())], ["rank", "doc", "at", "node", "data"])
 
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("rank", "at")).alias("r"))
-    return _packed(docs).join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "packed", "r.rank", "r.at").mapInArrow(slices, "rank long, doc long, at long, node int, data binary")
+    return _packed(docs).join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "packed", "r.rank", "r.at").mapInArrow(giving_back(slices), "rank long, doc long, at long, node int, data binary")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -396,7 +396,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     spans = repeats(docs).distinct().groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("s"))
     joined = _packed(docs).join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "packed", "s.tag", "s.start", "s.end")
-    return joined.mapInArrow(strip, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+    return joined.mapInArrow(giving_back(strip), "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

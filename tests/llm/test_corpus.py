@@ -230,6 +230,26 @@ def test_suffixes(docs, rows):
     assert sum(v[1] for v in want.values()) > 5000 and suffixes.deduplicated(d.limit(0)).count() == 0
 
 
+def test_workers_give_back_memory():
+    from loomgraph.llm.common import giving_back
+
+    held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous:")) / 1024
+    pins = []
+
+    def run(batches):
+        for n in batches:
+            some = [bytes(65_536) for _ in range(n)]
+            for x in some:
+                memoryview(x)
+            pins.append(bytes(65_536))  # keeps the end of the heap from shrinking
+            yield len(some)
+
+    before = held()
+    kept = list(run([3000]))
+    grown = held() - before
+    assert kept == list(giving_back(run)([3000])) and held() - before < max(40, grown / 2)
+
+
 def test_anchor_runs_cover_every_window_once():
     r = np.random.default_rng(2)
     raws = [r.integers(97, 100, n).astype(np.uint8).tobytes() for n in (10, 50, 51, 300, 49, 1000)]
