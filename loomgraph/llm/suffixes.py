@@ -18,7 +18,8 @@ affordable over whole corpora:
   common prefix grows from SEED to THRESHOLD bytes, where rank and context coincide.
 
 Rows of one rank are processed as a stream in sort order with a state of one row or one document's rows. Texts are
-shuffled twice, compressed: to the runs that need refinement and to the removed intervals.
+shuffled up to three times, compressed: to the runs that need refinement, to those that still do after its first step
+(which moves hashes without bytes), and to the removed intervals. Shuffle files go as soon as a step is written.
 
 Defined results of the odd cases
 * null or empty text: 0 bytes, nothing removed. null doc_id: compared with nothing, nothing removed.
@@ -49,6 +50,8 @@ HOT = 8
 REACH = THRESHOLD - SEED
 #: Bytes of text that are scanned at once (a longer document is one chunk).
 CHUNK = 1 << 20
+#: Runs that are handed on at once with their bytes, at least (a batch for each document costs more than its runs).
+SLICES = 4096
 FANOUT = 3
 
 _U = np.uint64
@@ -315,11 +318,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
-_EXTRA = [("node", pa.int32()), ("data", pa.binary())]
+_NODE, _DATA = ("node", pa.int32()), ("data", pa.binary())
 
 
-def _refine(rows: DataFrame) -> DataFrame:
-    """Runs with their bytes (rank, doc, at, node, data) ranked by the parts of their nodes."""
+def _refine(rows: DataFrame, keep: bool = True) -> DataFrame:
+    """Runs with their bytes (rank, doc, at, node, data) ranked by the parts of their nodes; without ``keep`` the bytes are dropped."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -327,41 +330,60 @@ def _refine(rows: DataFrame) -> DataFrame:
                 continue
             rank, doc, at, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             for r, new, context, moved, part, own, mask in split_runs(rank, at, node, _matrix(b.column(4).cast(pa.binary()))):
-                ends = np.r_[0, np.cumsum(mask.sum(axis=1))].astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own[mask].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(context), pa.array(doc[r]), pa.array(moved), pa.array(part), data], ["rank", "context", "doc", "at", "node", "data"])
+                cols = [pa.array(new), pa.array(context), pa.array(doc[r]), pa.array(moved), pa.array(part)]
+                if keep:
+                    ends = np.r_[0, np.cumsum(mask.sum(axis=1))].astype(np.int32)
+                    cols.append(pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own[mask].tobytes())]))
+                yield pa.RecordBatch.from_arrays(cols, ["rank", "context", "doc", "at", "node", "data"][: len(cols)])
 
-    return _reranked(rows.select("rank", "doc", "at", "node", "data").mapInArrow(giving_back(split), f"{ROW}, node int, data binary"), _EXTRA)
+    parts = rows.select("rank", "doc", "at", "node", "data").mapInArrow(giving_back(split), f"{ROW}, node int" + ", data binary" * keep)
+    return _reranked(parts, [_NODE, _DATA] if keep else [_NODE])
 
 
 def _with_bytes(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The runs (rank, doc, at) with node and data."""
+    """The runs (rank, doc, at, node) with their bytes as data."""
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
+        held: tuple[list, ...] = ([], [], [], [], [])
+
+        def out() -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            done = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, types, strict=True)], ["rank", "doc", "at", "node", "data"])
+            for x in held:
+                x.clear()
+            return done
+
         for b in batches:
-            for doc, packed, ranks, ats in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for i in range(b.num_rows):
+                doc, packed, ranks, ats, nodes = (b.column(j)[i].as_py() for j in range(5))
                 raw = z.decompress(packed)
                 tag = _tag(raw)
-                mine = [(r, at) for r, at in zip(ranks, ats, strict=True) if at >> 43 == tag]
-                data = [raw[(s := at >> 12 & 0x7FFFFFFF) : s + (at >> 6 & 63) + THRESHOLD] for _, at in mine]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in mine], pa.int64()), pa.array([doc] * len(mine), pa.int64()), pa.array([at for _, at in mine], pa.int64()), pa.array([_node(0, REACH)] * len(mine), pa.int32()), pa.array(data, pa.binary())], ["rank", "doc", "at", "node", "data"])
+                mine = [(r, at, n, raw[(s := at >> 12 & 0x7FFFFFFF) : s + (at >> 6 & 63) + THRESHOLD]) for r, at, n in zip(ranks, ats, nodes, strict=True) if at >> 43 == tag]
+                for x, more in zip(held, ([r for r, _, _, _ in mine], [doc] * len(mine), [at for _, at, _, _ in mine], [n for _, _, n, _ in mine], [d for _, _, _, d in mine]), strict=True):
+                    x += more
+                if len(held[0]) >= SLICES:
+                    yield out()
+        if held[0]:
+            yield out()
 
-    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("rank", "at")).alias("r"))
-    return _packed(docs).join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "packed", "r.rank", "r.at").mapInArrow(giving_back(slices), "rank long, doc long, at long, node int, data binary")
+    lists = runs.groupBy("doc").agg(F.collect_set(F.struct("rank", "at", "node")).alias("r"))
+    return _packed(docs).join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "packed", "r.rank", "r.at", "r.node").mapInArrow(giving_back(slices), "rank long, doc long, at long, node int, data binary")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, tag, start and end of intervals that are to be removed (they may overlap); ``docs``: doc_id, text."""
-    found = cut(_reranked(scan(docs), []), "suffixes")
+    found = cut(_reranked(scan(docs), []), "suffixes", free=True)
     tag = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.shiftright("at", 43)).alias("tag")
     out = found.filter("start is not null").select("doc", tag, "start", "end")
-    left = _with_bytes(found.filter("start is null").select("rank", "doc", "at"), docs)
+    left = found.filter("start is null").select("rank", "doc", "at", F.lit(_node(0, REACH)).alias("node"))
     size = REACH + 1
     while size > 1:
-        found = cut(_refine(left), "suffixes")
+        keep = size <= REACH
+        # most runs leave with the first split, so their bytes aren't shuffled by it and those that stay fetch theirs again
+        found = cut(_refine(left if "data" in left.columns else _with_bytes(left, docs), keep), "suffixes", free=True)
         out = out.unionByName(found.filter("start is not null").select("doc", tag, "start", "end"))
-        left = found.filter("start is null").select("rank", "doc", "at", "node", "data")
+        left = found.filter("start is null").select("rank", "doc", "at", "node", *["data"] * keep)
         size = -(-size // FANOUT)
         if size > 1 and left.isEmpty():
             break

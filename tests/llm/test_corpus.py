@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -230,6 +231,28 @@ def test_suffixes(docs, rows):
     assert sum(v[1] for v in want.values()) > 5000 and suffixes.deduplicated(d.limit(0)).count() == 0
 
 
+def test_suffixes_free_their_shuffles_and_move_bytes_late(docs, monkeypatch):
+    sc = docs.sparkSession.sparkContext
+    shuffles = lambda: {x for x in sc._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString("\n").split("\n") if x.startswith("shuffle_")}
+    before, left, split = shuffles(), [], []
+    cut, reranked = suffixes.cut, suffixes._reranked
+
+    def watched(df, label, **more):
+        out = cut(df, label, **more)
+        for _ in range(50):  # files go in the background
+            if shuffles() - before:
+                time.sleep(0.1)
+        left.append(shuffles() - before)
+        return out
+
+    monkeypatch.setattr(suffixes, "cut", watched)
+    monkeypatch.setattr(suffixes, "_reranked", lambda rows, extra: split.append(rows.columns) or reranked(rows, extra))
+    suffixes.repeats(docs)
+    # the two steps that move most; in small ones Spark may replace a join whose files then go with the driver's garbage
+    assert len(left) > 2 and not any(left[:2])
+    assert "data" not in split[1] and "data" in split[2]
+
+
 def test_workers_give_back_memory():
     from loomgraph.llm.common import giving_back
 
