@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, forget_others, read, remember
+from loomgraph.llm.common import cut, forget_others, give_back, giving_back, read, remember
 from loomgraph.llm.neardup import _mix, placed_words
 from loomgraph.llm.tokens import vocabulary_path
 
@@ -58,6 +58,8 @@ END_TOKEN = "<|endoftext|>"
 CACHE_WORDS = 400_000
 #: Ids that are scored at once, unless one document has more.
 SCORED_IDS = 1 << 18
+#: Texts of a batch that are decoded at once.
+SLICE = 256
 
 
 class Words:
@@ -139,6 +141,13 @@ def blocks_of(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
         yield some
 
 
+def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE rows, so that few texts are decoded at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Hash, start, end and text number of every word of the texts, and the texts joined by blanks."""
     joined = b" ".join(texts)
@@ -179,7 +188,7 @@ def word_counts(docs: DataFrame) -> tuple[DataFrame, int, int]:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["hash", "c"])
 
-        for b in batches:
+        for b in slices_of(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for some in blocks_of([_lower(t) for d, t in zip(ids, texts, strict=True) if is_training(d)]):
                 held += [words_of(some)[0], np.full(len(some), _END_HASH)]
@@ -190,7 +199,7 @@ def word_counts(docs: DataFrame) -> tuple[DataFrame, int, int]:
         if held:
             yield flush()
 
-    counts = cut(docs.select("doc_id", "text").mapInArrow(count, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c")), "word-counts")
+    counts = cut(docs.select("doc_id", "text").mapInArrow(giving_back(count), "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c")), "word-counts", free=True)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
     return counts, total.n, total.v
 
@@ -222,7 +231,7 @@ def base_scores(docs: DataFrame, row: str = "row") -> tuple[DataFrame, int]:
     log_head = np.log10(c_head + SMOOTH)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices_of(batches):
             rows, done = b.column(0).to_numpy(zero_copy_only=False), 0
             for texts in blocks_of([_lower(t) for t in b.column(1).to_pylist()]):
                 r, n = rows[done : done + len(texts)].astype(np.int64), len(texts)
@@ -243,7 +252,7 @@ def base_scores(docs: DataFrame, row: str = "row") -> tuple[DataFrame, int]:
                 cols = [np.r_[r, r[pair // len(distinct)]], np.r_[own, distinct[pair % len(distinct)].view(np.int64)], np.r_[np.zeros(n, np.int64), tf], np.r_[np.bincount(doc, logs[of], n), zeros.astype(float)], np.r_[np.bincount(doc, minlength=n), zeros], np.r_[np.bincount(doc, hit[of], n).astype(np.int64), zeros]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["row", "hash", "tf", "sum", "n_tokens", "known"])
 
-    flat = docs.select(row, "text").mapInArrow(look, "row long, hash long, tf long, sum double, n_tokens long, known long")
+    flat = docs.select(row, "text").mapInArrow(giving_back(look), "row long, hash long, tf long, sum double, n_tokens long, known long")
     rare = counts.filter(F.col("c") < least).withColumnRenamed("hash", "__hash")
     met = flat.join(rare, F.col("hash") == F.col("__hash"), "left")
     c = F.coalesce("c", F.lit(0))
@@ -354,11 +363,11 @@ def encoded(docs: DataFrame, path: str, row: str = "row") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, z = _encoder(path), zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices_of(batches):
             ids = enc([_lower(t) for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([is_training(d) for d in b.column(1).to_pylist()]), pa.array([z.compress(x) for x in ids], pa.binary())], ["row", "train", "ids"])
 
-    return docs.select(row, "doc_id", "text").mapInArrow(run, "row long, train boolean, ids binary")
+    return docs.select(row, "doc_id", "text").mapInArrow(giving_back(run), "row long, train boolean, ids binary")
 
 
 def pair_counts(ids: DataFrame, n_ids: int, dtype: np.dtype) -> DataFrame:
@@ -392,7 +401,7 @@ def pair_counts(ids: DataFrame, n_ids: int, dtype: np.dtype) -> DataFrame:
             fold()
         yield out()
 
-    return ids.filter("train").select("ids").mapInArrow(count, "prev long, id long, c long").groupBy("prev", "id").agg(F.sum("c").alias("c"))
+    return ids.filter("train").select("ids").mapInArrow(giving_back(count), "prev long, id long, c long").groupBy("prev", "id").agg(F.sum("c").alias("c"))
 
 
 class Table:
@@ -510,9 +519,11 @@ def train(ids: DataFrame, p: dict[str, np.ndarray], table: Table, dtype: np.dtyp
 
     def local(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("lm")
+        give_back()
         z = zstandard.ZstdDecompressor()
         rows = sorted((t, x) for b in batches for x, t in zip(b.column("ids").to_pylist(), b.column("tie").to_pylist(), strict=True))
         docs = [np.frombuffer(z.decompress(x), dtype) for _, x in rows]
+        del rows
         mine, _ = train_locally(_unpack(raw, p), docs, shared.value, rate)
         n = sum(map(len, docs))
         yield pa.RecordBatch.from_arrays([pa.array([(np.frombuffer(_pack(mine), "<f4").astype(np.float64) * n).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([key[0].as_py()], pa.int64())], ["sum", "n", "grp"])
@@ -522,7 +533,7 @@ def train(ids: DataFrame, p: dict[str, np.ndarray], table: Table, dtype: np.dtyp
     for r in grouped.filter("grp = 0").groupBy("grp").applyInArrow(local, "sum binary, n long, grp long").collect():
         p = _unpack((np.frombuffer(bytes(r["sum"])) / max(1, r.n)).astype("<f4").tobytes(), p)
     raw, rate = _pack(p), RATE * LATER_RATE
-    each = cut(grouped.filter("grp > 0").groupBy("grp").applyInArrow(local, "sum binary, n long, grp long"), "weights")
+    each = cut(grouped.filter("grp > 0").groupBy("grp").applyInArrow(local, "sum binary, n long, grp long"), "weights", free=True)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(n_weights), 0
@@ -576,12 +587,13 @@ def model_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     ids = cut(encoded(docs, path), "ids")
     starts = np.array([int((words.tokenizer.id_to_token(i) or "").startswith("Ġ")) for i in range(words.n_ids)])
     dtype = words.dtype
-    table = table_of(cut(pair_counts(ids, words.n_ids, dtype), "pairs"), starts)
+    table = table_of(cut(pair_counts(ids, words.n_ids, dtype), "pairs", free=True), starts)
     p = train(ids, initial(), table, dtype)
     packed, shared = _pack(p), docs.sparkSession.sparkContext.broadcast(table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("lm")
+        give_back()
         z, q = zstandard.ZstdDecompressor(), _unpack(packed, p)
         rows: list[int] = []
         held: list[np.ndarray] = []
@@ -601,7 +613,7 @@ def model_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
         if held:
             yield out()
 
-    return ids.select("row", "ids").mapInArrow(score, "row long, score double")
+    return ids.select("row", "ids").mapInArrow(giving_back(score), "row long, score double")
 
 
 def scores(docs: DataFrame) -> DataFrame:
