@@ -3,8 +3,9 @@
 The model reads subword ids (lower-cased words, each encoded with a blank before it, and an end id). The probability of
 an id is that of its class times that within its class. The class is predicted by one causal attention layer with a
 residual, whose logits add to the logarithms of how often the class stands behind the id before; within its class an
-id has the discounted share of its pair with the id before, or its own frequency (``Table``). All counts are over all
-training documents, and the weights are trained on all windows of every training document: each id is a target once.
+id has the discounted share of its pair with the id before and a part of its own frequency (``Table``). All counts are over
+all training documents, of all pairs however rare: those of frequent pairs are broadcast, those of all others are joined.
+The weights are trained on all windows of every training document: each id is a target once.
 
 Training deals documents into groups by the hash of their ids. The first group trains alone, all others take steps from
 its weights, each in the order of that hash, and the weights are averaged. Scores therefore don't depend on the partitioning of the input.
@@ -50,7 +51,8 @@ BATCH, RATE = 128, 0.02
 LATER_RATE = 0.3
 #: Documents' ids that one group of the training trains on, about; groups start from common weights and are averaged.
 GROUP_BYTES = 8 << 20
-#: Slots of the table of frequent pairs of ids (a power of two), and what is taken off each pair's count for the rest.
+#: Slots of the table of frequent pairs of ids (a power of two, half of them used; other pairs are joined), and what is
+#: taken off each pair's count for the class's other ids.
 PAIR_SLOTS, DISCOUNT = 1 << 20, 0.75
 #: Weight of the class frequencies in the class distribution behind an id.
 PRIOR = 4.0
@@ -60,6 +62,8 @@ CACHE_WORDS = 400_000
 SCORED_IDS = 1 << 18
 #: Texts of a batch that are decoded at once.
 SLICE = 256
+#: Parts of one in which logarithms of joined pairs are summed: whole numbers add up alike in any order.
+PARTS = 1 << 30
 
 
 class Words:
@@ -408,11 +412,12 @@ class Table:
     """What corpus counts give: the class behind an id, and the id within its class behind an id.
 
     ``prior`` are logarithms of the class probabilities behind each id. Within a class an id has the discounted share of
-    its pair, if that is one of the frequent ones that are held, and a part of what is left by its own frequency.
+    its pair and, by its own frequency, a part of what all pairs of the class leave. The shares of the pairs that are held
+    are looked up, each in the first free slot from its own on; ``rare_pairs`` has what the others add.
     """
 
     def __init__(self, counts: np.ndarray, starts: np.ndarray, by_class, pairs):
-        """``by_class``: columns prev, cls, c of all pairs; ``pairs``: prev, id, c of the most frequent ones, ascending."""
+        """``by_class``: columns prev, cls, c and n (number) of all pairs; ``pairs``: prev, id, c of those that are held (all, without n)."""
         self.n_ids = n = len(counts)
         self.cls, self.log_own = classes_of(counts, starts)
         mass = np.bincount(self.cls, counts + SMOOTH, CLASSES)
@@ -421,38 +426,84 @@ class Table:
         self.prior = np.log(np.maximum(total + PRIOR * mass / mass.sum(), 1e-9) / (total.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32)
         key = np.asarray(pairs["prev"], np.int64) * n + np.asarray(pairs["id"], np.int64)
         self.key, self.share = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, np.float32)
-        slot = self._slot(key)
-        self.key[slot] = key  # of pairs with one slot the last, most frequent one stays
-        stays = self.key[slot] == key
-        prev, cls = key[stays] // n, self.cls[key[stays] % n]
-        share = (np.asarray(pairs["c"], float)[stays] - DISCOUNT) / total[prev, cls]
-        self.share[slot[stays]] = share
+        prev, cls = key // n, self.cls[key % n]
+        share = (np.asarray(pairs["c"], float) - DISCOUNT) / total[prev, cls]
+        slot, open_ = self._slot(key), np.arange(len(key))
+        while len(open_):
+            at = slot[open_]
+            free = self.key[at] == -1
+            self.key[at[free]] = key[open_[free]]
+            self.share[at[free]] = share[open_[free]]
+            lost = self.key[at] != key[open_]  # to another pair
+            self.share[at[~lost]] = share[open_[~lost]]
+            open_ = open_[lost]
+            slot[open_] = (slot[open_] + 1) % PAIR_SLOTS
         left = np.ones((n + 1, CLASSES))
-        np.subtract.at(left, (prev, cls), share)
+        if "n" in by_class:
+            left[by_class["prev"], by_class["cls"]] = DISCOUNT * np.asarray(by_class["n"], float) / np.asarray(by_class["c"], float)
+        else:
+            np.subtract.at(left, (prev, cls), share)
         self.left = np.maximum(left, 1e-9).astype(np.float32)
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
         return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_SLOTS.bit_length() + 1)).astype(np.int64)
 
-    def log_inside(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Log probability of each id within its class behind the id before it (n_ids: none)."""
-        key = before * self.n_ids + ids
+    def shares(self, key: np.ndarray) -> np.ndarray:
+        """Shares of the pairs ``key``, 0 of those that aren't held."""
         slot = self._slot(key)
-        return np.log(np.where(self.key[slot] == key, self.share[slot], 0) + self.left[before, self.cls[ids]] * np.exp(self.log_own[ids]))
+        found = self.key[slot]
+        out = np.where(found == key, self.share[slot], np.float32(0))
+        open_ = np.flatnonzero((found != key) & (found != -1))
+        while len(open_):
+            slot[open_] = at = (slot[open_] + 1) % PAIR_SLOTS
+            found, wanted = self.key[at], key[open_]
+            out[open_[found == wanted]] = self.share[at[found == wanted]]
+            open_ = open_[(found != wanted) & (found != -1)]
+        return out
+
+    def log_inside(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Log probability of each id within its class behind the id before it (n_ids: none); of a pair that isn't held without its share."""
+        return np.log(self.shares(before * self.n_ids + ids) + self.left[before, self.cls[ids]] * np.exp(self.log_own[ids]))
 
 
-def table_of(pairs: DataFrame, starts: np.ndarray) -> Table:
-    """The table of all ``pairs`` (materialised). What is collected is bounded by ids, ids x CLASSES and PAIR_SLOTS."""
+def rare_pairs(pairs: DataFrame, table: Table, by_class) -> DataFrame:
+    """(key, more): what the shares of ``pairs`` that aren't held add to ``log_inside``, in PARTS."""
+    total = np.zeros((table.n_ids + 1, CLASSES), np.float32)
+    total[by_class["prev"], by_class["cls"]] = by_class["c"]
+    known = pairs.sparkSession.sparkContext.broadcast((table.n_ids, table.cls, table.log_own, table.left, total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, cls_of, log_own, left, total = known.value
+        for b in batches:
+            prev, ids, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cls = cls_of[ids]
+            more = np.log1p((c - DISCOUNT) / total[prev, cls] / (left[prev, cls] * np.exp(log_own[ids])))
+            yield pa.RecordBatch.from_arrays([pa.array(prev * n + ids), pa.array(np.rint(more * PARTS).astype(np.int64))], ["__key", "more"])
+
+    return pairs.select("prev", "id", "c").mapInArrow(giving_back(run), "__key long, more long")
+
+
+def table_of(pairs: DataFrame, starts: np.ndarray, most: int = PAIR_SLOTS // 2) -> tuple[Table, DataFrame | None]:
+    """The table of all ``pairs`` (materialised), and the ``rare_pairs`` if there are more than ``most``.
+
+    What is collected is bounded by ids, ids x CLASSES and PAIR_SLOTS.
+    """
     spark, n = pairs.sparkSession, len(starts)
     got = pairs.groupBy("id").agg(F.sum("c").alias("c")).toPandas()
     counts = np.zeros(n, np.int64)
     counts[got["id"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
     cls, _ = classes_of(counts, starts)
     named = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cls)], "id long, cls int")
-    by_class = pairs.join(F.broadcast(named), "id").groupBy("prev", "cls").agg(F.sum("c").alias("c")).toPandas()
-    top = pairs.filter("c > 1").orderBy(F.desc("c"), "prev", "id").limit(PAIR_SLOTS // 2).toPandas()
-    return Table(counts, starts, by_class, top.iloc[::-1])
+    by_class = pairs.join(F.broadcast(named), "id").groupBy("prev", "cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
+    levels = pairs.groupBy(F.floor(F.log2("c") * 8).alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    least, held, rest = 1 << 62, 0, sum(r.n for r in levels)
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        if held + r.n > most:
+            break
+        held, rest, least = held + r.n, rest - r.n, r.c
+    table = Table(counts, starts, by_class, pairs.filter(F.col("c") >= least).toPandas())
+    return table, rare_pairs(pairs.filter(F.col("c") < least), table, by_class) if rest else None
 
 
 def _pack(p: dict[str, np.ndarray]) -> bytes:
@@ -580,6 +631,16 @@ def log_probabilities(ids: list[np.ndarray], p: dict[str, np.ndarray], table: Ta
     return out
 
 
+def unheld(ids: list[np.ndarray], table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the id array, key and count of the pairs in it that ``table`` doesn't hold."""
+    key = np.concatenate([np.r_[table.n_ids, x[:-1].astype(np.int64)] * table.n_ids + x for x in ids])
+    doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    at = np.flatnonzero(table.shares(key) == 0)
+    distinct, of = np.unique(key[at], return_inverse=True)
+    pair, tf = np.unique(doc[at] * max(1, len(distinct)) + of, return_counts=True)
+    return pair // max(1, len(distinct)), distinct[pair % max(1, len(distinct))], tf
+
+
 def model_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     """row and the model's log10 probability of every row of ``docs`` (row, doc_id, text)."""
     path = path or vocabulary_path()
@@ -587,9 +648,9 @@ def model_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     ids = cut(encoded(docs, path), "ids")
     starts = np.array([int((words.tokenizer.id_to_token(i) or "").startswith("Ġ")) for i in range(words.n_ids)])
     dtype = words.dtype
-    table = table_of(cut(pair_counts(ids, words.n_ids, dtype), "pairs", free=True), starts)
+    table, rare = table_of(cut(pair_counts(ids, words.n_ids, dtype), "pairs", free=True), starts)
     p = train(ids, initial(), table, dtype)
-    packed, shared = _pack(p), docs.sparkSession.sparkContext.broadcast(table)
+    packed, shared, all_held = _pack(p), docs.sparkSession.sparkContext.broadcast(table), rare is None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("lm")
@@ -600,7 +661,13 @@ def model_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
         n = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(log_probabilities(held, q, shared.value) / math.log(10))], ["row", "score"])
+            r, lp = np.array(rows, np.int64), log_probabilities(held, q, shared.value) / math.log(10)
+            # the row itself, under a key of its own, and its pairs that the table lacks
+            cols = [r, -1 - r, np.zeros(len(r), np.int64), lp]
+            if not all_held:
+                doc, key, tf = unheld(held, shared.value)
+                cols = [np.r_[x, y] for x, y in zip(cols, (r[doc], key, tf, np.zeros(len(key))), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["row", "key", "tf", "score"])
 
         for b in batches:
             for r, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -613,7 +680,11 @@ def model_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
         if held:
             yield out()
 
-    return ids.select("row", "ids").mapInArrow(giving_back(score), "row long, score double")
+    scored = ids.select("row", "ids").mapInArrow(giving_back(score), "row long, key long, tf long, score double")
+    if all_held:
+        return scored.select("row", "score")
+    more = F.sum(F.col("tf") * F.coalesce("more", F.lit(0))) / (PARTS * math.log(10))
+    return scored.join(rare, F.col("key") == F.col("__key"), "left").groupBy("row").agg((F.sum("score") + more).alias("score"))
 
 
 def scores(docs: DataFrame) -> DataFrame:

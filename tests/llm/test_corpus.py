@@ -332,6 +332,30 @@ def test_lm_table_is_a_distribution():
         assert abs((inside * classes[t.cls]).sum() - 1) < 1e-4
 
 
+def test_lm_holds_every_pair_it_is_given():
+    r, n = np.random.default_rng(6), 2000
+    keys = np.unique(r.integers(0, n * n, 200_000))
+    c = r.integers(1, 9, len(keys))
+    cls, _ = lm.classes_of(np.bincount(keys % n, c, n).astype(np.int64), np.arange(n) % 2)
+    total = np.zeros((n + 1, lm.CLASSES))
+    np.add.at(total, (keys // n, cls[keys % n]), c)
+    prev, k = np.nonzero(total)
+    t = lm.Table(np.bincount(keys % n, c, n).astype(np.int64), np.arange(n) % 2, {"prev": prev, "cls": k, "c": total[prev, k]}, {"prev": keys // n, "id": keys % n, "c": c})
+    assert np.allclose(t.shares(keys), (c - lm.DISCOUNT) / total[keys // n, cls[keys % n]], rtol=1e-5)
+    assert not t.shares(np.setdiff1d(np.arange(n * n), keys)).any()
+
+
+def test_lm_rare_pairs_are_joined(docs, monkeypatch):
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).cache()
+    full = {r.row: r.score for r in lm.model_scores(numbered).collect()}
+    tables, table_of = [], lm.table_of
+    for most in (50, 0):
+        monkeypatch.setattr(lm, "table_of", lambda pairs, starts, most=most: tables.append(table_of(pairs, starts, most)) or tables[-1])
+        few = {r.row: r.score for r in lm.model_scores(numbered).collect()}
+        assert few.keys() == full.keys() and all(abs(full[k] - few[k]) < 1e-4 * abs(full[k]) for k in full)
+    assert [(t.key >= 0).sum() <= most and rare.count() > 1000 for (t, rare), most in zip(tables, (50, 0), strict=True)] == [True, True]
+
+
 def test_lm_counts_all_pairs(docs):
     path = tokens.vocabulary_path()
     ids = lm.encoded(docs.withColumn("row", F.monotonically_increasing_id()), path).cache()
