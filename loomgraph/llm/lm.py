@@ -293,8 +293,10 @@ _ONES = np.ones(CLASSES, np.float32)
 _TRIANGLE = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """What attention adds to the logits (windows, WINDOW, CLASSES) of embedded inputs ``x``, and what gradients need.
+def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Queries, keys and values, attention, its sums, outputs and last states (windows, WINDOW, DIM) of embedded inputs ``x``.
+
+    The last states times ``logit`` are what attention adds to the logits.
 
     Attention is normalised by a column of ones beside the values.
     """
@@ -310,7 +312,7 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]
     total = o[..., DIM:] + np.float32(1e-30)
     o = o[..., :DIM] / total
     h = x + o @ p["out"]
-    return h @ p["logit"], (qkv, a, total, o, h)
+    return qkv, a, total, o, h
 
 
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -326,12 +328,12 @@ def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 def gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, prior: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross-entropy over the valid places, and its gradients."""
     x = p["class"][cin] + p["bucket"][bin_] + p["place"]
-    logits, (qkv, a, total, o, h) = forward(p, x)
+    qkv, a, total, o, h = forward(p, x)
     q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
     flat = lambda t: t.reshape(-1, t.shape[-1])
     n = max(1, int(valid.sum()))
     share = valid.ravel().astype(x.dtype) / x.dtype.type(n)
-    d = flat(logits + prior)
+    d = flat(h @ p["logit"] + prior)
     np.minimum(d, np.float32(60), out=d)
     np.exp(d, out=d)
     sums = d @ _ONES
@@ -344,12 +346,14 @@ def gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, prior
     g["out"] = flat(o).T @ flat(dh)
     do = dh @ p["out"].T
     a /= total
-    dv = a.transpose(0, 2, 1) @ do
+    dqkv = np.empty_like(qkv)
+    np.matmul(a.transpose(0, 2, 1), do, out=dqkv[..., 2 * DIM :])
     ds = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
     ds -= np.einsum("bwd,bwd->bw", do, o)[..., None]
     ds *= a
     ds *= np.float32(1 / math.sqrt(DIM))
-    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], axis=2)
+    np.matmul(ds, k, out=dqkv[..., :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., DIM : 2 * DIM])
     g["qkv"] = flat(x).T @ flat(dqkv)
     dx = dh + dqkv @ p["qkv"].T
     g["place"] = dx.sum(0)
@@ -621,7 +625,7 @@ def log_probabilities(ids: list[np.ndarray], p: dict[str, np.ndarray], table: Ta
         scored = (at < sizes[d][:, None]) & ((place >= CONTEXT) | (f == 0)[:, None])
         at = np.minimum(at + start[d][:, None], len(flat) - 1)
         seen = before[at]
-        logits = forward(p, embedded[seen] + p["place"])[0]
+        logits = forward(p, embedded[seen] + p["place"])[-1] @ p["logit"]
         logits += table.prior[seen]
         np.minimum(logits, np.float32(60), out=logits)
         target = np.take_along_axis(logits, wanted[at][..., None], 2)[..., 0]
