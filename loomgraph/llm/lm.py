@@ -57,7 +57,8 @@ PAIR_SLOTS, DISCOUNT = 1 << 20, 0.75
 #: Weight of the class frequencies in the class distribution behind an id.
 PRIOR = 4.0
 END_TOKEN = "<|endoftext|>"
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers: some 14 bytes each and two slots of 12 bytes or more.
+CACHE_WORDS = 1_000_000
 #: Ids that are scored at once, unless one document has more.
 SCORED_IDS = 1 << 18
 #: Texts of a batch that are decoded at once.
@@ -67,7 +68,11 @@ PARTS = 1 << 30
 
 
 class Words:
-    """Serialized ids of lower-cased words; CACHE_WORDS of them are remembered before it starts afresh."""
+    """Ids of lower-cased words by the words' hashes; CACHE_WORDS of them (more if one block has more) are remembered before it starts afresh.
+
+    Word ``i`` has ``size[i]`` ids in ``flat`` from ``at[i]`` on. Its number stands in the first slot from its hash's own
+    on that was free; word 0 is the end id, which has no slot.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,29 +85,62 @@ class Words:
         self.end_id = self.tokenizer.token_to_id(END_TOKEN)
         if self.end_id is None:
             self.end_id = self.n_ids - 1
-        self.end = np.array([self.end_id], self.dtype).tobytes()
         self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[int, bytes] = {}
+        self.forget()
+
+    def forget(self, slots: int = 1 << 12) -> None:
+        self.at, self.size, self.flat = np.zeros(1, np.int32), np.ones(1, np.int32), np.array([self.end_id], self.dtype)
+        self.key, self.word = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(65 - len(self.key).bit_length())).astype(np.int64)
 
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(" " + word, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _look(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the words with the hashes ``h``, -1 of those that aren't known."""
+        slot = self._slot(h)
+        out = self.word[slot]
+        open_ = np.flatnonzero((self.key[slot] != h) & (out != -1))
+        while len(open_):
+            slot[open_] = at = (slot[open_] + 1) % len(self.key)
+            out[open_] = self.word[at]
+            open_ = open_[(self.key[at] != h[open_]) & (out[open_] != -1)]
+        return out
 
-    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+    def _enter(self, h: np.ndarray, word: np.ndarray) -> None:
+        """Give the hashes ``h``, which have none, slots for the numbers ``word``."""
+        slot, open_ = self._slot(h), np.arange(len(h))
+        while len(open_):
+            at = slot[open_]
+            free = self.word[at] == -1
+            self.word[at[free]], self.key[at[free]] = word[open_[free]], h[open_[free]]
+            open_ = open_[self.word[at] != word[open_]]  # the others' slots are taken
+            slot[open_] = (slot[open_] + 1) % len(self.key)
+
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        if 2 * (len(self.at) + len(h)) > len(self.key):
+            held, number = self.key[self.word != -1], self.word[self.word != -1]
+            slots = 1 << (4 * (len(self.at) + len(h))).bit_length() - 1
+            self.key, self.word = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+            self._enter(held, number)
         texts = [w.decode("utf-8", "replace") for w in words]
         plain = [i for i, t in enumerate(texts) if t.split() == [t]] if len(self.break_id) == 1 else []
-        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
-        size = self.dtype.itemsize
-        for group, e in zip(groups, self.tokenizer.encode_batch(["\n".join(" " + texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.break_id[0])
-            if len(cuts) == len(group) - 1:
-                raw, a = ids.tobytes(), 0
-                for i, b in zip(group, [*cuts.tolist(), len(ids)], strict=True):
-                    self.known[keys[i]] = raw[a * size : b * size]
-                    a = b + 1
-        for k, t in zip(keys, texts, strict=True):
-            if k not in self.known:
-                self.known[k] = self._one(t)
+        order, sizes, flat, done = [], [], [self.flat], np.zeros(len(texts), bool)
+        for first in range(0, len(plain), 6400):
+            groups = [plain[i : i + 100] for i in range(first, min(first + 6400, len(plain)), 100)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join([" " + texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                cuts = np.flatnonzero(ids == self.break_id[0])
+                if len(cuts) == len(group) - 1:
+                    order.append(group), sizes.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+                    flat.append(np.delete(ids, cuts))
+                    done[group] = True
+        for i in np.flatnonzero(~done).tolist():
+            flat.append(np.array(self.tokenizer.encode(" " + texts[i], add_special_tokens=False).ids, self.dtype))
+            order.append([i]), sizes.append([len(flat[-1])])
+        known, size = len(self.at), np.concatenate(sizes).astype(np.int32)
+        self.at = np.r_[self.at, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)]
+        self.size, self.flat = np.r_[self.size, size], np.concatenate(flat)
+        self._enter(h[np.concatenate(order).astype(np.int64)], np.arange(known, known + len(h), dtype=np.int32))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of lower-cased texts with the end id."""
@@ -110,23 +148,21 @@ class Words:
 
     def _block(self, texts: list[bytes]) -> list[bytes]:
         h, start, end, doc, joined = words_of(texts)
-        distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
-            missing = list(range(len(keys)))
-        if missing:
-            self._learn([keys[i] for i in missing], [joined[start[first[i]] : end[first[i]]] for i in missing])
-        # the distinct words' ids one after the other, with the end id as one more word
-        values = [self.known[k] for k in keys] + [self.end]
-        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        flat, at = np.frombuffer(b"".join(values), self.dtype), np.cumsum(size) - size
-        sequence = np.full(len(h) + len(texts), len(keys), np.int64)
+        of = self._look(h)
+        new, first = np.unique(h[of == -1], return_index=True)
+        if len(new):
+            at = np.flatnonzero(of == -1)[first]
+            if len(self.at) + len(new) > CACHE_WORDS:
+                self.forget()
+                new, at = np.unique(h, return_index=True)
+            self._learn(new, [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            of = self._look(h)
+        # all words one after the other, with the end id behind each text's
+        sequence = np.zeros(len(h) + len(texts), np.int64)
         sequence[np.arange(len(h)) + doc] = of
-        lengths = size[sequence]
+        lengths = self.size[sequence].astype(np.int64)
         before = np.cumsum(lengths) - lengths
-        ids = flat[np.repeat(at[sequence] - before, lengths) + np.arange(int(lengths.sum()))].tobytes()
+        ids = self.flat[np.repeat(self.at[sequence] - before, lengths) + np.arange(int(lengths.sum()))].tobytes()
         last = np.cumsum(np.bincount(doc, minlength=len(texts)) + 1) - 1
         cuts = np.r_[0, (before + lengths)[last]] * self.dtype.itemsize
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
@@ -166,7 +202,7 @@ _words: dict[str, Words] = {}
 def _encoder(path: str) -> Words:
     if path not in _words:
         _words[path] = Words(path)
-        remember("lm words", _words[path].known.clear)
+        remember("lm words", _words[path].forget)
     return _words[path]
 
 
@@ -289,75 +325,116 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     return {"class": w(CLASSES + 1, DIM), "bucket": w(BUCKETS, DIM), "place": w(WINDOW, DIM), "qkv": w(DIM, 3 * DIM), "out": w(DIM, DIM), "logit": w(DIM, CLASSES) * np.float32(0.1)}
 
 
-_ONES = np.ones(CLASSES, np.float32)
 _TRIANGLE = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Queries, keys and values, attention, its sums, outputs and last states (windows, WINDOW, DIM) of embedded inputs ``x``.
+class Room:
+    """Arrays by name that are used again: fresh ones of this size get new pages from the system each time."""
 
-    The last states times ``logit`` are what attention adds to the logits.
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
 
-    Attention is normalised by a column of ones beside the values.
+    def __call__(self, name: str, *shape: int, dtype=np.float32) -> np.ndarray:
+        size = math.prod(shape)
+        got = self.held.get(name)
+        if got is None or got.size < size or got.dtype != dtype:
+            got = self.held[name] = np.empty(size, dtype)
+        return got[:size].reshape(shape)
+
+
+def _flat(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
+
+
+def forward(p: dict[str, np.ndarray], x: np.ndarray, first: int, room: Room) -> tuple[np.ndarray, ...]:
+    """Attention of the places from ``first`` on over all places up to them, in embedded inputs ``x`` (windows, places, DIM).
+
+    Inputs of those places, scaled queries, keys beside values, normalised attention, outputs and last states. The last
+    states times ``logit`` are what attention adds to the logits. All are held in ``room``.
     """
-    qkv = x @ p["qkv"]
-    values = np.ones((*x.shape[:2], DIM + 1), x.dtype)
-    values[..., :DIM] = qkv[..., 2 * DIM :]
-    a = qkv[..., :DIM] @ np.ascontiguousarray(qkv[..., DIM : 2 * DIM].transpose(0, 2, 1))
-    a *= np.float32(1 / math.sqrt(DIM))
-    np.minimum(a, np.float32(30), out=a)
+    n, size, _ = x.shape
+    some, of = size - first, x.dtype
+    mine, q, o, h = (room(k, n, some, DIM, dtype=of) for k in ("mine", "q", "o", "h"))
+    kv, a = room("kv", n, size, 2 * DIM, dtype=of), room("a", n, some, size, dtype=of)
+    mine[...] = x[:, first:]
+    np.matmul(_flat(mine), p["qkv"][:, :DIM] * of.type(1 / math.sqrt(DIM)), out=_flat(q))
+    np.matmul(_flat(x), p["qkv"][:, DIM:], out=_flat(kv))
+    np.matmul(q, kv[..., :DIM].transpose(0, 2, 1), out=a)
+    np.minimum(a, of.type(30), out=a)
     np.exp(a, out=a)
-    a *= _TRIANGLE
-    o = a @ values
-    total = o[..., DIM:] + np.float32(1e-30)
-    o = o[..., :DIM] / total
-    h = x + o @ p["out"]
-    return qkv, a, total, o, h
+    a *= _TRIANGLE[first:size, :size]
+    a *= (1 / (a @ np.ones(size, of) + of.type(1e-30)))[..., None]
+    np.matmul(a, kv[..., DIM:], out=o)
+    np.matmul(_flat(o), p["out"], out=_flat(h))
+    h += mine
+    return mine, q, kv, a, o, h
 
 
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``rows`` by their index ``at`` below ``n``."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    sorted_at = at[order]
-    first = np.flatnonzero(np.diff(sorted_at, prepend=-1))
-    out[sorted_at[first]] = np.add.reduceat(rows[order], first)
-    return out
-
-
-def gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, prior: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy over the valid places, and its gradients."""
-    x = p["class"][cin] + p["bucket"][bin_] + p["place"]
-    qkv, a, total, o, h = forward(p, x)
-    q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    n = max(1, int(valid.sum()))
-    share = valid.ravel().astype(x.dtype) / x.dtype.type(n)
-    d = flat(h @ p["logit"] + prior)
-    np.minimum(d, np.float32(60), out=d)
+    width = rows.shape[1]
+    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width).astype(rows.dtype)
+
+
+def _backward(p: dict[str, np.ndarray], x: np.ndarray, first: int, prior: np.ndarray, target: np.ndarray, share: np.ndarray, g: dict[str, np.ndarray], dx: np.ndarray, room: Room) -> float:
+    """Cross-entropy of the places of ``x`` from ``first`` on, each with its share; gradients are added to ``g`` and written to ``dx``."""
+    of = x.dtype
+    mine, q, kv, a, o, h = forward(p, x, first, room)
+    d = room("d", *prior.shape, dtype=of)
+    np.matmul(_flat(h), p["logit"], out=_flat(d))
+    d += prior
+    np.minimum(d, of.type(60), out=d)
     np.exp(d, out=d)
-    sums = d @ _ONES
+    d, share = _flat(d), share.ravel()
+    sums = d @ np.ones(CLASSES, of)
     rows, wanted = np.arange(len(d)), target.ravel()
     loss = float(-(np.log(np.maximum(d[rows, wanted] / sums, 1e-30)) * share).sum())
     d *= (share / sums)[:, None]
     d[rows, wanted] -= share
-    g = {"logit": flat(h).T @ d}
-    dh = (d @ p["logit"].T).reshape(x.shape)
-    g["out"] = flat(o).T @ flat(dh)
-    do = dh @ p["out"].T
-    a /= total
-    dqkv = np.empty_like(qkv)
-    np.matmul(a.transpose(0, 2, 1), do, out=dqkv[..., 2 * DIM :])
-    ds = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
-    ds -= np.einsum("bwd,bwd->bw", do, o)[..., None]
+    g["logit"] += _flat(h).T @ d
+    dh, do, dq = (room(k, *mine.shape, dtype=of) for k in ("dh", "do", "dq"))
+    dkv, ds = room("dkv", *kv.shape, dtype=of), room("ds", *a.shape, dtype=of)
+    np.matmul(d, p["logit"].T, out=_flat(dh))
+    g["out"] += _flat(o).T @ _flat(dh)
+    np.matmul(_flat(dh), p["out"].T, out=_flat(do))
+    np.matmul(a.transpose(0, 2, 1), do, out=dkv[..., DIM:])
+    np.matmul(do, kv[..., DIM:].transpose(0, 2, 1), out=ds)
+    ds -= (np.multiply(do, o, out=dq) @ np.ones(DIM, of))[..., None]
     ds *= a
-    ds *= np.float32(1 / math.sqrt(DIM))
-    np.matmul(ds, k, out=dqkv[..., :DIM])
-    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., DIM : 2 * DIM])
-    g["qkv"] = flat(x).T @ flat(dqkv)
-    dx = dh + dqkv @ p["qkv"].T
+    np.matmul(ds, kv[..., :DIM], out=dq)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :DIM])
+    dq *= of.type(1 / math.sqrt(DIM))
+    g["qkv"][:, :DIM] += _flat(mine).T @ _flat(dq)
+    g["qkv"][:, DIM:] += _flat(x).T @ _flat(dkv)
+    np.matmul(_flat(dkv), p["qkv"][:, DIM:].T, out=_flat(dx))
+    np.matmul(_flat(dq), p["qkv"][:, :DIM].T, out=_flat(do))
+    dh += do
+    dx[:, first:] += dh
+    return loss
+
+
+def gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, prior: np.ndarray, target: np.ndarray, valid: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over the valid places, and its gradients.
+
+    Places of the context are keys and values only, but in windows that score them (the first ones of documents), where
+    they attend to each other.
+    """
+    room, of = room or Room(), p["class"].dtype
+    share = valid / of.type(max(1, int(valid.sum())))
+    g = {k: np.zeros_like(p[k]) for k in ("qkv", "out", "logit")}
+    x, dx = (room(k, *cin.shape, DIM, dtype=of) for k in ("x", "dx"))
+    np.take(p["class"], cin, axis=0, out=x, mode="clip")
+    np.take(p["bucket"], bin_, axis=0, out=dx, mode="clip")
+    x += dx
+    x += p["place"]
+    loss = _backward(p, x, CONTEXT, prior[:, CONTEXT:], target[:, CONTEXT:], share[:, CONTEXT:], g, dx, room)
+    heads = np.flatnonzero(valid[:, :CONTEXT].any(axis=1))
+    if len(heads):
+        own = np.empty((len(heads), CONTEXT, DIM), of)
+        loss += _backward(p, x[heads, :CONTEXT], 0, prior[heads, :CONTEXT], target[heads, :CONTEXT], share[heads, :CONTEXT], g, own, room)
+        dx[heads, :CONTEXT] += own
     g["place"] = dx.sum(0)
-    g["class"], g["bucket"] = _summed(cin.ravel(), flat(dx), len(p["class"])), _summed(bin_.ravel(), flat(dx), len(p["bucket"]))
+    g["class"], g["bucket"] = _summed(cin.ravel(), _flat(dx), len(p["class"])), _summed(bin_.ravel(), _flat(dx), len(p["bucket"]))
     return loss, g
 
 
@@ -466,9 +543,10 @@ class Table:
             open_ = open_[(found != wanted) & (found != -1)]
         return out
 
-    def log_inside(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def log_inside(self, before: np.ndarray, ids: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
         """Log probability of each id within its class behind the id before it (n_ids: none); of a pair that isn't held without its share."""
-        return np.log(self.shares(before * self.n_ids + ids) + self.left[before, self.cls[ids]] * np.exp(self.log_own[ids]))
+        shares = self.shares(before * self.n_ids + ids) if shares is None else shares
+        return np.log(shares + self.left[before, self.cls[ids]] * np.exp(self.log_own)[ids])
 
 
 def rare_pairs(pairs: DataFrame, table: Table, by_class) -> DataFrame:
@@ -514,48 +592,68 @@ def _pack(p: dict[str, np.ndarray]) -> bytes:
     return b"".join(p[k].astype("<f4").tobytes() for k in sorted(p))
 
 
-def _unpack(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at, flat = {}, 0, np.frombuffer(raw, "<f4")
+def _parts(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).copy()
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
 
+def _unpack(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: v.copy() for k, v in _parts(np.frombuffer(raw, "<f4"), like).items()}
+
+
+def _placed(docs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The ids of all documents one after the other; of each window its place there, and its document's number, start and end."""
+    sizes = np.array([len(x) for x in docs])
+    ends = np.cumsum(sizes)
+    n = np.maximum(1, -(-(sizes - CONTEXT) // STRIDE))
+    doc = np.repeat(np.arange(len(docs)), n)
+    start = (ends - sizes)[doc]
+    return np.concatenate(docs), start + (np.arange(len(doc)) - (np.cumsum(n) - n)[doc]) * STRIDE, doc, start, ends[doc]
+
+
 def _batches(docs: list[np.ndarray], n_ids: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All windows of the documents, BATCH at a time: the ids before each place (n_ids: none), the ids there, and
     whether the window scores them."""
-    held, n = [], 0
-    for ids in docs:
-        for first in np.array_split(w := _windows(len(ids)), -(-len(w) // BATCH)):
-            at = first[:, None] + np.arange(WINDOW)
-            scored = (at < len(ids)) & ((np.arange(WINDOW) >= CONTEXT) | (first == 0)[:, None])
-            at = np.minimum(at, len(ids) - 1)
-            held.append((np.where(at > 0, ids[at - 1], n_ids).astype(np.int64), ids[at].astype(np.int64), scored))
-            n += len(first)
-            if n >= BATCH:
-                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                yield tuple(x[:BATCH] for x in whole)
-                held, n = [tuple(x[BATCH:] for x in whole)], n - BATCH
-    if n:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    if not docs:
+        return
+    flat, first, _, start, end = _placed(docs)
+    for i in range(0, len(first), BATCH):
+        of = slice(i, i + BATCH)
+        f, s, e = first[of, None], start[of, None], end[of, None]
+        at = f + np.arange(WINDOW)
+        scored = (at < e) & ((np.arange(WINDOW) >= CONTEXT) | (f == s))
+        np.minimum(at, e - 1, out=at)
+        yield np.where(at > s, flat[at - 1].astype(np.int64), n_ids), flat[at].astype(np.int64), scored
 
 
 def train_locally(p: dict[str, np.ndarray], docs: list[np.ndarray], table: Table, rate: float = RATE) -> tuple[dict[str, np.ndarray], float]:
     """Adam steps over all windows of ``docs`` (id arrays) from the weights ``p``; every id is a target once."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    loss, steps = 0.0, -(-sum(len(_windows(len(d))) for d in docs) // BATCH)
+    # all weights in one array, of which those by name are parts
+    w = np.concatenate([p[k].ravel() for k in sorted(p)])
+    p = _parts(w, p)
+    m, s, change, root = (np.zeros_like(w) for _ in range(4))
+    loss, steps, room = 0.0, -(-sum(len(_windows(len(d))) for d in docs) // BATCH), Room()
+    cls, bucket = np.r_[table.cls, CLASSES], np.r_[np.arange(table.n_ids) % BUCKETS, 0]
     for t, (before, now, valid) in enumerate(_batches(docs, table.n_ids), 1):
-        known = before < table.n_ids
-        cin = np.where(known, table.cls[np.minimum(before, table.n_ids - 1)], CLASSES)
-        loss, g = gradients(p, cin, np.where(known, before % BUCKETS, 0), table.prior[before], table.cls[now], valid)
+        prior = room("prior", *before.shape, CLASSES, dtype=table.prior.dtype)
+        np.take(table.prior, before, axis=0, out=prior, mode="clip")
+        loss, g = gradients(p, cls[before], bucket[before], prior, table.cls[now], valid, room)
         pace = rate * max(0.1, 1 - t / (steps + 1))
-        for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] ** 2 - s[k])
-            p[k] -= (pace * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    return p, loss
+        new = np.concatenate([g[k].ravel() for k in sorted(g)])
+        m += 0.1 * (new - m)
+        np.multiply(new, new, out=root)
+        root -= s
+        root *= 0.01
+        s += root
+        np.sqrt(np.divide(s, 1 - 0.99**t, out=root), out=root)
+        root += 1e-8
+        np.multiply(m, pace / (1 - 0.9**t), out=change)
+        change /= root
+        w -= change
+    return {k: v.copy() for k, v in p.items()}, loss
 
 
 def train(ids: DataFrame, p: dict[str, np.ndarray], table: Table, dtype: np.dtype) -> dict[str, np.ndarray]:
@@ -603,44 +701,68 @@ def train(ids: DataFrame, p: dict[str, np.ndarray], table: Table, dtype: np.dtyp
     return _unpack((sum(np.frombuffer(bytes(x["sum"])) for x in sums) / n).astype("<f4").tobytes(), p) if n else p
 
 
-def log_probabilities(ids: list[np.ndarray], p: dict[str, np.ndarray], table: Table, block: int = 256) -> np.ndarray:
-    """Natural log probability of each id array; every id is scored once, behind CONTEXT ids or more where there are."""
-    n_ids = table.n_ids
-    embedded = np.vstack([p["class"][table.cls] + p["bucket"][np.arange(n_ids) % BUCKETS], p["class"][CLASSES] + p["bucket"][0]]).astype(np.float32)
-    sizes = np.array([len(x) for x in ids])
+def embedded(p: dict[str, np.ndarray], table: Table) -> np.ndarray:
+    """Every id, and none, as attention reads it, but for its place."""
+    return np.vstack([p["class"][table.cls] + p["bucket"][np.arange(table.n_ids) % BUCKETS], p["class"][CLASSES] + p["bucket"][0]]).astype(np.float32)
+
+
+def pairs_of(ids: list[np.ndarray], table: Table) -> tuple[np.ndarray, ...]:
+    """The ids of all arrays one after the other, the id before each (n_ids: none), its array's number, and the pair's share."""
+    size = np.array([len(x) for x in ids])
     flat = np.concatenate(ids).astype(np.int64)
-    start = np.cumsum(sizes) - sizes
     before = np.empty_like(flat)
     before[1:] = flat[:-1]
-    before[start] = n_ids
-    wanted = table.cls[flat]
-    n_windows = np.maximum(1, -(-(sizes - CONTEXT) // STRIDE))
-    doc = np.repeat(np.arange(len(ids)), n_windows)
-    first = (np.arange(len(doc)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * STRIDE
-    out = np.bincount(np.repeat(np.arange(len(ids)), sizes), table.log_inside(before, flat), len(ids))
-    place = np.arange(WINDOW)
-    for i in range(0, len(doc), block):
-        d, f = doc[i : i + block], first[i : i + block]
-        at = f[:, None] + place
-        scored = (at < sizes[d][:, None]) & ((place >= CONTEXT) | (f == 0)[:, None])
-        at = np.minimum(at + start[d][:, None], len(flat) - 1)
-        seen = before[at]
-        logits = forward(p, embedded[seen] + p["place"])[-1] @ p["logit"]
-        logits += table.prior[seen]
-        np.minimum(logits, np.float32(60), out=logits)
-        target = np.take_along_axis(logits, wanted[at][..., None], 2)[..., 0]
-        np.exp(logits, out=logits)
-        lp = (target - np.log(logits @ _ONES)) * scored
-        out += np.bincount(d, lp.sum(axis=1, dtype=np.float64), len(ids))
-    return out
+    before[np.cumsum(size) - size] = table.n_ids
+    return flat, before, np.repeat(np.arange(len(ids)), size), table.shares(before * table.n_ids + flat)
 
 
-def unheld(ids: list[np.ndarray], table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the id array, key and count of the pairs in it that ``table`` doesn't hold."""
-    key = np.concatenate([np.r_[table.n_ids, x[:-1].astype(np.int64)] * table.n_ids + x for x in ids])
-    doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    at = np.flatnonzero(table.shares(key) == 0)
-    distinct, of = np.unique(key[at], return_inverse=True)
+def log_probabilities(ids: list[np.ndarray], p: dict[str, np.ndarray], table: Table, pairs: tuple | None = None, vectors: np.ndarray | None = None, room: Room | None = None) -> np.ndarray:
+    """Natural log probability of each id array; every id is scored once, behind CONTEXT ids or more where there are.
+
+    ``pairs_of`` the arrays and the ``embedded`` ids are computed where they aren't given.
+    """
+    flat, before, of_id, shares = pairs or pairs_of(ids, table)
+    vectors, room = embedded(p, table) if vectors is None else vectors, room or Room()
+    _, first, doc, start, end = _placed(ids)
+    wanted, place = table.cls[flat], np.arange(WINDOW)
+    inside = np.bincount(of_id, table.log_inside(before, flat, shares), len(ids))
+
+    def classes(x: np.ndarray, seen: np.ndarray, target: np.ndarray, scored: np.ndarray, some: int) -> np.ndarray:
+        """Log probability of the classes at the places of ``x`` from ``some`` on, summed by window."""
+        h, logits, prior = forward(p, x, some, room)[-1], *(room(k, *target.shape, CLASSES) for k in ("logits", "prior"))
+        np.matmul(_flat(h), p["logit"], out=_flat(logits))
+        np.take(table.prior, seen[:, some:], axis=0, out=prior, mode="clip")
+        logits += prior
+        np.minimum(logits, np.float32(60), out=logits)
+        logits = _flat(logits)
+        lp = logits[np.arange(len(logits)), target.ravel()]
+        np.exp(logits, out=logits)
+        lp -= np.log(logits @ np.ones(CLASSES, np.float32))
+        return (lp.reshape(scored.shape) * scored).sum(axis=1, dtype=np.float64)
+
+    out = np.zeros(len(first))
+    for i in range(0, len(first), BATCH):
+        of = slice(i, i + BATCH)
+        at = first[of, None] + place
+        scored = at[:, CONTEXT:] < end[of, None]
+        np.minimum(at, end[of, None] - 1, out=at)
+        seen, target = before[at], wanted[at]
+        x = room("x", *at.shape, DIM)
+        np.take(vectors, seen, axis=0, out=x, mode="clip")
+        x += p["place"]
+        out[of] = classes(x, seen, target[:, CONTEXT:], scored, CONTEXT)
+        # the first windows of documents score their context too
+        heads = np.flatnonzero(first[of] == start[of])
+        if len(heads):
+            out[i + heads] += classes(x[heads, :CONTEXT], seen[heads, :CONTEXT], target[heads, :CONTEXT], first[of][heads, None] + place[:CONTEXT] < end[of][heads, None], 0)
+    return inside + np.bincount(doc, out, len(ids))
+
+
+def unheld(pairs: tuple, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the id array, key and count of the pairs in it that ``table`` doesn't hold, of ``pairs_of`` the arrays."""
+    flat, before, doc, shares = pairs
+    at = np.flatnonzero(shares == 0)
+    distinct, of = np.unique(before[at] * table.n_ids + flat[at], return_inverse=True)
     pair, tf = np.unique(doc[at] * max(1, len(distinct)) + of, return_counts=True)
     return pair // max(1, len(distinct)), distinct[pair % max(1, len(distinct))], tf
 
@@ -659,17 +781,19 @@ def model_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("lm")
         give_back()
-        z, q = zstandard.ZstdDecompressor(), _unpack(packed, p)
+        z, q, room = zstandard.ZstdDecompressor(), _unpack(packed, p), Room()
+        vectors = embedded(q, shared.value)
         rows: list[int] = []
         held: list[np.ndarray] = []
         n = 0
 
         def out() -> pa.RecordBatch:
-            r, lp = np.array(rows, np.int64), log_probabilities(held, q, shared.value) / math.log(10)
+            r, pairs = np.array(rows, np.int64), pairs_of(held, shared.value)
+            lp = log_probabilities(held, q, shared.value, pairs, vectors, room) / math.log(10)
             # the row itself, under a key of its own, and its pairs that the table lacks
             cols = [r, -1 - r, np.zeros(len(r), np.int64), lp]
             if not all_held:
-                doc, key, tf = unheld(held, shared.value)
+                doc, key, tf = unheld(pairs, shared.value)
                 cols = [np.r_[x, y] for x, y in zip(cols, (r[doc], key, tf, np.zeros(len(key))), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["row", "key", "tf", "score"])
 

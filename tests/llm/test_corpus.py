@@ -417,6 +417,50 @@ def test_lm_scores_each_id_once_and_causally():
         assert (seen == 1).all() and abs(lm.log_probabilities([ids[:n]], p, t)[0] - want) < 1e-3
 
 
+def test_lm_steps_reuse_their_arrays():
+    import tracemalloc
+
+    r, t, p, room = np.random.default_rng(1), table(), lm.initial(), lm.Room()
+    (before, now, valid), *_ = lm._batches([r.integers(0, 500, 5000)], 500)
+    step = lambda: lm.gradients(p, np.r_[t.cls, lm.CLASSES][before], before % lm.BUCKETS, t.prior[before], t.cls[now], valid, room)
+    first = step()
+    tracemalloc.start()
+    again = step()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first[0] == again[0] and all((first[1][k] == again[1][k]).all() for k in p)
+    # one array of attention has 0.4 MB, and a step goes through some fifteen of this size
+    assert len(now) == lm.BATCH and peak < 3 << 20
+
+
+def test_lm_context_has_no_queries():
+    r, p = np.random.default_rng(4), lm.initial()
+    x = r.normal(size=(5, lm.WINDOW, lm.DIM)).astype(np.float32)
+    some, whole = lm.forward(p, x, lm.CONTEXT, lm.Room()), lm.forward(p, x, 0, lm.Room())
+    assert some[3].shape[1] == lm.STRIDE and np.allclose(some[-1], whole[-1][:, lm.CONTEXT :], atol=1e-5)
+
+
+def test_lm_words_are_encoded_once(monkeypatch):
+    import tracemalloc
+
+    w, r = lm.Words(tokens.vocabulary_path()), np.random.default_rng(7)
+    words = [bytes(x) for x in r.integers(97, 123, (20_000, 6)).astype(np.uint8)] + ["\u00a0a".encode(), b"\x1cx\x1c", b"\xff\xfe", "\u4e2d\u2003b".encode(), b"<|endoftext|>", b"it's"]
+    texts = [b"", b" \n", b"\t".join(words[-6:]), *(b" ".join(words[i : i + 500]) for i in range(0, len(words), 500)), b" ".join(words[::7])]
+    want = [np.array([i for x in t.split() for i in w.tokenizer.encode(" " + x.decode("utf-8", "replace"), add_special_tokens=False).ids] + [w.end_id], w.dtype).tobytes() for t in texts]
+    lm.words_of([b" ".join(words * 2)])  # its own tables
+    tracemalloc.start()
+    got = w(texts)
+    kept = tracemalloc.get_traced_memory()[0] - sum(map(len, got))
+    tracemalloc.stop()
+    assert all(a == b for a, b in zip(got, want, strict=True)) and kept < 90 * len(words), kept
+    with monkeypatch.context() as m:
+        m.setattr(w, "_learn", None)  # nothing is left to learn
+        assert all(a == b for a, b in zip(w(texts), want, strict=True))
+    monkeypatch.setattr(lm, "CACHE_WORDS", 700)
+    w.forget()
+    assert all(w([t]) == [x] for t, x in zip(texts, want, strict=True)) and all(a == b for a, b in zip(w(texts), want, strict=True))
+
+
 def test_lm_training_beats_the_counts():
     r = np.random.default_rng(5)
 
