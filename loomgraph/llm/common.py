@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.storage import cut, shared_dir
 
-__all__ = ["SPACE", "cut", "forget_others", "fresh", "give_back", "giving_back", "read", "remember", "shared_dir", "text_or_empty", "width"]
+__all__ = ["SPACE", "cut", "forget_others", "fresh", "give_back", "giving_back", "read", "remember", "shared_dir", "slices_of", "text_or_empty", "width"]
 
 #: White space of the word contracts: a word is a run of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Texts of a batch that are decoded at once.
+SLICE = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +61,13 @@ def giving_back(run: Callable) -> Callable:
     return inner
 
 
+def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE rows, so that few texts are decoded at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever its case: helpers beside a caller's own columns."""
     taken = {c.lower() for c in df.columns}

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, forget_others, give_back, giving_back, read, remember
+from loomgraph.llm.common import cut, forget_others, give_back, giving_back, read, remember, slices_of
 from loomgraph.llm.neardup import _mix, placed_words
 from loomgraph.llm.tokens import vocabulary_path
 
@@ -61,8 +61,6 @@ END_TOKEN = "<|endoftext|>"
 CACHE_WORDS = 1_000_000
 #: Ids that are scored at once, unless one document has more.
 SCORED_IDS = 1 << 18
-#: Texts of a batch that are decoded at once.
-SLICE = 256
 #: Parts of one in which logarithms of joined pairs are summed: whole numbers add up alike in any order.
 PARTS = 1 << 30
 
@@ -181,13 +179,6 @@ def blocks_of(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
         yield some
 
 
-def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of SLICE rows, so that few texts are decoded at once."""
-    for b in batches:
-        for i in range(0, b.num_rows, SLICE):
-            yield b.slice(i, SLICE)
-
-
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Hash, start, end and text number of every word of the texts, and the texts joined by blanks."""
     joined = b" ".join(texts)

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, forget_others, fresh, read, width
+from loomgraph.llm.common import cut, forget_others, fresh, giving_back, read, slices_of, width
 from loomgraph.operators.components import components
 
 TREES, DEPTH = 24, 8
@@ -161,7 +161,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("neardup")
-        for b in batches:
+        for b in slices_of(batches):
             n, prints, sketches, first, other = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_hashes(text, k)
@@ -176,7 +176,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 sketches.append(sketch), first.append(sig[:cut_at]), other.append(sig[cut_at:])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), *[pa.array(c, pa.binary()) for c in (prints, sketches, first, other)]], ["doc_id", "tie", "n", "print", "sketch", "first", "other"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(sign, "doc_id long, tie long, n long, print binary, sketch binary, first binary, other binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(giving_back(sign), "doc_id long, tie long, n long, print binary, sketch binary, first binary, other binary")
 
 
 _ROW = "label binary, sketch binary, id long, n long, comp long"
@@ -196,7 +196,7 @@ def _orders(classes: DataFrame, first: int, last: int) -> DataFrame:
                 labels = np.concatenate([np.full((b.num_rows, 1), t, np.uint8), sig[:, t - first]], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in labels], pa.binary()), b.column(4), b.column(0), b.column(1), b.column(2)], ["label", "sketch", "id", "n", "comp"])
 
-    return classes.select("id", "n", "comp", "sig", "sketch").mapInArrow(explode, _ROW)
+    return classes.select("id", "n", "comp", "sig", "sketch").mapInArrow(giving_back(explode), _ROW)
 
 
 def _neighbours(rows: dict[str, np.ndarray], reach: int, mark: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +283,7 @@ def candidates(classes: DataFrame, first: int = 0, last: int = TREES, reach: int
     ``sig`` has the values of the trees from ``first`` to before ``last``.
     """
     ordered = _orders(classes, first, last).repartitionByRange(width(classes.sparkSession), "label", "id").sortWithinPartitions("label", "id")
-    found = cut(ordered.mapInArrow(lambda batches: _pairs(batches, reach, mark), _OUT), "forest")
+    found = cut(ordered.mapInArrow(giving_back(lambda batches: _pairs(batches, reach, mark)), _OUT), "forest")
     rims = found.filter("part is not null").select("label", "sketch", "id", "n", "comp").distinct()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +303,7 @@ def candidates(classes: DataFrame, first: int = 0, last: int = TREES, reach: int
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in slices_of(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
 
@@ -312,7 +312,7 @@ def _packed(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     if n <= BROADCAST_PAIRS:
         docs = docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    return docs.mapInArrow(_pack, "doc_id long, packed binary")
+    return docs.mapInArrow(giving_back(_pack), "doc_id long, packed binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -351,7 +351,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
 
     held = ends.join(_packed(docs, ends, pairs.count()), "doc_id").select("a", "b", "doc_id", "packed")
-    return held.repartition(width(docs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(compare, "src long, dst long")
+    return held.repartition(width(docs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(giving_back(compare), "src long, dst long")
 
 
 def _rare_first(h: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -412,7 +412,7 @@ def crowded_pairs(crowd: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 cols = [pa.array(np.concatenate(tokens).view(np.int64)), *(b.column(c).take(own) for c in range(3)), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (n, left))]
                 yield pa.RecordBatch.from_arrays(cols, ["token", "id", "comp", "sketch", "n", "left"])
 
-    rows = cut(texts.select("id", "comp", "sketch", "text").mapInArrow(prefixes, "token long, id long, comp long, sketch binary, n long, left long"), "prefixes")
+    rows = cut(texts.select("id", "comp", "sketch", "text").mapInArrow(giving_back(prefixes), "token long, id long, comp long, sketch binary, n long, left long"), "prefixes")
     shared = rows.groupBy("token").agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").drop("low", "high")
     placed = rows.join(shared, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "comp", "sketch", "n", "left")
@@ -439,7 +439,7 @@ def crowded_pairs(crowd: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             yield pairs(rest)
 
     key = ["token", "x", "y"]
-    return placed.repartition(width(spark), *key).sortWithinPartitions(*key).mapInArrow(meet, "a long, b long").distinct()
+    return placed.repartition(width(spark), *key).sortWithinPartitions(*key).mapInArrow(giving_back(meet), "a long, b long").distinct()
 
 
 def _changes(b: pa.RecordBatch) -> np.ndarray:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import forget_others, read, remember, shared_dir, width
+from loomgraph.llm.common import forget_others, give_back, giving_back, read, remember, shared_dir, slices_of, width
 
 END_ID = 2
 BLOCK_BYTES = 4 << 20
@@ -43,7 +43,7 @@ DICT_DOCS, DICT_IDS, DICT_BYTES = 1_000, 8_192, 64 << 10
 #: older one holds is taken over when it recurs.
 CACHE_PIECES = 250_000
 #: Characters of texts whose pieces are looked up, and learned, at once.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 19
 
 BLOCKS = "part int, block int, first long, dict_hash string, doc_ids array<long>, offsets array<int>, n_tokens array<long>, payload binary"
 
@@ -96,13 +96,16 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the same model over lines: pieces that are known to be pieces needn't be cut again
-        self.lines = Tokenizer.from_file(path)
+        # the same model (held once) over lines: pieces that are known to be pieces needn't be cut again
+        self.lines = Tokenizer(self.tokenizer.model)
+        if self.tokenizer.normalizer is not None:
+            self.lines.normalizer = self.tokenizer.normalizer
         self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.forget()
+        give_back()  # what reading the vocabulary took
 
     def forget(self) -> None:
         """Frees the remembered pieces."""
@@ -170,12 +173,12 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x[: DICT_IDS * enc.dtype.itemsize] for x in enc([t or "" for t in b.column(0).to_pylist()])], pa.binary())], ["ids"])
 
     share = max(1, n // DICT_DOCS)
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(share)) == 0).select(F.substring("text", 1, 6 * DICT_IDS).alias("text")).limit(2 * DICT_DOCS)
-    samples = sorted(bytes(r.ids) for r in chosen.mapInArrow(sample, "ids binary").collect())
+    samples = sorted(bytes(r.ids) for r in chosen.mapInArrow(giving_back(sample), "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:  # too little to train on
@@ -220,6 +223,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
                     frame = z.compress(raw)
                     if frames and held + len(frame) > BLOCK_BYTES:
                         yield flush()
+                        give_back()
                         block, first, held = block + 1, first + sum(counts), 0
                         ids, frames, counts = [], [], []
                     ids.append(doc_id)
@@ -231,7 +235,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
 
     order = ["doc_id", "__tie"]
     dealt = docs.withColumn("__tie", F.xxhash64("text")).repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
-    dealt.select("doc_id", "text").mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
+    dealt.select("doc_id", "text").mapInArrow(giving_back(encode), BLOCKS).write.parquet(f"{path}/blocks")
     return path
 
 
@@ -270,7 +274,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, vocabula
                     cols, names = [*cols, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return blocks.select("part", "first", "dict_hash", "doc_ids", "offsets", "n_tokens", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return blocks.select("part", "first", "dict_hash", "doc_ids", "offsets", "n_tokens", "payload").mapInArrow(giving_back(decode), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int, vocabulary_ids: int = 50_257) -> list[int]:

@@ -4,8 +4,11 @@ import collections
 import hashlib
 import math
 import random
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -474,3 +477,24 @@ def test_lm_training_beats_the_counts():
     test = [text(300) for _ in range(20)]
     q, _ = lm.train_locally(p, [text(300) for _ in range(600)], t)
     assert lm.log_probabilities(test, q, t).sum() > 0.97 * lm.log_probabilities(test, p, t).sum()
+
+
+def test_encoder_holds_its_model_once(rows):
+    """A second model over lines, and what reading it took, were 36 MB of every worker."""
+    code = """
+from loomgraph.llm import tokens
+from tokenizers import Tokenizer
+from loomgraph.llm.common import give_back
+held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous:")) / 1024
+path, before = tokens.vocabulary_path(), held()
+one = Tokenizer.from_file(path)
+give_back()
+first = held() - before
+enc = tokens.Encoder(path)
+print(first, held() - before - first)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert float(out[1]) < 1.5 * float(out[0])
+    enc = tokens.Encoder(tokens.vocabulary_path())
+    texts = [t or "" for _, t in rows]
+    assert enc(texts) == [enc._whole(t) + enc.end for t in texts]
