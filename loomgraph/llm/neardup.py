@@ -10,12 +10,12 @@
 4. Regions are refined to the depth they need: one whose rows share CROWD_PREFIX values, is larger than the places
    compared and holds several components is crowded. All classes of its components are joined exactly by a prefix
    filter: of two sets with the similarity, the rarest shingles of each (a fifth) share one. Which shingles are rare is
-   estimated from some documents; any order gives the same links.
+   told by counters that several of them share; any order gives the same links.
 5. Candidates that cannot be similar are dropped by set sizes and places (exact) and by a 128-bit sketch far below the
    threshold; the rest are confirmed on full sets, of 64-bit hashes of all shingles.
 6. Links become components by star contraction.
 
-What is collected is a table of at most ORDERED_SHINGLES counts. A pair at the similarity shares no prefix of depth
+What is collected are COUNTERS counts. A pair at the similarity shares no prefix of depth
 CROWD_PREFIX in any tree of the second pass with a probability of 6e-7, pairs above it with less; every other pair is
 compared, joined by others or in a crowd that is joined exactly.
 
@@ -56,8 +56,9 @@ SKETCH_AGREE = 96
 SIMILARITY = 80
 #: Classes of one block of confirmed pairs (about).
 BLOCK = 512
-#: Classes whose shingles are counted to order the shingles of crowded classes, and counts that are broadcast, at most (about).
-ORDERING_CLASSES, ORDERED_SHINGLES = 20_000, 200_000
+#: Counters (a power of two) that the shingles of all crowded classes share by hash, to be ordered; and parts that they
+#: travel in.
+COUNTERS, COUNTER_PARTS = 1 << 20, 64
 #: Rows of one shingle that meet in one block.
 POSTINGS = 4096
 #: Shingles that a task remembers before it builds a document's set anew.
@@ -354,12 +355,43 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return held.repartition(width(docs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(giving_back(compare), "src long, dst long")
 
 
-def _rare_first(h: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles ``h`` from rare to frequent by the counts of ``known`` ones (sorted), then by hash."""
-    if not len(known):
-        return h
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return h[np.lexsort((h, np.where(known[at] == h, counts[at], 0)))]
+def _counter(h: np.ndarray) -> np.ndarray:
+    """Numbers of the counters of the shingles ``h``."""
+    return (h >> _U(65 - COUNTERS.bit_length())).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The counters of all shingles of a task's texts, packed in COUNTER_PARTS rows however many these are."""
+    total = None
+    for b in slices_of(batches):
+        total = np.zeros(COUNTERS, np.int64) if total is None else total
+        total += np.bincount(_counter(np.concatenate([shingle_hashes(t, k) for t in b.column(0).to_pylist()])), minlength=COUNTERS)
+    if total is not None:
+        z = zstandard.ZstdCompressor(level=1)
+        parts = [z.compress(x.tobytes()) for x in total.reshape(COUNTER_PARTS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+
+def shingle_counters(texts: DataFrame, k: int) -> np.ndarray:
+    """How many of the ``texts`` (one column) have each counter's shingles."""
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, total = zstandard.ZstdDecompressor(), np.zeros(COUNTERS // COUNTER_PARTS, np.int64)
+        for b in batches:
+            for x in b.column("counts"):
+                total += np.frombuffer(z.decompress(x.as_buffer()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    counted = texts.mapInArrow(giving_back(lambda batches: _counted(batches, k)), "part int, counts binary")
+    total = np.zeros((COUNTER_PARTS, COUNTERS // COUNTER_PARTS), np.int64)
+    for r in counted.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        total[r.part] = np.frombuffer(bytes(r["counts"]), np.int64)
+    return total.ravel()
+
+
+def _rare_first(h: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """The shingles ``h`` from rare to frequent by their counters, then by hash."""
+    return h[np.lexsort((h, counters[_counter(h)]))]
 
 
 def _met_postings(run: np.ndarray, own: np.ndarray, inside: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -387,25 +419,14 @@ def crowded_pairs(crowd: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = cut(crowd.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), "crowd")
-    step = max(1, math.ceil(texts.count() / ORDERING_CLASSES))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, c = np.unique(np.concatenate([np.zeros(0, _U), *(shingle_hashes(t, k) for t in b.column(0).to_pylist())]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["hash", "c"])
-
-    some = texts.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("text").mapInArrow(count, "hash long, c long")
-    got = some.groupBy("hash").agg(F.sum("c").alias("c")).filter("c > 1").orderBy(F.desc("c"), "hash").limit(ORDERED_SHINGLES).toPandas()
-    known, counts = got["hash"].to_numpy(np.int64).view(_U), got["c"].to_numpy(np.int64)
-    order = np.argsort(known)
-    held = spark.sparkContext.broadcast((known[order], counts[order]))
+    held = spark.sparkContext.broadcast(shingle_counters(texts.select("text"), k))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 tokens, at, n, left = [], [], [], []
                 for i, t in enumerate(b.column(3).to_pylist()):
-                    h = _rare_first(shingle_hashes(t, k), *held.value)
+                    h = _rare_first(shingle_hashes(t, k), held.value)
                     size = len(h) - -(-SIMILARITY * len(h) // 100) + 1 if len(h) else 0
                     tokens.append(h[:size]), at.append(np.full(size, i)), n.append(np.full(size, len(h))), left.append(len(h) - np.arange(size))
                 own = pa.array(np.concatenate(at))

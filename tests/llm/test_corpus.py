@@ -11,6 +11,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,22 @@ def test_links_inside_a_crowd_of_form_letters(spark):
     assert sum(want[d] != d for d in want) >= 40 and {x.doc_id: x.component_id for x in got.collect()} == want
 
 
+def test_crowd_counts_all_texts_in_few_rows(spark):
+    """All shingles of all texts are counted, whatever the partitions, and a task sends the same few rows for many texts."""
+    r = random.Random(3)
+    texts = [(" ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(0, 60))),) for _ in range(700)] + [(None,)]
+    sets = [neardup.shingle_hashes(t, 2) for (t,) in texts]
+    want = np.bincount(np.concatenate(sets) >> np.uint64(44), minlength=1 << 20)
+    for width in (1, 7):
+        assert (neardup.shingle_counters(spark.createDataFrame(texts, "text string").repartition(width), 2) == want).all()
+    assert (neardup.shingle_counters(spark.createDataFrame([], "text string"), 2) == 0).all()
+    for times in (1, 3):
+        batches = [pa.record_batch([pa.array([t for (t,) in texts])], ["text"])] * times
+        assert sum(b.num_rows for b in neardup._counted(iter(batches), 2)) == neardup.COUNTER_PARTS
+    h = max(sets, key=len)
+    assert sorted(neardup._rare_first(h, want)) == sorted(h) and (np.diff(want[neardup._rare_first(h, want) >> np.uint64(44)]) >= 0).all()
+
+
 def brute_removed(rows, k=50):
     first = {}
     for d, raw in sorted((d, t.encode()) for d, t in rows if d is not None and t):
