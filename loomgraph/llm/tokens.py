@@ -39,18 +39,33 @@ END_ID = 2
 BLOCK_BYTES = 4 << 20
 #: Documents and ids of each that the dictionary is trained on, at most; it shapes sizes only, never results.
 DICT_DOCS, DICT_IDS, DICT_BYTES = 1_000, 8_192, 64 << 10
-#: Pieces an encoder remembers in each of two generations (some 170 bytes each, so 85 MB a worker at most); what the
-#: older one holds is taken over when it recurs.
+#: Half the pieces that an encoder remembers (some 60 bytes each); of a full memory those that have recurred are kept.
 CACHE_PIECES = 250_000
 #: Characters of texts whose pieces are looked up, and learned, at once.
 GROUP_CHARS = 1 << 19
+#: Pieces of at most so many bytes are told apart by two integers, which hold those bytes and their number.
+KEY_BYTES = 15
 
 BLOCKS = "part int, block int, first long, dict_hash string, doc_ids array<long>, offsets array<int>, n_tokens array<long>, payload binary"
 
 #: The byte-level pre-tokenizer's pieces for texts of the plain range, where Python's classes agree with the library's.
 _PIECE = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f\x85²³¹¼½¾]|[^\x00-ɏ]")
-_ODD_BYTES = "\x1c\x1d\x1e\x1f\x85²³¹¼½¾".encode("latin-1")
+_ODD = re.compile("[\x00\x1c-\x1f\x85²³¹¼½¾]|[^\x00-ɏ]")
+_ODD_BYTES = "\x00\x1c\x1d\x1e\x1f\x85²³¹¼½¾".encode("latin-1")
+
+#: Classes of characters that pieces are cut by; the zero byte stands behind each text.
+LETTER, DIGIT, OTHER, BLANK, MARK = range(5)
+
+
+def _class_of(char: str) -> int:
+    return next(k for k, x in ((LETTER, r"[^\W\d_]"), (DIGIT, r"\d"), (BLANK, r"\s"), (OTHER, "")) if re.match(x, char))
+
+
+#: Of every byte (those of longer characters count as letters), and of characters that begin with C2 or C3 by their second byte.
+_CLASS = np.array([MARK, *map(_class_of, map(chr, range(1, 128))), *[LETTER] * 128], np.uint8)
+_WIDE = np.array([[LETTER] * 128 + [_class_of(bytes([lead, x]).decode()) for x in range(128, 192)] + [LETTER] * 64 for lead in (0xC2, 0xC3)], np.uint8)
+#: What an integer of eight bytes keeps of a piece's first, and of its next, bytes by the piece's size.
+_LOW, _HIGH = (np.array([(1 << 8 * min(8, max(0, n - less))) - 1 for n in range(KEY_BYTES + 1)], np.uint64) for less in (0, 8))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -83,11 +98,67 @@ def _groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
         yield some
 
 
+def _cut(b: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the pieces in the first ``n`` bytes of ``b``, which are plain texts with a zero byte behind each.
+
+    As ``_PIECE`` cuts: a run of one class is a piece, the last blank of a run goes with what follows it or stands alone.
+    """
+    c = _CLASS[b[:n]]
+    wide = np.flatnonzero((b[:n] & 0xFE) == 0xC2)
+    if len(wide):
+        kind = _WIDE[b[wide] & 1, b[wide + 1]]
+        wide, kind = wide[kind != LETTER], kind[kind != LETTER]
+        c[wide] = c[wide + 1] = kind
+    start = np.ones(n, bool)
+    np.not_equal(c[1:], c[:-1], out=start[1:])
+    start |= c == MARK
+    last = (c[:-1] == BLANK) & (c[1:] < BLANK)
+    start[:-1] |= last
+    start[1:] &= ~(last & (b[: n - 1] == 32))
+    if len(wide):  # the blank of two bytes
+        at = np.flatnonzero(last & (b[: n - 1] == 0xA0))
+        start[at], start[at - 1] = False, True
+    at = np.flatnonzero((b[:n] == 39) & start)
+    if len(at):
+        one, two = b[at + 1], b[at + 2]
+        size = 2 * ((one == 115) | (one == 116) | (one == 109) | (one == 100)) + 3 * ((((one == 114) | (one == 118)) & (two == 101)) | ((one == 108) & (two == 108)))
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        start[at + size] = True
+    return np.flatnonzero(start)
+
+
+def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs of ``size`` from ``at`` on, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _value(at, size):
+    """One integer for the ids of a piece: never 0, and growing with ``at``."""
+    return (at + 1) << 32 | size
+
+
+def _parts_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (value >> np.uint64(32)).astype(np.int64) - 1, (value & np.uint64((1 << 32) - 1)).astype(np.int64)
+
+
+def _sorted(low: np.ndarray, high: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pieces without a value, equal ones together, and which of them are the first of their kind."""
+    new = np.flatnonzero(value == 0)
+    order = new[np.lexsort((high[new], low[new]))]
+    return order, np.r_[np.ones(min(1, len(order)), bool), (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])]
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of pieces.
 
     A byte-level BPE merges inside pre-tokenizer pieces only, so a piece's ids don't depend on its neighbours. Texts
     with characters outside the plain range, or with what may be a special token, are encoded whole.
+
+    A piece of up to KEY_BYTES bytes stands in ``table`` as those bytes themselves, in the first slot from its own on that was
+    free, beside its value: where its ids begin in ``flat`` and how many they are. Longer pieces are few and in a dictionary.
+    The mark behind a text is a piece whose id is the end id.
     """
 
     def __init__(self, path: str, most: int = CACHE_PIECES):
@@ -98,57 +169,154 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # the same model (held once) over lines: pieces that are known to be pieces needn't be cut again
         self.lines = Tokenizer(self.tokenizer.model)
-        if self.tokenizer.normalizer is not None:
-            self.lines.normalizer = self.tokenizer.normalizer
-        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
+        self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        n = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2") if n <= 65_536 else np.dtype("<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # the vocabulary's characters for bytes: the printable ones are themselves, the others those from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = np.zeros(256, "<u4")
+        self.shown[shown] = shown
+        self.shown[self.shown == 0] = 256 + np.arange(256 - len(shown))
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
         self.forget()
         give_back()  # what reading the vocabulary took
 
     def forget(self) -> None:
         """Frees the remembered pieces."""
-        self.known: dict[str, bytes] = {}
-        self.past: dict[str, bytes] = {}
+        self._start(np.array([[0, 1 << 56, _value(0, 1)]], np.uint64), np.array([END_ID], self.dtype))
+
+    def _start(self, rows: np.ndarray, flat: np.ndarray) -> None:
+        """Remember the pieces ``rows`` with the ids ``flat``, and no others."""
+        self.flat, self.n_flat, self.n, self.long = flat, len(flat), 0, {}
+        self.table, self.seen = np.zeros((1 << 12, 3), np.uint64), np.zeros(1 << 12, bool)
+        self._enter(rows)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+
+    def _look(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Values of the pieces with these bytes, 0 of those that aren't known."""
+        slot = self._slot(low, high)
+        row = self.table.take(slot, axis=0)  # faster than by index
+        open_ = np.flatnonzero(((row[:, 0] != low) | (row[:, 1] != high)) & (row[:, 1] != 0))
+        while len(open_):
+            slot[open_] = at = (slot[open_] + 1) % len(self.table)
+            row[open_] = met = self.table.take(at, axis=0)
+            open_ = open_[((met[:, 0] != low[open_]) | (met[:, 1] != high[open_])) & (met[:, 1] != 0)]
+        self.seen[slot] = True
+        return row[:, 2].copy()
+
+    def _enter(self, rows: np.ndarray) -> None:
+        """Give the distinct pieces ``rows`` (bytes and value), which have none, slots."""
+        self.n += len(rows)
+        if 5 * self.n > 3 * len(self.table):
+            held, seen = self.table[at := np.flatnonzero(self.table[:, 1])], self.seen[at]
+            slots = 2 * len(self.table)
+            while 5 * self.n > 3 * slots:
+                slots *= 2
+            self.table, self.seen = np.zeros((slots, 3), np.uint64), np.zeros(slots, bool)
+            self.seen[self._put(held)] = seen
+        self.seen[self._put(rows)] = False
+
+    def _put(self, rows: np.ndarray) -> np.ndarray:
+        slot, open_ = self._slot(rows[:, 0], rows[:, 1]), np.arange(len(rows))
+        while len(open_):
+            at = slot[open_]
+            free = np.flatnonzero(self.table[at, 1] == 0)
+            self.table[at[free]] = rows[open_[free]]
+            open_ = open_[self.table[at, 2] != rows[open_, 2]]  # the others' slots are taken; values differ
+            slot[open_] = (slot[open_] + 1) % len(self.table)
+        return slot
+
+    def _drop(self) -> None:
+        """Forget the pieces that haven't recurred since the last time, or all if those that have are too many."""
+        rows = self.table[self.seen & (self.table[:, 2] > np.uint64(_value(0, 1)))]
+        if len(rows) > self.most:
+            return self.forget()
+        at, size = _parts_of(rows[:, 2])
+        ids = self.flat[_spread(at, size)]
+        self.forget()
+        self._add(rows[:, 0], rows[:, 1], size, ids)
+
+    def _add(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = self._keep(ids) + np.cumsum(size) - size
+        value = _value(at, size).astype(np.uint64)
+        self._enter(np.stack([low, high, value], axis=1))
+        return value
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Put ``ids`` behind the others in ``flat``; returns where."""
+        at, self.n_flat = self.n_flat, self.n_flat + len(ids)
+        if self.n_flat > len(self.flat):
+            self.flat = np.concatenate([self.flat[:at], np.zeros(self.n_flat // 2 + len(ids), self.dtype)])
+        self.flat[at : self.n_flat] = ids
+        return at
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces are encoded in one text, a line each: the line feed is a piece and an id of its own."""
-        words = [p for p in pieces if p.isalpha() or (p[0] == " " and p[1:].isalpha())]
-        if words and len(self.newline) == 1:
-            size, mark = self.dtype.itemsize, self.newline[0]
-            groups = [words[i : i + 100] for i in range(0, len(words), 100)]
-            for some, e in zip(groups, self.lines.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.dtype)
-                cuts = np.flatnonzero(ids == mark)
-                if len(cuts) == len(some) - 1:
-                    raw, ends = ids.tobytes(), np.append(cuts, len(ids)) * size
-                    starts = np.append(0, ends[:-1] + size)
-                    self.known.update(zip(some, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
-        for p in set(pieces).difference(self.known):
-            self.known[p] = self._whole(p)
+    def _merged(self, b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of the pieces at ``start`` in ``b``, and all their ids: a hundred pieces are one text of lines."""
+        ends = np.cumsum(size + 1)
+        lines = np.full(ends[-1], 10, "<u4")
+        lines[_spread(ends - size - 1, size)] = self.shown[b[_spread(start, size)]]
+        cuts = np.unique(np.r_[0, ends[99::100], ends[-1]])
+        texts = [lines[i : j - 1].tobytes().decode("utf-32-le") for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        ids = np.concatenate([np.array(e.ids, self.dtype) for i in range(0, len(texts), 64) for e in self.lines.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)])
+        # ids stand for as many bytes as their tokens have characters
+        done, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(size)
+        last = np.searchsorted(done, wanted)
+        if len(done) == 0 or done[-1] != wanted[-1] or (done[last] != wanted).any():
+            raise ValueError("the vocabulary lacks a byte")
+        return np.diff(last, prepend=-1), ids
+
+    def _values(self, b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Values of the pieces at ``start`` in ``b``; those that aren't known are learned."""
+        short = np.minimum(size, KEY_BYTES)
+        eight = np.ndarray(len(b) - 7, "<u8", b, strides=(1,))
+        low, high = eight[start] & _LOW[short], eight[start + 8] & _HIGH[short] | size.astype(np.uint64) << np.uint64(56)
+        long = np.flatnonzero(size > KEY_BYTES)
+        low[long], high[long] = 0, 1 << 56  # as the mark
+        value = self._look(low, high)
+        order, first = _sorted(low, high, value)
+        if self.n + len(self.long) + np.count_nonzero(first) > 2 * self.most:
+            self._drop()
+            value = self._look(low, high)
+            order, first = _sorted(low, high, value)
+        if len(order):
+            at = order[first]
+            value[order] = self._add(low[at], high[at], *self._merged(b, start[at], size[at]))[np.cumsum(first) - 1]
+        if len(long):
+            keys = [b[i : i + n].tobytes() for i, n in zip(start[long].tolist(), size[long].tolist(), strict=True)]
+            at = [long[i] for k, i in {k: i for i, k in enumerate(keys)}.items() if k not in self.long]
+            if at:
+                n, ids = self._merged(b, start[at], size[at])
+                begin = self._keep(ids) + np.cumsum(n) - n
+                self.long.update(zip([b[i : i + k].tobytes() for i, k in zip(start[at].tolist(), size[at].tolist(), strict=True)], _value(begin, n).tolist(), strict=True))
+            value[long] = [self.long[k] for k in keys]
+        return value
+
+    def _texts(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of plain texts."""
+        raw = "\0".join([*texts, ""]).encode()
+        b, n = np.frombuffer(raw + bytes(16), np.uint8), len(raw)
+        start = _cut(b, n)
+        at, size = _parts_of(self._values(b, start, np.diff(start, append=n)))
+        ids = self.flat[_spread(at, size)].tobytes()
+        ends = (np.cumsum(size)[b[start] == 0] * self.dtype.itemsize).tolist()
+        return (ids[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, with the end id."""
         out: list[bytes] = []
         for group in _groups(texts):
-            some = [_PIECE.findall(t) if _plain(t) else None for t in group]
-            new = set().union(*[p for p in some if p]).difference(self.known)
-            if len(self.known) + len(new) > self.most:
-                self.past, self.known = self.known, {}
-                new = set().union(*[p for p in some if p])
-            if new and self.past:
-                old = new.intersection(self.past)
-                self.known.update(zip(old, map(self.past.__getitem__, old), strict=True))
-                new -= old
-            if new:
-                self._learn(list(new))
-            get = self.known.__getitem__
-            for t, p in zip(group, some, strict=True):
-                out.append((self._whole(t) if p is None else b"".join(map(get, p))) + self.end)
+            plain = [_plain(t) for t in group]
+            ids = self._texts([t for t, p in zip(group, plain, strict=True) if p]) if any(plain) else iter(())
+            out += [next(ids) if p else self._whole(t) + self.end for t, p in zip(group, plain, strict=True)]
         return out
 
 
@@ -188,7 +356,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
 def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, cache_pieces: int = CACHE_PIECES) -> str:
     """Encode ``docs`` (doc_id, text) and write the blocks and the dictionary; returns the folder.
 
-    ``cache_pieces`` trades the workers' memory (some 170 bytes each, in two generations) for encoding time.
+    ``cache_pieces`` trades the workers' memory (some 60 bytes each, twice as many) for encoding time.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()

@@ -515,3 +515,43 @@ print(first, held() - before - first)
     enc = tokens.Encoder(tokens.vocabulary_path())
     texts = [t or "" for _, t in rows]
     assert enc(texts) == [enc._whole(t) + enc.end for t in texts]
+
+
+def test_encoder_equals_the_library_on_odd_texts():
+    r = np.random.default_rng(11)
+    enc, parts = tokens.Encoder(tokens.vocabulary_path()), [*"aZé's09_-.,!  \t\n\r\u00a0µª×÷ñłɏ\xad¿", "'s", "'re", "'ll", "'S", " '", "  ", "abcdefghijklmnop", "é" * 9, "\0", "<|", "\x1f", "中"]
+    texts = ["", " ", "\n", "'", "'s's", "a  \u00a0", "\u00a0a", *("".join(parts[i] for i in r.integers(0, len(parts) - 4 * int(k % 5 > 0), k % 40)) for k in range(3000))]
+    want = [enc._whole(t) + enc.end for t in texts]
+    assert sum(map(tokens._plain, texts)) > 2000 and enc(texts) == want
+    enc.most = 40
+    enc.forget()
+    assert [x for i in range(0, len(texts), 9) for x in enc(texts[i : i + 9])] == want
+
+
+def test_encoder_keeps_pieces_that_recur(monkeypatch):
+    enc, learned, merged = tokens.Encoder(tokens.vocabulary_path(), 100), [], tokens.Encoder._merged
+    monkeypatch.setattr(enc, "_merged", lambda b, start, size: learned.append(len(start)) or merged(enc, b, start, size))
+    often = " ".join(f"w{'abcdefghij'[i]}" for i in range(10))
+    for i in range(40):
+        enc([often + "".join(f" {'abcdefghijklmnop'[k]}{'abcdefghijklmnop'[i % 16]}{'xyz'[i // 16]}" for k in range(16))])
+    assert learned[0] == 26 and sum(learned) == 10 + 40 * 16
+
+
+def test_encoder_looks_up_known_pieces_cheaply():
+    """The regular expression, a set and a look-up of each piece took 1.9 times what the regular expression takes, and a piece 124 bytes."""
+    import tracemalloc
+
+    words = ["".join(x) for x in np.random.default_rng(12).choice(list("abcdefghijklmnopqrstuvwxyz"), (30_000, 7))]
+    texts, enc = [" ".join(words[i : i + 300]) for i in range(0, len(words), 300)] * 4, tokens.Encoder(tokens.vocabulary_path())
+    tracemalloc.start()
+    want = enc(texts)
+    kept = tracemalloc.get_traced_memory()[0] - sum(map(len, want))
+    tracemalloc.stop()
+
+    def seconds(run):
+        began = time.thread_time()
+        run()
+        return time.thread_time() - began
+
+    assert kept < 100 * len(words), kept
+    assert min(seconds(lambda: enc(texts)) for _ in range(5)) < 1.2 * min(seconds(lambda: [tokens._PIECE.findall(t) for t in texts]) for _ in range(5))
