@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, forget_others, give_back, giving_back, read, remember, slices_of
-from loomgraph.llm.neardup import _mix, placed_words
-from loomgraph.llm.tokens import vocabulary_path
+from loomgraph.llm.neardup import _SPACES, _mix, placed_words
+from loomgraph.llm.tokens import Encoder, groups_of, is_plain, vocabulary_path
 
 FOLDS = 10
 SMOOTH = 0.1
@@ -59,6 +59,8 @@ PRIOR = 4.0
 END_TOKEN = "<|endoftext|>"
 #: Words whose ids a worker remembers: some 14 bytes each and two slots of 12 bytes or more.
 CACHE_WORDS = 1_000_000
+#: Half the pieces of plain texts that a worker remembers, some 70 bytes each.
+CACHE_PIECES = 500_000
 #: Ids that are scored at once, unless one document has more.
 SCORED_IDS = 1 << 18
 #: Parts of one in which logarithms of joined pairs are summed: whole numbers add up alike in any order.
@@ -66,7 +68,7 @@ PARTS = 1 << 30
 
 
 class Words:
-    """Ids of lower-cased words by the words' hashes; CACHE_WORDS of them (more if one block has more) are remembered before it starts afresh.
+    """For texts that aren't plain: ids of lower-cased words by the words' hashes; CACHE_WORDS of them (more if one block has more) are remembered before it starts afresh.
 
     Word ``i`` has ``size[i]`` ids in ``flat`` from ``at[i]`` on. Its number stands in the first slot from its hash's own
     on that was free; word 0 is the end id, which has no slot.
@@ -179,22 +181,71 @@ def blocks_of(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
         yield some
 
 
+#: Bytes of a word that are read eight at a time; longer words, which are few, hash as ``placed_words`` does.
+EIGHTS = 64
+#: What is kept of eight bytes of which so many are the word's.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Hash, start, end and text number of every word of the texts, and the texts joined by blanks."""
     joined = b" ".join(texts)
-    h, start, end = placed_words(joined)
+    b = np.frombuffer(joined + bytes(EIGHTS), np.uint8)
+    edge = np.flatnonzero(np.diff(~_SPACES[b[: len(joined)]], prepend=False, append=False))
+    start, end = edge[0::2], edge[1::2]
+    size, eight = end - start, np.ndarray(len(b) - 7, "<u8", b, strides=(1,))
+    h = _mix((eight[start] & _KEPT[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for k in range(8, EIGHTS, 8):
+        at = np.flatnonzero(size > k)
+        if not len(at):
+            break
+        h[at] = _mix(h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + (eight[start[at] + k] & _KEPT[np.minimum(size[at] - k, 8)]))
+    long = np.flatnonzero(size > EIGHTS)
+    if len(long):
+        h[long] = placed_words(joined)[0][long]
     ends = np.cumsum(np.array([len(t) + 1 for t in texts]))
-    return h, start, end, np.searchsorted(ends, start, side="right"), joined
+    return h, start, end, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, ends), prepend=0)), joined
+
+
+class Texts:
+    """Ids of lower-cased texts: those of plain ones by the pieces, of the others by the words.
+
+    Words with a blank before each, one after the other, have the pieces of each alone, as a blank that a word follows
+    begins a piece; a blank of two bytes might go with those around it, so texts with one count as not plain.
+    """
+
+    def __init__(self, path: str):
+        self.words = Words(path)
+        self.tokenizer, self.n_ids, self.dtype = self.words.tokenizer, self.words.n_ids, self.words.dtype
+        self.pieces = Encoder(path, CACHE_PIECES, self.words.end_id, self.tokenizer)
 
+    def forget(self) -> None:
+        self.words.forget()
+        self.pieces.forget()
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Serialized ids of each text, with the end id."""
+        out: list[bytes | None] = [None] * len(texts)
+        spaced = [b" ".join([b"", *t.split()]).decode("utf-8", "replace") for t in texts]
+        plain = [i for i, t in enumerate(spaced) if is_plain(t) and "\xa0" not in t]
+        at = iter(plain)
+        for group in groups_of([spaced[i] for i in plain]):
+            for x in self.pieces.plain(group):
+                out[next(at)] = x
+        others = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(others, self.words([texts[i] for i in others]), strict=True):
+            out[i] = x
+        return out
 
-_words: dict[str, Words] = {}
 
+_texts: dict[str, Texts] = {}
 
-def _encoder(path: str) -> Words:
-    if path not in _words:
-        _words[path] = Words(path)
-        remember("lm words", _words[path].forget)
-    return _words[path]
+
+def _encoder(path: str) -> Texts:
+    if path not in _texts:
+        _texts[path] = Texts(path)
+        remember("lm words", _texts[path].forget)
+    return _texts[path]
 
 
 def is_training(doc_id: int | None) -> bool:
@@ -337,9 +388,41 @@ def _flat(t: np.ndarray) -> np.ndarray:
     return t.reshape(-1, t.shape[-1])
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, first: int, room: Room) -> tuple[np.ndarray, ...]:
+#: Multiplications of one product: up to a million, OpenBLAS doesn't pack its factors, which halves the time of such narrow ones.
+SMALL = 900_000
+
+
+def _times(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+    """The product of the flattened ``a`` and ``b``, some rows at a time."""
+    a, out, b = _flat(a), _flat(out), np.ascontiguousarray(b)
+    rows = max(1, SMALL // b.size)
+    for i in range(0, len(a), rows):
+        np.matmul(a[i : i + rows], b, out=out[i : i + rows])
+
+
+def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of the flattened and transposed ``a`` and ``b``, some rows at a time."""
+    a, b = _flat(a), _flat(b)
+    rows = max(1, SMALL // (a.shape[1] * b.shape[1]))
+    return sum(a[i : i + rows].T @ b[i : i + rows] for i in range(0, len(a), rows))
+
+
+def with_heads(x: np.ndarray, n: int, heads: np.ndarray) -> None:
+    """Put the contexts of the windows ``heads`` of the first ``n`` in ``x`` behind them, as windows of their own with these places behind a context."""
+    x[n:] = 0
+    x[n:, CONTEXT : 2 * CONTEXT] = x[heads, :CONTEXT]
+
+
+def _at_most(x: np.ndarray, most: float) -> None:
+    if x.size and x.max() > most:  # seldom, and cheaper to see than to do
+        np.minimum(x, x.dtype.type(most), out=x)
+
+
+def forward(p: dict[str, np.ndarray], x: np.ndarray, first: int, room: Room, heads: int = 0) -> tuple[np.ndarray, ...]:
     """Attention of the places from ``first`` on over all places up to them, in embedded inputs ``x`` (windows, places, DIM).
 
+    In the last ``heads`` windows the places before ``first`` are hidden.
+
     Inputs of those places, scaled queries, keys beside values, normalised attention, outputs and last states. The last
     states times ``logit`` are what attention adds to the logits. All are held in ``room``.
     """
@@ -348,82 +431,101 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, first: int, room: Room) ->
     mine, q, o, h = (room(k, n, some, DIM, dtype=of) for k in ("mine", "q", "o", "h"))
     kv, a = room("kv", n, size, 2 * DIM, dtype=of), room("a", n, some, size, dtype=of)
     mine[...] = x[:, first:]
-    np.matmul(_flat(mine), p["qkv"][:, :DIM] * of.type(1 / math.sqrt(DIM)), out=_flat(q))
-    np.matmul(_flat(x), p["qkv"][:, DIM:], out=_flat(kv))
-    np.matmul(q, kv[..., :DIM].transpose(0, 2, 1), out=a)
-    np.minimum(a, of.type(30), out=a)
+    _times(mine, p["qkv"][:, :DIM] * of.type(1 / math.sqrt(DIM)), q)
+    _times(x, p["qkv"][:, DIM:], kv)
+    turned = room("turned", n, DIM, size, dtype=of)  # faster than as a view
+    np.copyto(turned, kv[..., :DIM].transpose(0, 2, 1))
+    np.matmul(q, turned, out=a)
+    _at_most(a, 30)
     np.exp(a, out=a)
     a *= _TRIANGLE[first:size, :size]
+    if heads:
+        a[-heads:, :, :first] = 0
     a *= (1 / (a @ np.ones(size, of) + of.type(1e-30)))[..., None]
     np.matmul(a, kv[..., DIM:], out=o)
-    np.matmul(_flat(o), p["out"], out=_flat(h))
+    _times(o, p["out"], h)
     h += mine
     return mine, q, kv, a, o, h
 
 
+#: Places of the rows of a table with DIM columns in its cells one after the other.
+_CELLS = np.arange(max(CLASSES + 1, BUCKETS) * DIM).reshape(-1, DIM)
+
+
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by their index ``at`` below ``n``."""
-    width = rows.shape[1]
-    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width).astype(rows.dtype)
-
-
-def _backward(p: dict[str, np.ndarray], x: np.ndarray, first: int, prior: np.ndarray, target: np.ndarray, share: np.ndarray, g: dict[str, np.ndarray], dx: np.ndarray, room: Room) -> float:
-    """Cross-entropy of the places of ``x`` from ``first`` on, each with its share; gradients are added to ``g`` and written to ``dx``."""
-    of = x.dtype
-    mine, q, kv, a, o, h = forward(p, x, first, room)
-    d = room("d", *prior.shape, dtype=of)
-    np.matmul(_flat(h), p["logit"], out=_flat(d))
-    d += prior
-    np.minimum(d, of.type(60), out=d)
+    """Sums of ``rows`` (of DIM numbers) by their index ``at`` below ``n``."""
+    return np.bincount(_CELLS.take(at, axis=0).ravel(), rows.ravel(), n * DIM).reshape(n, DIM).astype(rows.dtype)
+
+
+def gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, prior: np.ndarray, target: np.ndarray, valid: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over the valid places, and its gradients.
+
+    Places of the context are keys and values only, but in windows that score them (the first ones of documents), where
+    they attend to each other: beside the windows, in windows of their own.
+    """
+    heads = heads_of(valid)
+    rows = beside(prior, heads).astype(p["class"].dtype)
+    return _gradients(p, cin, bin_, heads, rows, beside(target, heads), beside(valid, heads, 0), room or Room())
+
+
+def heads_of(valid: np.ndarray) -> np.ndarray:
+    """Windows that score their context."""
+    return np.flatnonzero(valid[:, :CONTEXT].any(axis=1))
+
+
+def beside(x: np.ndarray, heads: np.ndarray, rest=None) -> np.ndarray:
+    """What belongs to the places that windows score: those behind the context, then the contexts of ``heads``, filled up with ``rest`` (or with what is there)."""
+    more = x[heads, :STRIDE]
+    if rest is not None:
+        more[:, CONTEXT:] = rest
+    return np.concatenate([x[:, CONTEXT:], more])
+
+
+def _gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, heads: np.ndarray, d: np.ndarray, wanted: np.ndarray, valid: np.ndarray, room: Room) -> tuple[float, dict[str, np.ndarray]]:
+    """``gradients`` from the priors ``d`` (which are overwritten), targets and validity of the places ``beside`` the windows."""
+    of, n, every = p["class"].dtype, len(cin), len(d)
+    x, dx = (room(k, every, WINDOW, DIM, dtype=of) for k in ("x", "dx"))
+    np.take(p["class"], cin, axis=0, out=x[:n], mode="clip")
+    np.take(p["bucket"], bin_, axis=0, out=dx[:n], mode="clip")
+    x[:n] += dx[:n]
+    x[:n] += p["place"]
+    with_heads(x, n, heads)
+    share = valid.astype(of).ravel()
+    share /= of.type(max(1, int(valid.sum())))
+    mine, q, kv, a, o, h = forward(p, x, CONTEXT, room, len(heads))
+    more = room("ds", *d.shape, dtype=of)
+    _times(h, p["logit"], more)
+    d += more
+    _at_most(d, 60)
     np.exp(d, out=d)
-    d, share = _flat(d), share.ravel()
-    sums = d @ np.ones(CLASSES, of)
-    rows, wanted = np.arange(len(d)), target.ravel()
-    loss = float(-(np.log(np.maximum(d[rows, wanted] / sums, 1e-30)) * share).sum())
+    cells, d = d.reshape(-1), _flat(d)
+    sums, at = d @ np.ones(CLASSES, of), np.arange(0, d.size, CLASSES) + wanted.ravel()
+    loss = float(-(np.log(np.maximum(cells.take(at) / sums, 1e-30)) * share).sum())
     d *= (share / sums)[:, None]
-    d[rows, wanted] -= share
-    g["logit"] += _flat(h).T @ d
+    cells[at] -= share
+    g = {"logit": _gram(h, d), "qkv": np.empty_like(p["qkv"])}
     dh, do, dq = (room(k, *mine.shape, dtype=of) for k in ("dh", "do", "dq"))
     dkv, ds = room("dkv", *kv.shape, dtype=of), room("ds", *a.shape, dtype=of)
-    np.matmul(d, p["logit"].T, out=_flat(dh))
-    g["out"] += _flat(o).T @ _flat(dh)
-    np.matmul(_flat(dh), p["out"].T, out=_flat(do))
+    _times(d, p["logit"].T, dh)
+    g["out"] = _gram(o, dh)
+    _times(dh, p["out"].T, do)
     np.matmul(a.transpose(0, 2, 1), do, out=dkv[..., DIM:])
-    np.matmul(do, kv[..., DIM:].transpose(0, 2, 1), out=ds)
+    turned = room("turned", every, DIM, WINDOW, dtype=of)
+    np.copyto(turned, kv[..., DIM:].transpose(0, 2, 1))
+    np.matmul(do, turned, out=ds)
     ds -= (np.multiply(do, o, out=dq) @ np.ones(DIM, of))[..., None]
     ds *= a
     np.matmul(ds, kv[..., :DIM], out=dq)
     np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :DIM])
     dq *= of.type(1 / math.sqrt(DIM))
-    g["qkv"][:, :DIM] += _flat(mine).T @ _flat(dq)
-    g["qkv"][:, DIM:] += _flat(x).T @ _flat(dkv)
-    np.matmul(_flat(dkv), p["qkv"][:, DIM:].T, out=_flat(dx))
-    np.matmul(_flat(dq), p["qkv"][:, :DIM].T, out=_flat(do))
+    g["qkv"][:, :DIM] = _gram(mine, dq)
+    g["qkv"][:, DIM:] = _gram(x, dkv)
+    _times(dkv, p["qkv"][:, DIM:].T, dx)
+    _times(dq, p["qkv"][:, :DIM].T, do)
     dh += do
-    dx[:, first:] += dh
-    return loss
-
-
-def gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, prior: np.ndarray, target: np.ndarray, valid: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy over the valid places, and its gradients.
-
-    Places of the context are keys and values only, but in windows that score them (the first ones of documents), where
-    they attend to each other.
-    """
-    room, of = room or Room(), p["class"].dtype
-    share = valid / of.type(max(1, int(valid.sum())))
-    g = {k: np.zeros_like(p[k]) for k in ("qkv", "out", "logit")}
-    x, dx = (room(k, *cin.shape, DIM, dtype=of) for k in ("x", "dx"))
-    np.take(p["class"], cin, axis=0, out=x, mode="clip")
-    np.take(p["bucket"], bin_, axis=0, out=dx, mode="clip")
-    x += dx
-    x += p["place"]
-    loss = _backward(p, x, CONTEXT, prior[:, CONTEXT:], target[:, CONTEXT:], share[:, CONTEXT:], g, dx, room)
-    heads = np.flatnonzero(valid[:, :CONTEXT].any(axis=1))
-    if len(heads):
-        own = np.empty((len(heads), CONTEXT, DIM), of)
-        loss += _backward(p, x[heads, :CONTEXT], 0, prior[heads, :CONTEXT], target[heads, :CONTEXT], share[heads, :CONTEXT], g, own, room)
-        dx[heads, :CONTEXT] += own
+    dx[:, CONTEXT:] += dh
+    dx[heads, :CONTEXT] += dx[n:, CONTEXT : 2 * CONTEXT]
+    dx = dx[:n]
     g["place"] = dx.sum(0)
     g["class"], g["bucket"] = _summed(cin.ravel(), _flat(dx), len(p["class"])), _summed(bin_.ravel(), _flat(dx), len(p["bucket"]))
     return loss, g
@@ -629,9 +731,11 @@ def train_locally(p: dict[str, np.ndarray], docs: list[np.ndarray], table: Table
     loss, steps, room = 0.0, -(-sum(len(_windows(len(d))) for d in docs) // BATCH), Room()
     cls, bucket = np.r_[table.cls, CLASSES], np.r_[np.arange(table.n_ids) % BUCKETS, 0]
     for t, (before, now, valid) in enumerate(_batches(docs, table.n_ids), 1):
-        prior = room("prior", *before.shape, CLASSES, dtype=table.prior.dtype)
-        np.take(table.prior, before, axis=0, out=prior, mode="clip")
-        loss, g = gradients(p, cls[before], bucket[before], prior, table.cls[now], valid, room)
+        heads = heads_of(valid)
+        seen, wanted, scored = (beside(x, heads, rest) for x, rest in ((before, None), (now, None), (valid, 0)))
+        prior = room("prior", *seen.shape, CLASSES, dtype=table.prior.dtype)
+        np.take(table.prior, seen, axis=0, out=prior, mode="clip")
+        loss, g = _gradients(p, cls[before], bucket[before], heads, prior, table.cls[wanted], scored, room)
         pace = rate * max(0.1, 1 - t / (steps + 1))
         new = np.concatenate([g[k].ravel() for k in sorted(g)])
         m += 0.1 * (new - m)
@@ -718,34 +822,29 @@ def log_probabilities(ids: list[np.ndarray], p: dict[str, np.ndarray], table: Ta
     wanted, place = table.cls[flat], np.arange(WINDOW)
     inside = np.bincount(of_id, table.log_inside(before, flat, shares), len(ids))
 
-    def classes(x: np.ndarray, seen: np.ndarray, target: np.ndarray, scored: np.ndarray, some: int) -> np.ndarray:
-        """Log probability of the classes at the places of ``x`` from ``some`` on, summed by window."""
-        h, logits, prior = forward(p, x, some, room)[-1], *(room(k, *target.shape, CLASSES) for k in ("logits", "prior"))
-        np.matmul(_flat(h), p["logit"], out=_flat(logits))
-        np.take(table.prior, seen[:, some:], axis=0, out=prior, mode="clip")
-        logits += prior
-        np.minimum(logits, np.float32(60), out=logits)
-        logits = _flat(logits)
-        lp = logits[np.arange(len(logits)), target.ravel()]
-        np.exp(logits, out=logits)
-        lp -= np.log(logits @ np.ones(CLASSES, np.float32))
-        return (lp.reshape(scored.shape) * scored).sum(axis=1, dtype=np.float64)
-
     out = np.zeros(len(first))
     for i in range(0, len(first), BATCH):
         of = slice(i, i + BATCH)
         at = first[of, None] + place
-        scored = at[:, CONTEXT:] < end[of, None]
+        scored = (at < end[of, None]) & ((place >= CONTEXT) | (first[of] == start[of])[:, None])
         np.minimum(at, end[of, None] - 1, out=at)
-        seen, target = before[at], wanted[at]
-        x = room("x", *at.shape, DIM)
-        np.take(vectors, seen, axis=0, out=x, mode="clip")
-        x += p["place"]
-        out[of] = classes(x, seen, target[:, CONTEXT:], scored, CONTEXT)
-        # the first windows of documents score their context too
-        heads = np.flatnonzero(first[of] == start[of])
-        if len(heads):
-            out[i + heads] += classes(x[heads, :CONTEXT], seen[heads, :CONTEXT], target[heads, :CONTEXT], first[of][heads, None] + place[:CONTEXT] < end[of][heads, None], 0)
+        heads, n = heads_of(scored), len(at)
+        own, scored = beside(at, heads), beside(scored, heads, 0)
+        x = room("x", len(scored), WINDOW, DIM)
+        np.take(vectors, before[at], axis=0, out=x[:n], mode="clip")
+        x[:n] += p["place"]
+        with_heads(x, n, heads)
+        h, logits, prior = forward(p, x, CONTEXT, room, len(heads))[-1], *(room(k, *scored.shape, CLASSES) for k in ("logits", "prior"))
+        np.take(table.prior, before[own], axis=0, out=prior, mode="clip")
+        _times(h, p["logit"], logits)
+        logits += prior
+        _at_most(logits, 60)
+        lp = logits.reshape(-1).take(np.arange(0, logits.size, CLASSES) + wanted[own].ravel())
+        np.exp(logits, out=logits)
+        lp -= np.log(_flat(logits) @ np.ones(CLASSES, np.float32))
+        sums = (lp.reshape(scored.shape) * scored).sum(axis=1, dtype=np.float64)
+        out[of] = sums[:n]
+        out[i + heads] += sums[n:]
     return inside + np.bincount(doc, out, len(ids))
 
 

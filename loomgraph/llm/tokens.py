@@ -74,7 +74,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _plain(text: str) -> bool:
+def is_plain(text: str) -> bool:
     """Whether ``text`` stays in the range where the pieces agree."""
     if "<|" in text:
         return False
@@ -85,7 +85,7 @@ def _plain(text: str) -> bool:
     return len(raw.translate(None, _ODD_BYTES)) == len(raw)
 
 
-def _groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
+def groups_of(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters; a longer text is one by itself."""
     some, size = [], 0
     for t in texts:
@@ -161,18 +161,19 @@ class Encoder:
     The mark behind a text is a piece whose id is the end id.
     """
 
-    def __init__(self, path: str, most: int = CACHE_PIECES):
+    def __init__(self, path: str, most: int = CACHE_PIECES, end: int = END_ID, tokenizer=None):
+        """``tokenizer``: that of ``path``, if there is one already."""
         self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer or Tokenizer.from_file(path)
         # the same model (held once) over lines: pieces that are known to be pieces needn't be cut again
         self.lines = Tokenizer(self.tokenizer.model)
         self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         n = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if n <= 65_536 else np.dtype("<u4")
-        self.end = np.array([END_ID], self.dtype).tobytes()
+        self.end = np.array([end], self.dtype).tobytes()
         # the vocabulary's characters for bytes: the printable ones are themselves, the others those from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = np.zeros(256, "<u4")
@@ -184,7 +185,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Frees the remembered pieces."""
-        self._start(np.array([[0, 1 << 56, _value(0, 1)]], np.uint64), np.array([END_ID], self.dtype))
+        self._start(np.array([[0, 1 << 56, _value(0, 1)]], np.uint64), np.frombuffer(self.end, self.dtype))
 
     def _start(self, rows: np.ndarray, flat: np.ndarray) -> None:
         """Remember the pieces ``rows`` with the ids ``flat``, and no others."""
@@ -300,8 +301,8 @@ class Encoder:
             value[long] = [self.long[k] for k in keys]
         return value
 
-    def _texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of plain texts."""
+    def plain(self, texts: list[str]) -> Iterator[bytes]:
+        """Serialized ids of plain texts, with the end id."""
         raw = "\0".join([*texts, ""]).encode()
         b, n = np.frombuffer(raw + bytes(16), np.uint8), len(raw)
         start = _cut(b, n)
@@ -313,9 +314,9 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, with the end id."""
         out: list[bytes] = []
-        for group in _groups(texts):
-            plain = [_plain(t) for t in group]
-            ids = self._texts([t for t, p in zip(group, plain, strict=True) if p]) if any(plain) else iter(())
+        for group in groups_of(texts):
+            plain = [is_plain(t) for t in group]
+            ids = self.plain([t for t, p in zip(group, plain, strict=True) if p]) if any(plain) else iter(())
             out += [next(ids) if p else self._whole(t) + self.end for t, p in zip(group, plain, strict=True)]
         return out
 

@@ -522,7 +522,7 @@ def test_encoder_equals_the_library_on_odd_texts():
     enc, parts = tokens.Encoder(tokens.vocabulary_path()), [*"aZé's09_-.,!  \t\n\r\u00a0µª×÷ñłɏ\xad¿", "'s", "'re", "'ll", "'S", " '", "  ", "abcdefghijklmnop", "é" * 9, "\0", "<|", "\x1f", "中"]
     texts = ["", " ", "\n", "'", "'s's", "a  \u00a0", "\u00a0a", *("".join(parts[i] for i in r.integers(0, len(parts) - 4 * int(k % 5 > 0), k % 40)) for k in range(3000))]
     want = [enc._whole(t) + enc.end for t in texts]
-    assert sum(map(tokens._plain, texts)) > 2000 and enc(texts) == want
+    assert sum(map(tokens.is_plain, texts)) > 2000 and enc(texts) == want
     enc.most = 40
     enc.forget()
     assert [x for i in range(0, len(texts), 9) for x in enc(texts[i : i + 9])] == want
@@ -555,3 +555,39 @@ def test_encoder_looks_up_known_pieces_cheaply():
 
     assert kept < 100 * len(words), kept
     assert min(seconds(lambda: enc(texts)) for _ in range(5)) < 1.2 * min(seconds(lambda: [tokens._PIECE.findall(t) for t in texts]) for _ in range(5))
+
+
+def test_lm_encodes_plain_texts_by_pieces():
+    path, r = tokens.vocabulary_path(), np.random.default_rng(13)
+    words = ["".join(x) for x in r.choice(list("abcdefghijklmnopqrstuvwxyzé"), (12_000, 7))]
+    texts = [" ".join(w + ".,;!?"[i % 5] for w in words[i : i + 200]).encode() for i in range(0, len(words), 50)]
+    odd = [b"", b" \n", "a b     c".encode(), b"it's  's\t'", b"a\0b", b"\x1c x", b"<|endoftext|> y", "中 b".encode(), b"\xff", "µ² ½x".encode()]
+    lm._encoder(path).forget()
+    by_words = lm.Words(path)
+    assert lm._encoder(path)(odd + texts) == by_words(odd + texts)
+
+    def seconds(encode):
+        encode.forget()
+        began = time.thread_time()
+        encode(texts)
+        return time.thread_time() - began
+
+    assert min(seconds(lm._encoder(path)) for _ in range(3)) < 0.7 * min(seconds(by_words) for _ in range(3))
+
+
+def test_lm_first_windows_go_with_the_others(monkeypatch):
+    """The contexts of documents' first windows went through all operations of a step a second time."""
+    calls, forward, r = [], lm.forward, np.random.default_rng(14)
+    monkeypatch.setattr(lm, "forward", lambda *x: calls.append(len(x[1])) or forward(*x))
+    docs = [r.integers(0, 500, 100) for _ in range(20)]
+    lm.train_locally(lm.initial(), docs, table())
+    lm.log_probabilities(docs, lm.initial(), table())
+    assert calls == [80 + 20] * 2
+
+
+def test_lm_hashes_words_alike_wherever_they_stand():
+    r = np.random.default_rng(15)
+    words = [bytes(x) for n in (1, 7, 8, 9, 16, 17, 63, 64, 65, 200) for x in r.integers(97, 99, (40, n)).astype(np.uint8)] + [b"a\0", b"a\0\0", b"\0"]
+    one, other = lm.words_of([b" ".join(words)]), lm.words_of([b"", b"\n", *words[::-1], b" "])
+    assert (one[0] == other[0][::-1]).all() and other[3].tolist() == list(range(2, len(words) + 2))
+    assert len(set(one[0].tolist())) == len(set(words)) and [one[4][i:j] for i, j in zip(one[1], one[2], strict=True)] == words
