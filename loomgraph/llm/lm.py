@@ -61,8 +61,10 @@ END_TOKEN = "<|endoftext|>"
 CACHE_WORDS = 1_000_000
 #: Half the pieces of plain texts that a worker remembers, some 70 bytes each.
 CACHE_PIECES = 500_000
+#: Windows that are scored at once, whatever the steps of the training are.
+SCORED_WINDOWS = 256
 #: Ids that are scored at once, unless one document has more.
-SCORED_IDS = 1 << 18
+SCORED_IDS = 1 << 16
 #: Parts of one in which logarithms of joined pairs are summed: whole numbers add up alike in any order.
 PARTS = 1 << 30
 
@@ -367,7 +369,8 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     return {"class": w(CLASSES + 1, DIM), "bucket": w(BUCKETS, DIM), "place": w(WINDOW, DIM), "qkv": w(DIM, 3 * DIM), "out": w(DIM, DIM), "logit": w(DIM, CLASSES) * np.float32(0.1)}
 
 
-_TRIANGLE = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: The most that a place's exponent to each place may be: none behind it.
+_LIMIT = np.where(np.tril(np.ones((WINDOW, WINDOW))) > 0, 30, -np.inf).astype(np.float32)
 
 
 class Room:
@@ -418,50 +421,57 @@ def _at_most(x: np.ndarray, most: float) -> None:
         np.minimum(x, x.dtype.type(most), out=x)
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, first: int, room: Room, heads: int = 0) -> tuple[np.ndarray, ...]:
+def joined_of(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Queries' and keys' matrices in one, scaled, and values' and outputs' in one: one head as wide as the inputs needs no others."""
+    w = p["qkv"]
+    return w[:, :DIM] @ w[:, DIM : 2 * DIM].T * w.dtype.type(1 / math.sqrt(DIM)), w[:, 2 * DIM :] @ p["out"]
+
+
+def forward(p: dict[str, np.ndarray], x: np.ndarray, first: int, room: Room, heads: int = 0, joined: tuple | None = None) -> tuple[np.ndarray, ...]:
     """Attention of the places from ``first`` on over all places up to them, in embedded inputs ``x`` (windows, places, DIM).
 
-    In the last ``heads`` windows the places before ``first`` are hidden.
+    In the last ``heads`` windows the places before ``first`` are hidden. ``joined_of`` the weights is computed where it isn't given.
 
-    Inputs of those places, scaled queries, keys beside values, normalised attention, outputs and last states. The last
-    states times ``logit`` are what attention adds to the logits. All are held in ``room``.
+    Inputs of those places, what they ask of the inputs, all inputs turned (and a row of ones), normalised attention, the inputs' means by it, and last
+    states. The last states times ``logit`` are what attention adds to the logits. All are held in ``room``.
     """
     n, size, _ = x.shape
     some, of = size - first, x.dtype
     mine, q, o, h = (room(k, n, some, DIM, dtype=of) for k in ("mine", "q", "o", "h"))
-    kv, a = room("kv", n, size, 2 * DIM, dtype=of), room("a", n, some, size, dtype=of)
+    turned, a = room("turned", n, DIM + 1, size, dtype=of), room("a", n, some, size, dtype=of)
+    asked, given = joined or joined_of(p)
     mine[...] = x[:, first:]
-    _times(mine, p["qkv"][:, :DIM] * of.type(1 / math.sqrt(DIM)), q)
-    _times(x, p["qkv"][:, DIM:], kv)
-    turned = room("turned", n, DIM, size, dtype=of)  # faster than as a view
-    np.copyto(turned, kv[..., :DIM].transpose(0, 2, 1))
-    np.matmul(q, turned, out=a)
-    _at_most(a, 30)
+    _times(mine, asked, q)
+    np.copyto(turned[:, :DIM], x.transpose(0, 2, 1))  # faster than as a view
+    turned[:, DIM] = 1
+    np.matmul(q, turned[:, :DIM], out=a)
+    np.minimum(a, _LIMIT[first:size, :size], out=a)
     np.exp(a, out=a)
-    a *= _TRIANGLE[first:size, :size]
     if heads:
         a[-heads:, :, :first] = 0
-    a *= (1 / (a @ np.ones(size, of) + of.type(1e-30)))[..., None]
-    np.matmul(a, kv[..., DIM:], out=o)
-    _times(o, p["out"], h)
+    a *= (1 / (_flat(a) @ np.ones(size, of) + of.type(1e-30))).reshape(n, some, 1)
+    np.matmul(a, x, out=o)
+    _times(o, given, h)
     h += mine
-    return mine, q, kv, a, o, h
+    return mine, q, turned, a, o, h
 
 
-#: Places of the rows of a table with DIM columns in its cells one after the other.
-_CELLS = np.arange(max(CLASSES + 1, BUCKETS) * DIM).reshape(-1, DIM)
+#: Places of the rows of a table with DIM columns in its pairs of cells one after the other.
+_CELLS = np.arange(max(CLASSES + 1, BUCKETS) * DIM // 2).reshape(-1, DIM // 2)
 
 
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` (of DIM numbers) by their index ``at`` below ``n``."""
-    return np.bincount(_CELLS.take(at, axis=0).ravel(), rows.ravel(), n * DIM).reshape(n, DIM).astype(rows.dtype)
+    """Sums of ``rows`` (of DIM numbers, in double precision) by their index ``at`` below ``n``; two are added at once, as a complex number."""
+    out = np.zeros(n * DIM // 2, np.complex128)
+    np.add.at(out, _CELLS.take(at, axis=0).ravel(), rows.view(np.complex128).ravel())
+    return out.view(np.float64).reshape(n, DIM)
 
 
 def gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, prior: np.ndarray, target: np.ndarray, valid: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross-entropy over the valid places, and its gradients.
 
-    Places of the context are keys and values only, but in windows that score them (the first ones of documents), where
-    they attend to each other: beside the windows, in windows of their own.
+    Places of the context are attended to only, but in windows that score them (the first ones of documents), where
+    they attend to each other: beside the windows, in windows of their own. In the others they are the last places of the window before.
     """
     heads = heads_of(valid)
     rows = beside(prior, heads).astype(p["class"].dtype)
@@ -481,8 +491,8 @@ def beside(x: np.ndarray, heads: np.ndarray, rest=None) -> np.ndarray:
     return np.concatenate([x[:, CONTEXT:], more])
 
 
-def _gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, heads: np.ndarray, d: np.ndarray, wanted: np.ndarray, valid: np.ndarray, room: Room) -> tuple[float, dict[str, np.ndarray]]:
-    """``gradients`` from the priors ``d`` (which are overwritten), targets and validity of the places ``beside`` the windows."""
+def _gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, heads: np.ndarray, d: np.ndarray, wanted: np.ndarray, valid: np.ndarray, room: Room, with_loss: bool = True, g: dict | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """``gradients`` from the priors ``d`` (which are overwritten), targets and validity of the places ``beside`` the windows, in the arrays ``g`` if given; a loss of 0 unless ``with_loss``."""
     of, n, every = p["class"].dtype, len(cin), len(d)
     x, dx = (room(k, every, WINDOW, DIM, dtype=of) for k in ("x", "dx"))
     np.take(p["class"], cin, axis=0, out=x[:n], mode="clip")
@@ -492,7 +502,7 @@ def _gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, head
     with_heads(x, n, heads)
     share = valid.astype(of).ravel()
     share /= of.type(max(1, int(valid.sum())))
-    mine, q, kv, a, o, h = forward(p, x, CONTEXT, room, len(heads))
+    mine, q, turned, a, o, h = forward(p, x, CONTEXT, room, len(heads), joined := joined_of(p))
     more = room("ds", *d.shape, dtype=of)
     _times(h, p["logit"], more)
     d += more
@@ -500,34 +510,46 @@ def _gradients(p: dict[str, np.ndarray], cin: np.ndarray, bin_: np.ndarray, head
     np.exp(d, out=d)
     cells, d = d.reshape(-1), _flat(d)
     sums, at = d @ np.ones(CLASSES, of), np.arange(0, d.size, CLASSES) + wanted.ravel()
-    loss = float(-(np.log(np.maximum(cells.take(at) / sums, 1e-30)) * share).sum())
+    loss = float(-(np.log(np.maximum(cells.take(at) / sums, 1e-30)) * share).sum()) if with_loss else 0.0
     d *= (share / sums)[:, None]
     cells[at] -= share
-    g = {"logit": _gram(h, d), "qkv": np.empty_like(p["qkv"])}
-    dh, do, dq = (room(k, *mine.shape, dtype=of) for k in ("dh", "do", "dq"))
-    dkv, ds = room("dkv", *kv.shape, dtype=of), room("ds", *a.shape, dtype=of)
+    g = {k: np.empty_like(v) for k, v in p.items()} if g is None else g
+    (asked, given), wq, wk, wv = joined, p["qkv"][:, :DIM], p["qkv"][:, DIM : 2 * DIM], p["qkv"][:, 2 * DIM :]
+    g["logit"][...] = _gram(h, d)
+    dh, dq, do = room("dh", *mine.shape, dtype=of), room("dq", *mine.shape, dtype=of), room("do", every, STRIDE, DIM + 1, dtype=of)
+    dx2, ds = room("dx2", *x.shape, dtype=of), room("ds", *a.shape, dtype=of)
     _times(d, p["logit"].T, dh)
-    g["out"] = _gram(o, dh)
-    _times(dh, p["out"].T, do)
-    np.matmul(a.transpose(0, 2, 1), do, out=dkv[..., DIM:])
-    turned = room("turned", every, DIM, WINDOW, dtype=of)
-    np.copyto(turned, kv[..., DIM:].transpose(0, 2, 1))
-    np.matmul(do, turned, out=ds)
-    ds -= (np.multiply(do, o, out=dq) @ np.ones(DIM, of))[..., None]
+    dgiven = _gram(o, dh)
+    g["out"][...], g["qkv"][:, 2 * DIM :] = wv.T @ dgiven, dgiven @ p["out"].T
+    # what is taken off as a place's attention sums to one goes with the row of ones
+    do, wide = do[..., :DIM], do
+    _times(dh, given.T, do)
+    np.subtract(mine, h, out=dq)
+    dq *= dh
+    wide[..., DIM] = (_flat(dq) @ np.ones(DIM, of)).reshape(every, STRIDE)
+    np.matmul(wide, turned, out=ds)
     ds *= a
-    np.matmul(ds, kv[..., :DIM], out=dq)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :DIM])
-    dq *= of.type(1 / math.sqrt(DIM))
-    g["qkv"][:, :DIM] = _gram(mine, dq)
-    g["qkv"][:, DIM:] = _gram(x, dkv)
-    _times(dkv, p["qkv"][:, DIM:].T, dx)
-    _times(dq, p["qkv"][:, :DIM].T, do)
-    dh += do
+    np.matmul(ds, x, out=dq)
+    dasked = _gram(mine, dq) * of.type(1 / math.sqrt(DIM))
+    g["qkv"][:, :DIM], g["qkv"][:, DIM : 2 * DIM] = dasked @ wk, dasked.T @ wq
+    np.matmul(a.transpose(0, 2, 1), do, out=dx)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dx2)
+    dx += dx2
+    _times(dq, asked.T, q)
+    dh += q
     dx[:, CONTEXT:] += dh
     dx[heads, :CONTEXT] += dx[n:, CONTEXT : 2 * CONTEXT]
     dx = dx[:n]
-    g["place"] = dx.sum(0)
-    g["class"], g["bucket"] = _summed(cin.ravel(), _flat(dx), len(p["class"])), _summed(bin_.ravel(), _flat(dx), len(p["bucket"]))
+    np.sum(dx, axis=0, out=g["place"])
+    # each place once: contexts go to the window before, but for those of the first window and of documents' first
+    own = heads if len(heads) and heads[0] == 0 else np.concatenate([[0], heads])
+    rows = room("rows", n * STRIDE + len(own) * CONTEXT, DIM, dtype=np.float64)
+    rows[n * STRIDE :].reshape(-1, CONTEXT, DIM)[...] = dx[own, :CONTEXT]
+    dx[own, :CONTEXT] = 0
+    dx[:-1, STRIDE:] += dx[1:, :CONTEXT]
+    rows[: n * STRIDE].reshape(n, STRIDE, DIM)[...] = dx[:, CONTEXT:]
+    for k, index in (("class", cin), ("bucket", bin_)):
+        g[k][...] = _summed(np.concatenate([index[:, CONTEXT:].ravel(), index[own, :CONTEXT].ravel()]), rows, len(p[k]))
     return loss, g
 
 
@@ -594,6 +616,7 @@ class Table:
         """``by_class``: columns prev, cls, c and n (number) of all pairs; ``pairs``: prev, id, c of those that are held (all, without n)."""
         self.n_ids = n = len(counts)
         self.cls, self.log_own = classes_of(counts, starts)
+        self.own = np.exp(self.log_own)
         mass = np.bincount(self.cls, counts + SMOOTH, CLASSES)
         total = np.zeros((n + 1, CLASSES))
         total[by_class["prev"], by_class["cls"]] = by_class["c"]
@@ -618,28 +641,45 @@ class Table:
         else:
             np.subtract.at(left, (prev, cls), share)
         self.left = np.maximum(left, 1e-9).astype(np.float32)
+        self.inside = np.zeros(PAIR_SLOTS)
+        at = np.flatnonzero(self.key != -1)
+        self.inside[at] = self.log_inside(self.key[at] // n, self.key[at] % n, self.share[at])
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
-        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_SLOTS.bit_length() + 1)).astype(np.int64)
+        h = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h >>= np.uint64(64 - PAIR_SLOTS.bit_length() + 1)
+        return h.view(np.int64)
 
-    def shares(self, key: np.ndarray) -> np.ndarray:
-        """Shares of the pairs ``key``, 0 of those that aren't held."""
+    def places(self, key: np.ndarray) -> np.ndarray:
+        """Slots of the pairs ``key``, -1 of those that aren't held."""
         slot = self._slot(key)
-        found = self.key[slot]
-        out = np.where(found == key, self.share[slot], np.float32(0))
-        open_ = np.flatnonzero((found != key) & (found != -1))
+        found = self.key.take(slot)
+        open_ = np.flatnonzero(found != key)
+        found = found[open_]
         while len(open_):
+            slot[open_[found == -1]] = -1
+            open_ = open_[found != -1]
             slot[open_] = at = (slot[open_] + 1) % PAIR_SLOTS
-            found, wanted = self.key[at], key[open_]
-            out[open_[found == wanted]] = self.share[at[found == wanted]]
-            open_ = open_[(found != wanted) & (found != -1)]
+            found = self.key[at]
+            open_, found = open_[found != key[open_]], found[found != key[open_]]
+        return slot
+
+    def shares(self, key: np.ndarray) -> np.ndarray:
+        """Shares of the pairs ``key``, 0 of those that aren't held."""
+        at = self.places(key)
+        return np.where(at >= 0, self.share[at], np.float32(0))
+
+    def log_inside_at(self, places: np.ndarray, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """``log_inside`` of pairs with these ``places``: that of held ones is there already."""
+        out, at = self.inside.take(places, mode="wrap"), np.flatnonzero(places < 0)
+        out[at] = self.log_inside(before[at], ids[at], np.float32(0))
         return out
 
     def log_inside(self, before: np.ndarray, ids: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
         """Log probability of each id within its class behind the id before it (n_ids: none); of a pair that isn't held without its share."""
         shares = self.shares(before * self.n_ids + ids) if shares is None else shares
-        return np.log(shares + self.left[before, self.cls[ids]] * np.exp(self.log_own)[ids])
+        return np.log(shares + self.left.ravel().take(before * CLASSES + self.cls.take(ids)) * self.own.take(ids))
 
 
 def rare_pairs(pairs: DataFrame, table: Table, by_class) -> DataFrame:
@@ -713,13 +753,20 @@ def _batches(docs: list[np.ndarray], n_ids: int) -> Iterator[tuple[np.ndarray, n
     if not docs:
         return
     flat, first, _, start, end = _placed(docs)
+    place = np.arange(WINDOW)
     for i in range(0, len(first), BATCH):
         of = slice(i, i + BATCH)
-        f, s, e = first[of, None], start[of, None], end[of, None]
-        at = f + np.arange(WINDOW)
-        scored = (at < e) & ((np.arange(WINDOW) >= CONTEXT) | (f == s))
+        f, e = first[of, None], end[of, None]
+        at, head = f + place, np.flatnonzero(first[of] == start[of])
+        scored = at < e
+        scored[:, :CONTEXT] = False
+        scored[head, :CONTEXT] = at[head, :CONTEXT] < e[head]
         np.minimum(at, e - 1, out=at)
-        yield np.where(at > s, flat[at - 1].astype(np.int64), n_ids), flat[at].astype(np.int64), scored
+        now = flat.take(at)
+        at -= 1  # behind the end of a document with one id that is another's, and isn't scored
+        before = flat.take(at, mode="clip").astype(np.int64)
+        before[head, 0] = n_ids
+        yield before, now.astype(np.int64), scored
 
 
 def train_locally(p: dict[str, np.ndarray], docs: list[np.ndarray], table: Table, rate: float = RATE) -> tuple[dict[str, np.ndarray], float]:
@@ -727,17 +774,17 @@ def train_locally(p: dict[str, np.ndarray], docs: list[np.ndarray], table: Table
     # all weights in one array, of which those by name are parts
     w = np.concatenate([p[k].ravel() for k in sorted(p)])
     p = _parts(w, p)
-    m, s, change, root = (np.zeros_like(w) for _ in range(4))
+    m, s, change, root, new = (np.zeros_like(w) for _ in range(5))
+    g = _parts(new, p)
     loss, steps, room = 0.0, -(-sum(len(_windows(len(d))) for d in docs) // BATCH), Room()
     cls, bucket = np.r_[table.cls, CLASSES], np.r_[np.arange(table.n_ids) % BUCKETS, 0]
     for t, (before, now, valid) in enumerate(_batches(docs, table.n_ids), 1):
-        heads = heads_of(valid)
+        heads = np.flatnonzero(valid[:, 0])
         seen, wanted, scored = (beside(x, heads, rest) for x, rest in ((before, None), (now, None), (valid, 0)))
         prior = room("prior", *seen.shape, CLASSES, dtype=table.prior.dtype)
         np.take(table.prior, seen, axis=0, out=prior, mode="clip")
-        loss, g = _gradients(p, cls[before], bucket[before], heads, prior, table.cls[wanted], scored, room)
+        loss, _ = _gradients(p, cls.take(before), bucket.take(before), heads, prior, table.cls.take(wanted), scored, room, t == steps, g)
         pace = rate * max(0.1, 1 - t / (steps + 1))
-        new = np.concatenate([g[k].ravel() for k in sorted(g)])
         m += 0.1 * (new - m)
         np.multiply(new, new, out=root)
         root -= s
@@ -802,13 +849,13 @@ def embedded(p: dict[str, np.ndarray], table: Table) -> np.ndarray:
 
 
 def pairs_of(ids: list[np.ndarray], table: Table) -> tuple[np.ndarray, ...]:
-    """The ids of all arrays one after the other, the id before each (n_ids: none), its array's number, and the pair's share."""
+    """The ids of all arrays one after the other, the id before each (n_ids: none), its array's number, and the pair's place in ``table``."""
     size = np.array([len(x) for x in ids])
     flat = np.concatenate(ids).astype(np.int64)
     before = np.empty_like(flat)
     before[1:] = flat[:-1]
     before[np.cumsum(size) - size] = table.n_ids
-    return flat, before, np.repeat(np.arange(len(ids)), size), table.shares(before * table.n_ids + flat)
+    return flat, before, np.repeat(np.arange(len(ids)), size), table.places(before * table.n_ids + flat)
 
 
 def log_probabilities(ids: list[np.ndarray], p: dict[str, np.ndarray], table: Table, pairs: tuple | None = None, vectors: np.ndarray | None = None, room: Room | None = None) -> np.ndarray:
@@ -816,30 +863,33 @@ def log_probabilities(ids: list[np.ndarray], p: dict[str, np.ndarray], table: Ta
 
     ``pairs_of`` the arrays and the ``embedded`` ids are computed where they aren't given.
     """
-    flat, before, of_id, shares = pairs or pairs_of(ids, table)
+    flat, before, of_id, places = pairs or pairs_of(ids, table)
     vectors, room = embedded(p, table) if vectors is None else vectors, room or Room()
     _, first, doc, start, end = _placed(ids)
-    wanted, place = table.cls[flat], np.arange(WINDOW)
-    inside = np.bincount(of_id, table.log_inside(before, flat, shares), len(ids))
+    wanted, place, joined = table.cls.take(flat), np.arange(WINDOW), joined_of(p)
+    inside = np.bincount(of_id, table.log_inside_at(places, before, flat), len(ids))
 
     out = np.zeros(len(first))
-    for i in range(0, len(first), BATCH):
-        of = slice(i, i + BATCH)
-        at = first[of, None] + place
-        scored = (at < end[of, None]) & ((place >= CONTEXT) | (first[of] == start[of])[:, None])
-        np.minimum(at, end[of, None] - 1, out=at)
-        heads, n = heads_of(scored), len(at)
-        own, scored = beside(at, heads), beside(scored, heads, 0)
+    for i in range(0, len(first), SCORED_WINDOWS):
+        of = slice(i, i + SCORED_WINDOWS)
+        f, e = first[of, None], end[of, None]
+        at, heads = f + place, np.flatnonzero(first[of] == start[of])
+        own, n, last = beside(at, heads), len(at), np.concatenate([e, e[heads]])
+        scored = own < last
+        scored[n:, CONTEXT:] = False
+        last -= 1
+        np.minimum(at, e - 1, out=at)
+        np.minimum(own, last, out=own)
         x = room("x", len(scored), WINDOW, DIM)
-        np.take(vectors, before[at], axis=0, out=x[:n], mode="clip")
+        np.take(vectors, before.take(at), axis=0, out=x[:n], mode="clip")
         x[:n] += p["place"]
         with_heads(x, n, heads)
-        h, logits, prior = forward(p, x, CONTEXT, room, len(heads))[-1], *(room(k, *scored.shape, CLASSES) for k in ("logits", "prior"))
-        np.take(table.prior, before[own], axis=0, out=prior, mode="clip")
+        h, logits, prior = forward(p, x, CONTEXT, room, len(heads), joined)[-1], *(room(k, *scored.shape, CLASSES) for k in ("logits", "prior"))
+        np.take(table.prior, before.take(own), axis=0, out=prior, mode="clip")
         _times(h, p["logit"], logits)
         logits += prior
         _at_most(logits, 60)
-        lp = logits.reshape(-1).take(np.arange(0, logits.size, CLASSES) + wanted[own].ravel())
+        lp = logits.reshape(-1).take(np.arange(0, logits.size, CLASSES) + wanted.take(own).ravel())
         np.exp(logits, out=logits)
         lp -= np.log(_flat(logits) @ np.ones(CLASSES, np.float32))
         sums = (lp.reshape(scored.shape) * scored).sum(axis=1, dtype=np.float64)
@@ -850,8 +900,8 @@ def log_probabilities(ids: list[np.ndarray], p: dict[str, np.ndarray], table: Ta
 
 def unheld(pairs: tuple, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the id array, key and count of the pairs in it that ``table`` doesn't hold, of ``pairs_of`` the arrays."""
-    flat, before, doc, shares = pairs
-    at = np.flatnonzero(shares == 0)
+    flat, before, doc, places = pairs
+    at = np.flatnonzero(places < 0)
     distinct, of = np.unique(before[at] * table.n_ids + flat[at], return_inverse=True)
     pair, tf = np.unique(doc[at] * max(1, len(distinct)) + of, return_counts=True)
     return pair // max(1, len(distinct)), distinct[pair % max(1, len(distinct))], tf

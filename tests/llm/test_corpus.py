@@ -591,3 +591,35 @@ def test_lm_hashes_words_alike_wherever_they_stand():
     one, other = lm.words_of([b" ".join(words)]), lm.words_of([b"", b"\n", *words[::-1], b" "])
     assert (one[0] == other[0][::-1]).all() and other[3].tolist() == list(range(2, len(words) + 2))
     assert len(set(one[0].tolist())) == len(set(words)) and [one[4][i:j] for i, j in zip(one[1], one[2], strict=True)] == words
+
+
+def test_lm_gradients_of_windows_that_go_on(monkeypatch):
+    """Contexts are the last places of the window before; those of a first window in a batch have none."""
+    monkeypatch.setattr(lm, "BATCH", 4)
+    r, t, p = np.random.default_rng(15), table(), {k: x.astype(np.float64) for k, x in lm.initial().items()}
+    docs = [r.integers(0, 500, n) for n in (170, 1, 60, 9)]
+    for before, now, valid in lm._batches(docs, 500):
+        step = lambda: lm.gradients(p, np.r_[t.cls, lm.CLASSES][before], before % lm.BUCKETS, t.prior[before], t.cls[now], valid)
+        _, g = step()
+        for k in ("class", "bucket", "place", "qkv", "out"):
+            for i in np.argsort(-np.abs(g[k]).ravel())[[0, 1, 5]]:
+                at, up = np.unravel_index(i, g[k].shape), 1e-5
+                p[k][at] += up
+                more = step()[0]
+                p[k][at] -= 2 * up
+                less = step()[0]
+                p[k][at] += up
+                assert abs((more - less) / (2 * up) - g[k][at]) < 1e-6
+
+
+def test_lm_products_of_a_step(monkeypatch):
+    """Places of the context have no products of their own, neither keys nor values."""
+    done, times, gram = [0], lm._times, lm._gram
+    monkeypatch.setattr(lm, "_times", lambda a, b, out: done.__setitem__(0, done[0] + a.size // a.shape[-1] * b.size) or times(a, b, out))
+    monkeypatch.setattr(lm, "_gram", lambda a, b: done.__setitem__(0, done[0] + a.size * b.shape[-1]) or gram(a, b))
+    docs, most = [np.random.default_rng(16).integers(0, 500, lm.CONTEXT + lm.BATCH * lm.STRIDE)], (lm.BATCH + 1) * lm.STRIDE * lm.DIM
+    lm.train_locally(lm.initial(), docs, table())
+    assert done[0] <= most * (6 * lm.DIM + 3 * lm.CLASSES)
+    done[0] = 0
+    lm.log_probabilities(docs, lm.initial(), table())
+    assert done[0] <= most * (2 * lm.DIM + lm.CLASSES)
